@@ -35,22 +35,34 @@ def sanitise(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns({c: text.sanitise(F.col(c)) for c in (columns or text_columns(df))})
 
 
+def _redaction_steps(df: DataFrame, column: str) -> DataFrame:
+    """The text after each redaction step. Steps are columns of their own: nested in one
+    expression, every step would run its predecessors again."""
+    return (
+        df.withColumn("_mail", text.without_mail(F.col(column)))
+        .withColumn("_ssn", text.without_ssn(F.col("_mail")))
+        .withColumn("_phone", text.without_phone(F.col("_ssn")))
+    )
+
+
 def redact(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Blank out personal data in every text column."""
-    return df.withColumns({c: text.redact(F.col(c)) for c in (columns or text_columns(df))})
+    """Blank out e-mail addresses, social security numbers, then phone numbers."""
+    for c in columns or text_columns(df):
+        df = _redaction_steps(df, c).withColumn(c, F.col("_phone")).drop("_mail", "_ssn", "_phone")
+    return df
 
 
 def personal_data_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """How often each kind of personal data is blanked; later patterns see earlier blanks."""
-    c = F.col(column)
-    after_mail = F.regexp_replace(c, K.EMAIL_PATTERN, K.REDACTED)
-    after_ssn = F.regexp_replace(after_mail, K.SSN_PATTERN, K.REDACTED)
+    steps = df.select(*by, column).withColumn("_mail", text.without_mail(F.col(column)))
+    steps = steps.withColumn("_ssn", text.without_ssn(F.col("_mail")))
+    digits = F.col("_mail").rlike(r"\d{4}")
     found = {
-        "emails": F.regexp_count(c, F.lit(K.EMAIL_PATTERN)),
-        "ssns": F.regexp_count(after_mail, F.lit(K.SSN_PATTERN)),
-        "phones": F.regexp_count(after_ssn, F.lit(K.PHONE_PATTERN)),
+        "emails": text.occurrences(F.col(column), K.EMAIL_PATTERN, F.col(column).contains("@")),
+        "ssns": text.occurrences(F.col("_mail"), K.SSN_PATTERN, digits),
+        "phones": text.occurrences(F.col("_ssn"), K.PHONE_PATTERN, digits),
     }
-    return df.groupBy(*by).agg(*[F.sum(x).alias(n) for n, x in found.items()])
+    return steps.groupBy(*by).agg(*[F.sum(x).alias(n) for n, x in found.items()])
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:

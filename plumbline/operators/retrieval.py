@@ -40,7 +40,9 @@ class TermIndex:
 
 def term_counts(df: DataFrame, keys: Sequence[str], column: str, stop_words=None) -> DataFrame:
     """(keys, term, tf) of words and adjacent word pairs."""
-    long = df.select(*keys, F.explode(TX.terms(F.col(column), stop_words)).alias("term"))
+    # the words are a column of their own, or each use would extract them anew
+    found = df.select(*keys, TX.words(F.col(column), stop_words).alias("_words"))
+    long = found.select(*keys, F.explode(TX.word_pairs(F.col("_words"))).alias("term"))
     return long.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -89,8 +91,9 @@ def weigh(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex,
     Texts are spread by their keys once; the term counts, norms, similarity sums and top-k
     ranks that follow are all grouped by those keys and need no further shuffle.
     """
-    found = F.concat(F.array(F.lit(ANCHOR)), TX.terms(F.col(column), stop_words))
-    long = spread(texts, keys, column).select(*keys, F.explode(found).alias("term"))
+    found = spread(texts, keys, column).select(*keys, TX.words(F.col(column), stop_words).alias("_words"))
+    with_anchor = F.concat(F.array(F.lit(ANCHOR)), TX.word_pairs(F.col("_words")))
+    long = found.select(*keys, F.explode(with_anchor).alias("term"))
     anchor = index.vocabulary.limit(0).select("term", "idf").unionByName(
         texts.sparkSession.createDataFrame([(ANCHOR, 0.0)], "term string, idf double")
     )

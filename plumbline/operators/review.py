@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -144,7 +144,8 @@ def queue_summary(triaged: DataFrame, position: str = "review_id") -> DataFrame:
 # It can still run in pieces: rounding leaves a finite set of weights, so a piece of
 # history is a function on that set, and functions compose.
 
-START = tuple(K.DEFAULT_WEIGHTS[n] for n in ("truth", "bias", "confidence"))
+NAMES = ("truth", "bias", "confidence")
+START = tuple(K.DEFAULT_WEIGHTS[n] for n in NAMES)
 STEP = 0.05
 
 
@@ -170,19 +171,75 @@ def reachable(start: tuple = START) -> tuple[list[tuple], np.ndarray]:
     return states, np.array(steps, dtype=np.int32).T
 
 
-def _effect(decisions: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Stretches of one (tenant, bucket) in sorted batches; True where a new one begins."""
+    last = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        key = pd.MultiIndex.from_frame(pdf[["tenant", "_bucket"]])
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+            yield key[lo] != last, pdf.iloc[lo:hi]
+            last = key[lo]
+
+
+class _Effect:
     """The function on states that a run of decisions amounts to.
 
     States that meet stay together, so only distinct images are carried along.
     """
-    images = np.arange(steps.shape[1], dtype=np.int32)
-    where = images
-    for i, d in enumerate(decisions):
-        images = steps[int(d)][images]
-        if i % 16 == 15:
-            images, inverse = np.unique(images, return_inverse=True)
-            where = inverse.astype(np.int32)[where]
-    return images[where]
+
+    def __init__(self, steps: np.ndarray):
+        self.steps = steps
+        self.images = np.arange(steps.shape[1], dtype=np.int32)
+        self.where = self.images
+        self.seen = 0
+
+    def add(self, decisions: np.ndarray) -> None:
+        for d in decisions:
+            self.images = self.steps[int(d)][self.images]
+            self.seen += 1
+            if self.seen % 16 == 0:
+                self.images, inverse = np.unique(self.images, return_inverse=True)
+                self.where = inverse.astype(np.int32)[self.where]
+
+    def packed(self) -> bytes:
+        return zlib.compress(self.images[self.where].tobytes(), 1)
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """Each (tenant, bucket) whole and in time order within one partition."""
+    return df.repartition("tenant", "_bucket").sortWithinPartitions("tenant", "_bucket", "ts", "ident")
+
+
+def _piece_starts(cut: DataFrame, tenant_type: str) -> DataFrame:
+    """Starting weights of every piece of a tenant whose history was cut."""
+    states, steps = reachable()
+
+    def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        effect, at = None, None
+        for fresh, pdf in _pieces(batches):
+            if fresh:
+                if effect:
+                    yield pd.DataFrame({"tenant": [at[0]], "_bucket": [at[1]], "fx": [effect.packed()]})
+                effect, at = _Effect(steps), (pdf["tenant"].iloc[0], pdf["_bucket"].iloc[0])
+            effect.add(pdf["approved"].to_numpy())
+        if effect:
+            yield pd.DataFrame({"tenant": [at[0]], "_bucket": [at[1]], "fx": [effect.packed()]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_bucket")
+        at, starts = 0, []
+        for packed in pdf["fx"]:
+            starts.append(states[at])
+            at = int(np.frombuffer(zlib.decompress(packed), dtype=np.int32)[at])
+        begin = pd.DataFrame(starts, columns=list(NAMES), index=pdf.index)
+        return pd.concat([pdf[["tenant", "_bucket"]], begin], axis=1)
+
+    found = _in_order(cut.filter("_bucket > 0")).mapInPandas(effects, f"tenant {tenant_type}, _bucket int, fx binary")
+    schema = f"tenant {tenant_type}, _bucket int, " + ", ".join(f"{n} double" for n in NAMES)
+    return found.groupBy("tenant").applyInPandas(chain, schema)
 
 
 def fold_weights(
@@ -190,81 +247,54 @@ def fold_weights(
 ) -> DataFrame:
     """Old and new weights at every approval or rejection, per tenant in time order.
 
-    A tenant with more than ``rows`` decisions is cut into time buckets. Each bucket's
-    effect is computed on its own, the effects are chained to give every bucket its
-    starting weights, and the buckets are then replayed in parallel.
+    Sorted partitions stream through the fold, which remembers three numbers, so a task
+    never holds a tenant's history. A tenant with more than ``rows`` decisions is cut into
+    pieces: each piece's effect is computed on its own, the effects are chained to give
+    every piece its starting weights, and the pieces are replayed in parallel.
     """
     used = decisions.filter(F.col(status).isin(DECIDED)).select(
         F.col(tenant).alias("tenant"), F.col(ts).alias("ts"), F.col(ident).alias("ident"),
         (F.col(status) == "approved").alias("approved"),
     )
     cut, any_cut = with_time_bucket(used, ["tenant"], "ts", rows)
-    spark = decisions.sparkSession
-    tenant_type = used.schema["tenant"].dataType.simpleString()
-    log_schema = T.StructType(
-        [
-            used.schema["tenant"], used.schema["ts"], used.schema["ident"], used.schema["approved"],
-            *[T.StructField(f"{w}_{n}", T.DoubleType()) for w in ("old", "new") for n in ("truth", "bias", "confidence")],
-        ]
-    )
     if any_cut:
-        states, steps = reachable()
-
-        def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["ts", "ident"])
-            packed = zlib.compress(_effect(pdf["approved"].to_numpy(), steps).tobytes(), 1)
-            return pd.DataFrame({"tenant": [pdf["tenant"].iloc[0]], "_bucket": [pdf["_bucket"].iloc[0]], "fx": [packed]})
-
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_bucket")
-            at, starts = 0, []
-            for packed in pdf["fx"]:
-                starts.append(at)
-                at = int(np.frombuffer(zlib.decompress(packed), dtype=np.int32)[at])
-            parts = [states[s] for s in starts]
-            return pd.DataFrame(
-                {"tenant": pdf["tenant"], "_bucket": pdf["_bucket"],
-                 "truth": [p[0] for p in parts], "bias": [p[1] for p in parts], "confidence": [p[2] for p in parts]}
-            )
-
-        effects = cut.filter("_bucket > 0").groupBy("tenant", "_bucket").applyInPandas(
-            effect, f"tenant {tenant_type}, _bucket int, fx binary"
-        )
-        starts = effects.groupBy("tenant").applyInPandas(
-            chain, f"tenant {tenant_type}, _bucket int, truth double, bias double, confidence double"
-        )
+        # one row per piece: at most 2 * total / rows of them
+        starts = _piece_starts(cut, used.schema["tenant"].dataType.simpleString())
+        cut = cut.join(F.broadcast(starts), ["tenant", "_bucket"], "left")
     else:
-        starts = spark.createDataFrame(
-            [], f"tenant {tenant_type}, _bucket int, truth double, bias double, confidence double"
-        )
-
-    def replay(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame({f.name: [] for f in log_schema.fields})
-        pdf = pdf.sort_values(["ts", "ident"], ignore_index=True)
-        at = START if begin.empty else tuple(begin.loc[0, ["truth", "bias", "confidence"]])
-        old, new = [], []
-        for approved in pdf["approved"]:
-            old.append(at)
-            at = next_weights(at, bool(approved))
-            new.append(at)
-        out = pdf[["tenant", "ts", "ident", "approved"]].copy()
-        for prefix, rows_ in (("old", old), ("new", new)):
-            for j, n in enumerate(("truth", "bias", "confidence")):
-                out[f"{prefix}_{n}"] = [r[j] for r in rows_]
-        return out
-
-    return (
-        cut.groupBy("tenant", "_bucket")
-        .cogroup(starts.groupBy("tenant", "_bucket"))
-        .applyInPandas(replay, log_schema)
+        cut = cut.withColumns({n: F.lit(None).cast("double") for n in NAMES})
+    log_schema = T.StructType(
+        [*used.schema.fields, *[T.StructField(f"{w}_{n}", T.DoubleType()) for w in ("old", "new") for n in NAMES]]
     )
 
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, tuple] = {}
+        at = START
+        for fresh, pdf in _pieces(batches):
+            if fresh:
+                given = tuple(pdf[list(NAMES)].iloc[0])
+                at = START if pd.isna(given[0]) else given
+            path = [at]
+            for approved in pdf["approved"].tolist():
+                after = known.get((at, approved))
+                if after is None:
+                    after = known[(at, approved)] = next_weights(at, approved)
+                path.append(after)
+                at = after
+            walked = np.array(path)
+            out = pdf[["tenant", "ts", "ident", "approved"]].copy()
+            for j, n in enumerate(NAMES):
+                out[f"old_{n}"] = walked[:-1, j]
+                out[f"new_{n}"] = walked[1:, j]
+            yield out[[f.name for f in log_schema.fields]]
+
+    return _in_order(cut).mapInPandas(replay, log_schema)
+
 
 def final_weights(log: DataFrame) -> DataFrame:
     """The weights each tenant ended with."""
     order = F.struct("ts", "ident")
     return log.groupBy("tenant").agg(
         F.count(F.lit(1)).alias("decisions"),
-        *[F.max_by(f"new_{n}", order).alias(n) for n in ("truth", "bias", "confidence")],
+        *[F.max_by(f"new_{n}", order).alias(n) for n in NAMES],
     )

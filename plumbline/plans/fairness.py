@@ -22,10 +22,10 @@ pairs AS (
 scored AS (
   SELECT *, abs(low - high) AS gap, greatest(0.0, least(1.0, 0.4 * 0.5 + 0.4 * (1 - abs(low - high)) + 0.2 * 0.85)) AS trust
   FROM pairs)
-SELECT n_name AS dataset_name, n AS n_rows, round(low, 6) AS rate_unprivileged, round(high, 6) AS rate_privileged,
-       round(gap, 6) AS parity_difference, round(low / nullif(high, 0), 6) AS impact_ratio,
+SELECT n_name AS dataset_name, n AS n_rows, round(low, 9) AS rate_unprivileged, round(high, 9) AS rate_privileged,
+       round(gap, 9) AS parity_difference, round(low / nullif(high, 0), 9) AS impact_ratio,
        gap > 0.1 AS bias_detected, coalesce(low / nullif(high, 0) < 0.8, false) AS four_fifths_violated,
-       round(trust, 6) AS trust,
+       round(trust, 9) AS trust,
        CASE WHEN trust < 0.5 THEN 'critical' WHEN trust < 0.6 THEN 'elevated' WHEN trust < 0.75 THEN 'moderate' ELSE 'low' END AS risk,
        CASE WHEN trust >= 0.7 THEN 'approve' ELSE 'correct' END AS decision,
        trust < 0.6 AS requires_review
@@ -52,7 +52,7 @@ def trust_scorecard(spark, d):
 
 @job("group_rates", "A5 A27", f"""WITH {DECISIONS}
 SELECT dataset, segment, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives,
-       round(CAST(sum(label) AS DOUBLE) / count(*), 6) AS rate
+       round(CAST(sum(label) AS DOUBLE) / count(*), 9) AS rate
 FROM decisions GROUP BY ALL""")
 def group_rates(spark, d):
     return rounded(FA.group_rates(decisions(spark, d), "label", "segment", by=["dataset"]))
@@ -61,7 +61,7 @@ def group_rates(spark, d):
 @job("parity_gap", "A1", f"""WITH {DECISIONS},
 r AS (SELECT dataset, coalesce(avg(pred) FILTER (segment = 'AUTOMOBILE'), 0) AS a, coalesce(avg(pred) FILTER (segment = 'BUILDING'), 0) AS b
       FROM decisions GROUP BY dataset)
-SELECT dataset, round(a, 6) AS rate_first, round(b, 6) AS rate_second, round(abs(a - b), 6) AS parity_gap FROM r""")
+SELECT dataset, round(a, 9) AS rate_first, round(b, 9) AS rate_second, round(abs(a - b), 9) AS parity_gap FROM r""")
 def parity_gap(spark, d):
     return rounded(FA.parity_gap(decisions(spark, d), "pred", "segment", "AUTOMOBILE", "BUILDING", by=["dataset"]))
 
@@ -69,7 +69,7 @@ def parity_gap(spark, d):
 @job("parity_gap_per_customer", "A1", f"""WITH {DECISIONS},
 r AS (SELECT custkey, coalesce(avg(pred) FILTER (label = 0), 0) AS a, coalesce(avg(pred) FILTER (label = 1), 0) AS b
       FROM decisions GROUP BY custkey)
-SELECT custkey, round(a, 6) AS rate_first, round(b, 6) AS rate_second, round(abs(a - b), 6) AS parity_gap FROM r""")
+SELECT custkey, round(a, 9) AS rate_first, round(b, 9) AS rate_second, round(abs(a - b), 9) AS parity_gap FROM r""")
 def parity_gap_per_customer(spark, d):
     """Very many small datasets at once, with empty groups among them."""
     return rounded(FA.parity_gap(decisions(spark, d), "pred", "label", 0, 1, by=["custkey"]))
@@ -79,7 +79,7 @@ def parity_gap_per_customer(spark, d):
 r AS (SELECT dataset, coalesce(avg(pred) FILTER (segment = 'AUTOMOBILE' AND label = 1), 0) AS a,
              coalesce(avg(pred) FILTER (segment = 'BUILDING' AND label = 1), 0) AS b
       FROM decisions GROUP BY dataset)
-SELECT dataset, round(a, 6) AS tpr_first, round(b, 6) AS tpr_second, round(abs(a - b), 6) AS opportunity_gap FROM r""")
+SELECT dataset, round(a, 9) AS tpr_first, round(b, 9) AS tpr_second, round(abs(a - b), 9) AS opportunity_gap FROM r""")
 def opportunity_gap(spark, d):
     return rounded(
         FA.opportunity_gap(decisions(spark, d), "label", "pred", "segment", "AUTOMOBILE", "BUILDING", by=["dataset"])
@@ -108,8 +108,8 @@ def bias_scan(spark, d):
 c AS (SELECT dataset, segment, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp,
              count(*) FILTER (label = 1 AND pred = 0) AS fn, count(*) FILTER (label = 0 AND pred = 0) AS tn
       FROM decisions GROUP BY ALL)
-SELECT *, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS tpr, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr,
-       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy
+SELECT *, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS tpr, round(coalesce(fp / nullif(fp + tn, 0), 0), 9) AS fpr,
+       round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy
 FROM c""")
 def confusion_by_group(spark, d):
     return rounded(FA.confusion(decisions(spark, d), "label", "pred", "segment", by=["dataset"]))
@@ -126,8 +126,8 @@ p AS (SELECT custkey, count(*) AS n_groups, CAST(sum(positives) AS BIGINT) AS po
       FROM g GROUP BY custkey),
 m AS (SELECT *, n_groups > 1 AND positives > 0 AND positives < n AS varied FROM p),
 q AS (SELECT *, CASE WHEN varied THEN abs(low - high) ELSE 0 END AS gap, CASE WHEN varied THEN {ratio} ELSE 1 END AS ratio FROM m)
-SELECT custkey, n_groups, positives, n, unprivileged, round(low, 6) AS rate_unprivileged, privileged,
-       round(high, 6) AS rate_privileged, round(gap, 6) AS parity_difference, round(ratio, 6) AS impact_ratio,
+SELECT custkey, n_groups, positives, n, unprivileged, round(low, 9) AS rate_unprivileged, privileged,
+       round(high, 9) AS rate_privileged, round(gap, 9) AS parity_difference, round(ratio, 9) AS impact_ratio,
        gap > 0.1 AS bias_detected, coalesce({flag}, false) AS four_fifths_violated,
        CASE WHEN varied THEN 'ok' ELSE 'degenerate' END AS status
 FROM q"""
@@ -148,16 +148,16 @@ def bias_metrics_compat(spark, d):
 @job("one_vs_rest", "A4", f"""WITH {DECISIONS},
 g AS (SELECT dataset, segment, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM decisions GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER w - n AS rn, sum(positives) OVER w - positives AS rp FROM g WINDOW w AS (PARTITION BY dataset))
-SELECT dataset, segment, n, positives, round(positives / n, 6) AS rate, round(coalesce(rp / nullif(rn, 0), 0), 6) AS rate_rest,
-       round(abs(positives / n - coalesce(rp / nullif(rn, 0), 0)), 6) AS gap,
-       round((positives / n) / nullif(coalesce(rp / nullif(rn, 0), 0), 0), 6) AS impact_ratio
+SELECT dataset, segment, n, positives, round(positives / n, 9) AS rate, round(coalesce(rp / nullif(rn, 0), 0), 9) AS rate_rest,
+       round(abs(positives / n - coalesce(rp / nullif(rn, 0), 0)), 9) AS gap,
+       round((positives / n) / nullif(coalesce(rp / nullif(rn, 0), 0), 0), 9) AS impact_ratio
 FROM r""")
 def one_vs_rest(spark, d):
     return rounded(FA.one_vs_rest(decisions(spark, d), "label", "segment", by=["dataset"]))
 
 
 @job("subgroup_rates", "A12", f"""WITH {DECISIONS}
-SELECT segment, priority, CAST(grouping_id(segment, priority) AS BIGINT) AS level, count(*) AS n, round(avg(label), 6) AS rate
+SELECT segment, priority, CAST(grouping_id(segment, priority) AS BIGINT) AS level, count(*) AS n, round(avg(label), 9) AS rate
 FROM decisions GROUP BY CUBE (segment, priority)""")
 def subgroup_rates(spark, d):
     return rounded(FA.subgroup_rates(decisions(spark, d), "label", ["segment", "priority"]))
@@ -170,7 +170,7 @@ LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 c AS (SELECT l_linestatus, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature,
              unnest([abs(corr(l_quantity, y)), abs(corr(l_extendedprice, y)), abs(corr(l_discount, y)), abs(corr(l_tax, y))]) AS r
       FROM l GROUP BY l_linestatus)
-SELECT l_linestatus, feature, round(r, 6) AS correlation, r = max(r) OVER (PARTITION BY l_linestatus) AS is_top FROM c""")
+SELECT l_linestatus, feature, round(r, 9) AS correlation, r = max(r) OVER (PARTITION BY l_linestatus) AS is_top FROM c""")
 def top_correlated(spark, d):
     lines = load(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
     found = FA.top_correlated(lines, "y", LINE_FEATURES, by=["l_linestatus"])
@@ -180,7 +180,7 @@ def top_correlated(spark, d):
 
 @job("protected_proxies", "D1", """WITH l AS (SELECT *, CAST(l_linestatus = 'O' AS INT) AS p FROM lineitem)
 SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature,
-       unnest([round(abs(corr(l_quantity, p)), 6), round(abs(corr(l_extendedprice, p)), 6), round(abs(corr(l_discount, p)), 6), round(abs(corr(l_tax, p)), 6)]) AS correlation,
+       unnest([round(abs(corr(l_quantity, p)), 9), round(abs(corr(l_extendedprice, p)), 9), round(abs(corr(l_discount, p)), 9), round(abs(corr(l_tax, p)), 9)]) AS correlation,
        unnest([abs(corr(l_quantity, p)) > 0.6, abs(corr(l_extendedprice, p)) > 0.6, abs(corr(l_discount, p)) > 0.6, abs(corr(l_tax, p)) > 0.6]) AS is_proxy
 FROM l""")
 def protected_proxies(spark, d):
@@ -193,8 +193,8 @@ r AS (SELECT dataset,
   coalesce(avg(pred) FILTER (segment = 'AUTOMOBILE' AND label = 1), 0) AS ta, coalesce(avg(pred) FILTER (segment = 'AUTOMOBILE' AND label = 0), 0) AS fa,
   coalesce(avg(pred) FILTER (segment = 'BUILDING' AND label = 1), 0) AS tb, coalesce(avg(pred) FILTER (segment = 'BUILDING' AND label = 0), 0) AS fb
   FROM decisions GROUP BY dataset)
-SELECT dataset, round(ta, 6) AS tpr_first, round(fa, 6) AS fpr_first, round(tb, 6) AS tpr_second, round(fb, 6) AS fpr_second,
-       round(greatest(abs(ta - tb), abs(fa - fb)), 6) AS odds_gap
+SELECT dataset, round(ta, 9) AS tpr_first, round(fa, 9) AS fpr_first, round(tb, 9) AS tpr_second, round(fb, 9) AS fpr_second,
+       round(greatest(abs(ta - tb), abs(fa - fb)), 9) AS odds_gap
 FROM r""")
 def equalised_odds(spark, d):
     return rounded(FA.odds_gap(decisions(spark, d), "label", "pred", "segment", "AUTOMOBILE", "BUILDING", by=["dataset"]))
@@ -203,8 +203,8 @@ def equalised_odds(spark, d):
 @job("text_label_fairness", "A2 A3 A5", """WITH t AS (SELECT lang, quality AS y, 1 - toxic AS pred FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT lang, count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 1) AS fp,
              count(*) FILTER (y = 1 AND pred = 0) AS fn, count(*) FILTER (y = 0 AND pred = 0) AS tn FROM t GROUP BY lang)
-SELECT *, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS tpr, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) AS fpr,
-       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""")
+SELECT *, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS tpr, round(coalesce(fp / nullif(fp + tn, 0), 0), 9) AS fpr,
+       round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy FROM c""")
 def text_label_fairness(spark, d):
     """A toxicity filter judged against quality labels, per language."""
     docs = load(spark, d, "documents").select("doc_id", "lang")
@@ -216,7 +216,7 @@ def text_label_fairness(spark, d):
 
 @job("group_thresholds", "D8", f"""WITH {DECISIONS}
 SELECT segment, count(*) AS n, CAST(sum(CAST(least(price / 400000, 1) >= CASE WHEN segment = 'AUTOMOBILE' THEN 0.4 ELSE 0.5 END AS INT)) AS BIGINT) AS positives,
-       round(avg(CAST(least(price / 400000, 1) >= CASE WHEN segment = 'AUTOMOBILE' THEN 0.4 ELSE 0.5 END AS INT)), 6) AS rate
+       round(avg(CAST(least(price / 400000, 1) >= CASE WHEN segment = 'AUTOMOBILE' THEN 0.4 ELSE 0.5 END AS INT)), 9) AS rate
 FROM decisions GROUP BY segment""")
 def group_thresholds(spark, d):
     scored = decisions(spark, d).withColumn("score", F.least(F.col("price") / 400000, F.lit(1.0)))
@@ -239,7 +239,7 @@ FROM ({' UNION ALL '.join(parts)})"""
 
 
 def _moments(df, columns, by):
-    return rounded(moments.distribution_report(df, columns, by))
+    return rounded(moments.distribution_report(df, columns, by), 6)
 
 
 @job("distribution_report", "A10 A11", _moments_sql("lineitem", "l_returnflag", LINE_FEATURES))
@@ -255,9 +255,9 @@ def distribution_per_customer(spark, d):
 
 @job("joint_probabilities", "A12 J9", f"""WITH {DECISIONS},
 c AS (SELECT segment, label, count(*) AS n FROM decisions GROUP BY ALL)
-SELECT segment, label, n, round(n / sum(n) OVER (), 6) AS p_joint,
-       round(sum(n) OVER (PARTITION BY segment) / sum(n) OVER (), 6) AS p_group,
-       round(sum(n) OVER (PARTITION BY label) / sum(n) OVER (), 6) AS p_label
+SELECT segment, label, n, round(n / sum(n) OVER (), 9) AS p_joint,
+       round(sum(n) OVER (PARTITION BY segment) / sum(n) OVER (), 9) AS p_group,
+       round(sum(n) OVER (PARTITION BY label) / sum(n) OVER (), 9) AS p_label
 FROM c""")
 def joint_probabilities(spark, d):
     return rounded(sampling.joint_probabilities(decisions(spark, d), "segment", "label"))
@@ -272,7 +272,7 @@ w AS (SELECT l_linestatus, y, n,
 
 
 @job("reweighing_weights", "A13", f"""WITH {REWEIGH}
-SELECT l_linestatus, y, n, round(weight, 6) AS weight FROM w""")
+SELECT l_linestatus, y, n, round(weight, 9) AS weight FROM w""")
 def reweighing_weights(spark, d):
     lines = load(spark, d, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y"))
     cells = sampling.reweigh_table(lines, "l_linestatus", "y", "O")

@@ -16,16 +16,17 @@ FEATURES = ["linestatus", "quantity", "discount", "tax"]
 
 
 def _lines(spark, d):
-    return load(spark, d, "lineitem").select(
+    lines = load(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_linestatus") == "O").cast("int").alias("linestatus"),
         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
         (F.col("l_extendedprice") > 38000).cast("int").alias("label"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
     )
+    return M.spread(lines)
 
 
 def _encoded_decisions(spark, d):
     rows = decisions(spark, d).filter(F.col("segment").isin("AUTOMOBILE", "BUILDING"))
-    return M.census_features(rows, ["price", "balance"], ["segment", "priority"]).transform(rows)
+    return M.census_features(rows, ["price", "balance"], ["segment", "priority"]).transform(M.spread(rows))
 
 
 @job("fitted_bias_score", "A7 M2")
@@ -110,8 +111,8 @@ STANDARD = """s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 
 @job("ranked_contributions", "T6", f"""WITH {STANDARD},
 k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, u.x[1] AS feature, u.x[2] AS impact FROM s, unnest(e) u(x) WHERE abs(u.x[2]) > 0.03)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, round(impact, 6) AS impact,
-  round(abs(impact) / max(abs(impact)) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey), 6) AS share FROM k""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, round(impact, 9) AS impact,
+  round(abs(impact) / max(abs(impact)) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey), 9) AS share FROM k""")
 def ranked_contributions(spark, d):
     """Impacts of a linear model with given coefficients on standardised columns."""
     lines = load(spark, d, "lineitem")

@@ -30,8 +30,8 @@ k AS (SELECT {lead}count(*) AS total_audits, count(*) FILTER (CAST(created_at AS
   count(*) FILTER (trust < 0.6) AS high_risk, count(*) FILTER (trust >= 0.75) AS compliant,
   count(*) FILTER (audit_type = 'dataset') AS datasets FROM audits {group}),
 r AS (SELECT *, coalesce(high_risk / nullif(scored, 0), 0) AS ratio FROM k)
-SELECT {lead}total_audits, today_audits, round(avg_trust, 6) AS avg_trust, round(avg_bias, 6) AS avg_bias, round(avg_truth, 6) AS avg_truth,
-  scored, high_risk, compliant, datasets, round(ratio, 6) AS high_risk_ratio,
+SELECT {lead}total_audits, today_audits, round(avg_trust, 9) AS avg_trust, round(avg_bias, 9) AS avg_bias, round(avg_truth, 9) AS avg_truth,
+  scored, high_risk, compliant, datasets, round(ratio, 9) AS high_risk_ratio,
   round(coalesce(compliant / nullif(scored, 0), 0) * 100, 1) AS compliance_pct,
   total_audits * 240 AS minutes_saved, round(total_audits * 240 / 60, 1) AS hours_saved,
   CASE WHEN (coalesce(avg_trust, 0) <> 0 AND avg_trust < 0.5) OR ratio >= 0.5 THEN 'critical'
@@ -58,7 +58,7 @@ def mean_report_duration(spark, d):
 
 
 @job("trust_trend", "W2", f"""WITH {AUDITS}
-SELECT audit_id, created_at, round(trust, 6) AS trust, round(bias, 6) AS bias FROM audits ORDER BY created_at DESC, audit_id DESC LIMIT 20""")
+SELECT audit_id, created_at, round(trust, 9) AS trust, round(bias, 9) AS bias FROM audits ORDER BY created_at DESC, audit_id DESC LIMIT 20""")
 def trust_trend(spark, d):
     return rounded(P.trend(audits(spark, d)))
 
@@ -68,7 +68,7 @@ b AS (SELECT tenant, created_at, audit_id, bias,
              coalesce(avg(bias) OVER (PARTITION BY tenant ORDER BY created_at, audit_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), bias) AS baseline
       FROM audits WHERE bias IS NOT NULL),
 x AS (SELECT *, bias - baseline AS delta FROM b)
-SELECT tenant, created_at, audit_id, round(bias, 6) AS bias, round(baseline, 6) AS baseline, round(delta, 6) AS delta,
+SELECT tenant, created_at, audit_id, round(bias, 9) AS bias, round(baseline, 9) AS baseline, round(delta, 9) AS delta,
        CASE WHEN abs(round(delta, 4)) > 0.1 THEN 'critical' WHEN abs(round(delta, 4)) > 0.05 THEN 'warning' ELSE 'stable' END AS status
 FROM x"""
 
@@ -96,7 +96,7 @@ s AS (SELECT tenant, event_type, arg_max(audit_id, (created_at, audit_id)) FILTE
   arg_max(trust, (created_at, audit_id)) FILTER (trust IS NOT NULL) AS t, arg_max(bias, (created_at, audit_id)) FILTER (trust IS NOT NULL) AS b,
   arg_max(truth, (created_at, audit_id)) FILTER (trust IS NOT NULL) AS f, avg(trust) AS mt, avg(bias) AS mb, avg(truth) AS mf
   FROM audits GROUP BY ALL)
-SELECT tenant, event_type, audit_id, round(coalesce(t, mt), 6) AS trust, round(coalesce(b, mb), 6) AS bias, round(coalesce(f, mf), 6) AS truth FROM s""")
+SELECT tenant, event_type, audit_id, round(coalesce(t, mt), 9) AS trust, round(coalesce(b, mb), 9) AS bias, round(coalesce(f, mf), 9) AS truth FROM s""")
 def latest_or_average(spark, d):
     return rounded(P.latest_or_average(audits(spark, d), ["tenant", "event_type"]))
 

@@ -33,7 +33,7 @@ def job(name: str, covers: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Round every double column, so that results do not depend on summation order."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: F.round(F.col(c), digits) for c in doubles})

@@ -25,7 +25,7 @@ def _queue(spark, d):
 
 
 @job("review_queue", "J1", f"""WITH {AUDITS}, {REVIEWS}
-SELECT review_id, r.audit_id, status, notes, r.created_at, round(trust, 6) AS trust, round(bias, 6) AS bias, round(truth, 6) AS truth
+SELECT review_id, r.audit_id, status, notes, r.created_at, round(trust, 9) AS trust, round(bias, 9) AS bias, round(truth, 9) AS truth
 FROM reviews r LEFT JOIN audits a ON a.audit_id = r.audit_id""")
 def review_queue(spark, d):
     rows = RV.enrich(reviews(spark, d), audits(spark, d), ["trust", "bias", "truth"])
@@ -67,7 +67,7 @@ def triaged_queue(spark, d):
 SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
   count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
   count(*) FILTER (status = 'pending') AS pending_total, count(*) FILTER (status <> 'pending') AS reviewed_total,
-  round(avg(trust), 6) AS mean_trust,
+  round(avg(trust), 9) AS mean_trust,
   (SELECT audit_id FROM triaged WHERE status = 'pending' ORDER BY priority DESC, review_id LIMIT 1) AS top_audit_id
 FROM triaged""")
 def queue_summary(spark, d):
@@ -117,7 +117,7 @@ def current_review_status(spark, d):
 
 
 @job("routed_to_review", "C9", f"""WITH {AUDITS}
-SELECT audit_id, round(trust, 6) AS trust, left(report_json, 200) AS input_preview, 'pending' AS status FROM audits WHERE trust < 0.6""")
+SELECT audit_id, round(trust, 9) AS trust, left(report_json, 200) AS input_preview, 'pending' AS status FROM audits WHERE trust < 0.6""")
 def routed_to_review(spark, d):
     return rounded(RV.routed(audits(spark, d).withColumnRenamed("report_json", "input")))
 
@@ -183,7 +183,7 @@ def feedback_counts(spark, d):
 @job("proposed_weights", "A24", f"""WITH {AUDITS}, {FEEDBACK},
 r AS (SELECT count(*) AS n, avg(CAST(bias_flag AS INT)) AS bias_ratio, avg(CAST(NOT correct AS INT)) AS incorrect_ratio FROM feedback),
 w AS (SELECT *, CAST(CASE WHEN incorrect_ratio > 0.3 THEN 0.45 ELSE 0.4 END AS DOUBLE) AS t, CAST(CASE WHEN bias_ratio > 0.3 THEN 0.45 ELSE 0.4 END AS DOUBLE) AS b, CAST(0.2 AS DOUBLE) AS c FROM r)
-SELECT n, round(bias_ratio, 6) AS bias_ratio, round(incorrect_ratio, 6) AS incorrect_ratio, round(t / (t + b + c), 4) AS truth,
+SELECT n, round(bias_ratio, 9) AS bias_ratio, round(incorrect_ratio, 9) AS incorrect_ratio, round(t / (t + b + c), 4) AS truth,
   round(b / (t + b + c), 4) AS bias, round(c / (t + b + c), 4) AS confidence FROM w""")
 def proposed_weights(spark, d):
     return rounded(FB.propose_weights(feedback(spark, d)))
@@ -197,7 +197,7 @@ def retrain_trigger(spark, d):
 @job("checked_weights", "C4", """WITH p AS (SELECT event_id, CAST(props->>'$.k' AS INT) / 100.0::DOUBLE AS truth, least(value / 100.0::DOUBLE, 1.2::DOUBLE) AS bias, 0.2::DOUBLE AS confidence FROM events),
 t AS (SELECT *, truth + bias + confidence AS total FROM p),
 v AS (SELECT *, truth BETWEEN 0 AND 1 AND bias BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1 AND abs(total - 1) <= 0.02 AS valid FROM t)
-SELECT event_id, round(total, 6) AS total, valid, CASE WHEN valid THEN round(truth / total, 4) END AS truth_scaled,
+SELECT event_id, round(total, 9) AS total, valid, CASE WHEN valid THEN round(truth / total, 4) END AS truth_scaled,
   CASE WHEN valid THEN round(bias / total, 4) END AS bias_scaled, CASE WHEN valid THEN round(confidence / total, 4) END AS confidence_scaled FROM v""")
 def checked_weights(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
@@ -208,7 +208,7 @@ def checked_weights(spark, d):
 
 
 @job("trust_under_presets", "C4 J5", f"""WITH {AUDITS}, p AS (SELECT * FROM (VALUES ('general', 0.40, 0.40, 0.20), ('healthcare', 0.45, 0.35, 0.20), ('finance', 0.38, 0.42, 0.20), ('hiring', 0.35, 0.45, 0.20)) v(preset, wt, wb, wc))
-SELECT audit_id, preset, round(CASE WHEN truth IS NOT NULL THEN greatest(0, least(1, wt::DOUBLE * truth + wb::DOUBLE * (1 - bias) + wc::DOUBLE * 0.85)) END, 6) AS trust FROM audits, p""")
+SELECT audit_id, preset, round(CASE WHEN truth IS NOT NULL THEN greatest(0, least(1, wt::DOUBLE * truth + wb::DOUBLE * (1 - bias) + wc::DOUBLE * 0.85)) END, 9) AS trust FROM audits, p""")
 def trust_under_presets(spark, d):
     scored = FB.score_under_presets(audits(spark, d).drop("trust").withColumn("confidence", F.lit(0.85)), "truth", "bias", "confidence")
     return rounded(scored.select("audit_id", "preset", "trust"))

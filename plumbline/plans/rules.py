@@ -22,7 +22,7 @@ def _scored(spark, d):
 
 
 @job("trust_components", "C3", f"""WITH {SCORED}
-SELECT audit_id, round(truth * 0.4, 6) AS truth_part, round((1 - bias) * 0.4, 6) AS bias_part, round(CAST(0.85 * 0.2 AS DOUBLE), 6) AS confidence_part, round(trust, 6) AS trust FROM scored""")
+SELECT audit_id, round(truth * 0.4, 9) AS truth_part, round((1 - bias) * 0.4, 9) AS bias_part, round(CAST(0.85 * 0.2 AS DOUBLE), 9) AS confidence_part, round(trust, 9) AS trust FROM scored""")
 def trust_components(spark, d):
     parts = scores.trust_parts(F.col("truth"), F.col("bias"), F.lit(K.DEFAULT_CONFIDENCE))
     rows = _scored(spark, d).select("audit_id", parts.alias("p"))
@@ -32,7 +32,7 @@ def trust_components(spark, d):
     )
 
 
-@job("weighted_sums", "C2", f"""WITH {SCORED} SELECT audit_id, round(truth * 0.5 + bias * 0.3 + k * 0.2, 6) AS y FROM scored""")
+@job("weighted_sums", "C2", f"""WITH {SCORED} SELECT audit_id, round(truth * 0.5 + bias * 0.3 + k * 0.2, 9) AS y FROM scored""")
 def weighted_sums(spark, d):
     values = F.array("truth", "bias", F.col("k").cast("double"))
     return rounded(_scored(spark, d).select("audit_id", scores.weighted_sum(values, F.lit([0.5, 0.3, 0.2])).alias("y")))
@@ -83,7 +83,7 @@ def score_deltas(spark, d):
 
 
 @job("extracted_scores", "C16", f"""WITH {AUDITS}
-SELECT audit_id, round(coalesce(trust, CAST(report_json->>'$.k' AS DOUBLE) * 0), 6) AS trust, round(coalesce(bias, 0), 6) AS bias,
+SELECT audit_id, round(coalesce(trust, CAST(report_json->>'$.k' AS DOUBLE) * 0), 9) AS trust, round(coalesce(bias, 0), 9) AS bias,
   CAST(0 AS DOUBLE) AS truth, CAST(0 AS DOUBLE) AS cluster, CAST(k AS DOUBLE) AS distribution FROM audits""")
 def extracted_scores(spark, d):
     """Flat columns first, then nested JSON, then zero."""

@@ -59,7 +59,7 @@ def pruned_reviews(spark, d):
 
 
 @job("newest_audits", "T1 T3", f"""WITH {AUDITS}
-SELECT audit_id, round(trust, 6) AS trust, round(bias, 6) AS bias, round(truth, 6) AS truth, created_at
+SELECT audit_id, round(trust, 9) AS trust, round(bias, 9) AS bias, round(truth, 9) AS truth, created_at
 FROM audits ORDER BY created_at DESC, audit_id DESC LIMIT 30""")
 def newest_audits(spark, d):
     newest = store.newest(audits(spark, d), ["created_at", "audit_id"], 30)
@@ -67,7 +67,7 @@ def newest_audits(spark, d):
 
 
 @job("recent_dashboard", "T2", f"""WITH {AUDITS}
-SELECT audit_id, left(report_json, 100) AS preview, audit_type, round(trust, 6) AS trust, coalesce(CAST(report_json->>'$.k' AS DOUBLE), 0) AS k_metric,
+SELECT audit_id, left(report_json, 100) AS preview, audit_type, round(trust, 9) AS trust, coalesce(CAST(report_json->>'$.k' AS DOUBLE), 0) AS k_metric,
        CAST(report_json->>'$.absent' AS DOUBLE) AS absent_metric
 FROM audits ORDER BY created_at DESC, audit_id DESC LIMIT 20""")
 def recent_dashboard(spark, d):

@@ -66,7 +66,7 @@ def stream_weight_fold(spark, d):
 
 
 @job("stream_scoring", "ST5", f"""WITH {AUDITS}
-SELECT audit_id, round(trust, 6) AS trust, CASE WHEN trust < 0.5 THEN 'critical' WHEN trust < 0.6 THEN 'elevated' WHEN trust < 0.75 THEN 'moderate' WHEN trust IS NOT NULL THEN 'low' END AS risk,
+SELECT audit_id, round(trust, 9) AS trust, CASE WHEN trust < 0.5 THEN 'critical' WHEN trust < 0.6 THEN 'elevated' WHEN trust < 0.75 THEN 'moderate' WHEN trust IS NOT NULL THEN 'low' END AS risk,
   coalesce(trust < 0.6, false) AS queued FROM audits""")
 def stream_scoring(spark, d):
     """Audits and queue written by the stream, joined again for comparison."""

@@ -98,7 +98,7 @@ def label_encoded_parts(spark, d):
 
 
 @job("median_imputed", "P8", """WITH e AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)
-SELECT event_id, round(coalesce(value, (SELECT median(value) FROM e)), 6) AS value FROM e""")
+SELECT event_id, round(coalesce(value, (SELECT median(value) FROM e)), 9) AS value FROM e""")
 def median_imputed(spark, d):
     e = load(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
     return rounded(encode.impute_median(e, ["value"]))

@@ -48,18 +48,18 @@ def first_claims(spark, d):
     return CL.explode_claims(outputs(spark, d), ["conv_id", "turn"], "output", first=12)
 
 
-@job("kb_vocabulary", "X2", f"WITH {INDEX} SELECT term, df, cf, round(idf, 6) AS idf FROM vocabulary")
+@job("kb_vocabulary", "X2", f"WITH {INDEX} SELECT term, df, cf, round(idf, 9) AS idf FROM vocabulary")
 def kb_vocabulary(spark, d):
     return rounded(_index(spark, d).vocabulary)
 
 
-@job("kb_term_weights", "X2 X3", f"WITH {INDEX} SELECT kb_id, term, round(w, 6) AS w FROM kb_weights")
+@job("kb_term_weights", "X2 X3", f"WITH {INDEX} SELECT kb_id, term, round(w, 9) AS w FROM kb_weights")
 def kb_term_weights(spark, d):
     return rounded(_index(spark, d).postings.filter(F.col("term") != R.ANCHOR).select("kb_id", "term", "w"))
 
 
 @job("document_term_weights", "X2 X4", f"""WITH {INDEX}, {sql_support('documents', 'doc_id', 'text')}
-SELECT doc_id, term, round(w, 6) AS w FROM text_weights""")
+SELECT doc_id, term, round(w, 9) AS w FROM text_weights""")
 def document_term_weights(spark, d):
     """Whole documents in the knowledge base's vocabulary."""
     weighed = R.weigh(load(spark, d, "documents"), ["doc_id"], "text", _index(spark, d))
@@ -67,7 +67,7 @@ def document_term_weights(spark, d):
 
 
 @job("claim_support", "X4 X5 J4 W4", f"""WITH {INDEX}, {DOC_CLAIMS}, {sql_support('claims', 'doc_id, pos', 'claim')}
-SELECT doc_id, pos, round(groundedness, 6) AS groundedness, round(truth, 6) AS truth FROM support""")
+SELECT doc_id, pos, round(groundedness, 9) AS groundedness, round(truth, 9) AS truth FROM support""")
 def claim_support(spark, d):
     """Every claim of every document against the knowledge base."""
     scored = R.score_claims(_doc_claims(spark, d), ["doc_id", "pos"], "claim", _index(spark, d))
@@ -87,7 +87,7 @@ def claim_hits(spark, d):
 
 
 @job("claim_hits_in_blocks", "W4 J4", f"""WITH {INDEX}, {TURN_CLAIMS}, {sql_support('claims', 'conv_id, turn, pos', 'claim')}
-SELECT conv_id, turn, pos, CAST(rank AS INT) AS rank, kb_id, round(sim, 6) AS sim FROM hits""")
+SELECT conv_id, turn, pos, CAST(rank AS INT) AS rank, kb_id, round(sim, 9) AS sim FROM hits""")
 def claim_hits_in_blocks(spark, d):
     """The same search as for an index too large to broadcast: block by block."""
     index = _index(spark, d)
@@ -121,15 +121,15 @@ def _judged(spark, d):
 
 
 @job("judged_claims", "X8 X9 X10", f"""WITH {JUDGED}
-SELECT doc_id, pos, verdict, round(claim_truth, 6) AS claim_truth, claim_truth < 0.65 AS hallucinated FROM judged""")
+SELECT doc_id, pos, verdict, round(claim_truth, 9) AS claim_truth, claim_truth < 0.65 AS hallucinated FROM judged""")
 def judged_claims(spark, d):
     return rounded(_judged(spark, d).select("doc_id", "pos", "verdict", "claim_truth", "hallucinated"))
 
 
 @job("text_truth", "A26 X8 X15", f"""WITH {JUDGED},
 r AS (SELECT doc_id, count(*) AS n_claims, count(*) FILTER (claim_truth < 0.65) AS n_hallucinated, avg(claim_truth) AS avg_truth, avg(groundedness) AS g, avg(vs) AS v FROM judged GROUP BY doc_id)
-SELECT doc_id, n_claims, n_hallucinated, round(avg_truth, 6) AS avg_truth, round(g, 6) AS avg_groundedness, round(v, 6) AS avg_verdict,
-  round(n_hallucinated / n_claims, 6) AS hallucination_rate, round(least(1, greatest(0, 0.4 * g + 0.6 * v)), 6) AS text_truth FROM r""")
+SELECT doc_id, n_claims, n_hallucinated, round(avg_truth, 9) AS avg_truth, round(g, 9) AS avg_groundedness, round(v, 9) AS avg_verdict,
+  round(n_hallucinated / n_claims, 9) AS hallucination_rate, round(least(1, greatest(0, 0.4 * g + 0.6 * v)), 9) AS text_truth FROM r""")
 def text_truth(spark, d):
     return rounded(CL.roll_up(_judged(spark, d), ["doc_id"]))
 
@@ -153,8 +153,8 @@ audited AS (
 
 
 @job("output_audit", "X10 X11 X14 A26 C3 C9", f"""WITH {AUDITED}
-SELECT conv_id, turn, n_claims, n_hallucinated, round(avg_truth, 6) AS avg_truth, round(rate, 6) AS hallucination_rate, round(trust_before, 6) AS trust_before,
-  round(trust_after, 6) AS trust_after, round(trust_after - trust_before, 6) AS trust_delta, trust_after < 0.6 AS requires_review, corrected FROM audited""")
+SELECT conv_id, turn, n_claims, n_hallucinated, round(avg_truth, 9) AS avg_truth, round(rate, 9) AS hallucination_rate, round(trust_before, 9) AS trust_before,
+  round(trust_after, 9) AS trust_after, round(trust_after - trust_before, 9) AS trust_delta, trust_after < 0.6 AS requires_review, corrected FROM audited""")
 def output_audit(spark, d):
     """The whole audit of assistant turns, corrected texts included."""
     audited = CR.audit_outputs(outputs(spark, d), ["conv_id", "turn"], "output", articles(spark, d), _index(spark, d))
@@ -174,7 +174,7 @@ corrected AS (
 
 
 @job("corrected_texts", "X12 X13 T7", f"""WITH {CORRECTED}
-SELECT conv_id, turn, round(truth, 6) AS truth, round(sim, 6) AS best_sim, corrected FROM corrected""")
+SELECT conv_id, turn, round(truth, 9) AS truth, round(sim, 9) AS best_sim, corrected FROM corrected""")
 def corrected_texts(spark, d):
     """Whole texts rewritten from their best citation."""
     fixed = CR.correct_texts(outputs(spark, d), ["conv_id", "turn"], "output", articles(spark, d), _index(spark, d))
@@ -185,7 +185,7 @@ def corrected_texts(spark, d):
 first AS (SELECT conv_id, turn, corrected, 0.4 * truth + 0.4 * 0.5 + 0.17 AS trust FROM corrected),
 again AS (SELECT conv_id AS c, turn AS t, corrected FROM first WHERE trust < 0.7),
 {sql_support('again', 'c, t', 'corrected').replace('text_words', 'w2').replace('text_terms', 't2').replace('text_weights', 'v2').replace('sims', 's2').replace('hits', 'h2').replace('support', 'p2')}
-SELECT conv_id, turn, round(trust, 6) AS trust, round(CASE WHEN trust < 0.7 THEN 0.4 * p2.truth + 0.4 * (1 - 0.3) + 0.17 ELSE trust END, 6) AS final_trust,
+SELECT conv_id, turn, round(trust, 9) AS trust, round(CASE WHEN trust < 0.7 THEN 0.4 * p2.truth + 0.4 * (1 - 0.3) + 0.17 ELSE trust END, 9) AS final_trust,
   CASE WHEN trust < 0.7 THEN 0.4 * p2.truth + 0.4 * (1 - 0.3) + 0.17 ELSE trust END < 0.6 AS requires_review
 FROM first LEFT JOIN p2 ON c = conv_id AND t = turn""")
 def reevaluated_texts(spark, d):
@@ -202,7 +202,7 @@ def reevaluated_texts(spark, d):
 
 
 @job("scored_once", "P19 X5", f"""WITH {INDEX}, {sql_support('documents', 'doc_id', 'text')}
-SELECT doc_id, round(groundedness, 6) AS groundedness, round(truth, 6) AS truth FROM support""")
+SELECT doc_id, round(groundedness, 9) AS groundedness, round(truth, 9) AS truth FROM support""")
 def scored_once(spark, d):
     """Copies of a document are scored once and share the result."""
     index = _index(spark, d)
@@ -220,13 +220,13 @@ def _vectors(spark, d, ident):
     return load(spark, d, "embeddings").select(F.col("vec_id").alias(ident), R.normalise(F.col("embedding")).alias("v"))
 
 
-@job("dense_neighbours", "J3 X16 X3 W4", f"WITH {DENSE} SELECT q_id, kb_id, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
+@job("dense_neighbours", "J3 X16 X3 W4", f"WITH {DENSE} SELECT q_id, kb_id, round(sim, 9) AS sim, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
 def dense_neighbours(spark, d):
     """Exact top three of every vector against all others."""
     return rounded(R.dense_hits(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True))
 
 
-@job("dense_neighbours_in_blocks", "J3 X16", f"WITH {DENSE} SELECT q_id, kb_id, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
+@job("dense_neighbours_in_blocks", "J3 X16", f"WITH {DENSE} SELECT q_id, kb_id, round(sim, 9) AS sim, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
 def dense_neighbours_in_blocks(spark, d):
     """The same with small blocks, as for sides that fill many tasks."""
     hits = R.dense_hits(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True, query_rows=200, passage_rows=150)
@@ -234,7 +234,7 @@ def dense_neighbours_in_blocks(spark, d):
 
 
 @job("dense_support", "X5 X16", f"""WITH {DENSE}
-SELECT q_id, round(sum(sim) / 3, 6) AS groundedness, round(least(sum(sim) / 3 / 0.6, 1), 6) AS truth FROM ranked WHERE rank <= 3 GROUP BY q_id""")
+SELECT q_id, round(sum(sim) / 3, 9) AS groundedness, round(least(sum(sim) / 3 / 0.6, 1), 9) AS truth FROM ranked WHERE rank <= 3 GROUP BY q_id""")
 def dense_support(spark, d):
     queries = _vectors(spark, d, "q_id")
     hits = R.dense_hits(queries, _vectors(spark, d, "kb_id"), exclude_self=True)
