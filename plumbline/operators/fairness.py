@@ -113,7 +113,8 @@ def bias_metrics(
     Without named groups the first two values in string order are compared. ``compat``
     reproduces the audited product's reading of a zero ratio: it is never flagged, and
     an undefined ratio counts as zero. By default total exclusion is flagged and an
-    undefined ratio stays null.
+    undefined ratio stays null. Where a named group has no rows the metrics are null and
+    ``status`` says so.
     """
     pair = _pair(group_rates(df, label, group, by), group, by, unprivileged, privileged)
     varied = (F.col("n_groups") > 1) & (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
@@ -130,7 +131,8 @@ def bias_metrics(
     if compat:
         below = below & (F.col("impact_ratio") != 0)
     return out.withColumn("four_fifths_violated", F.coalesce(below, F.lit(False))).withColumn(
-        "status", F.when(varied, "ok").otherwise("degenerate")
+        "status",
+        F.when(~varied, "degenerate").when(F.col("parity_difference").isNull(), "missing group").otherwise("ok"),
     )
 
 

@@ -13,21 +13,20 @@ from plumbline.plans.registry import job, rounded
 from plumbline.sources.tables import load
 
 SCORECARD_SQL = f"""WITH {DECISIONS},
-rates AS (SELECT dataset, segment, count(*) AS n, CAST(sum(label) AS DOUBLE) / count(*) AS rate FROM decisions GROUP BY ALL),
+rates AS (SELECT dataset, segment, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, avg(label) AS rate FROM decisions GROUP BY dataset, segment),
 pairs AS (
-  SELECT dataset, CAST(sum(n) AS BIGINT) AS n,
+  SELECT dataset, CAST(sum(n) AS BIGINT) AS n, count(*) > 1 AND sum(positives) > 0 AND sum(positives) < sum(n) AS varied,
          max(CASE WHEN segment = 'AUTOMOBILE' THEN rate END) AS low,
          max(CASE WHEN segment = 'BUILDING' THEN rate END) AS high
   FROM rates GROUP BY dataset),
-scored AS (
-  SELECT *, abs(low - high) AS gap, greatest(0.0, least(1.0, 0.4 * 0.5 + 0.4 * (1 - abs(low - high)) + 0.2 * 0.85)) AS trust
-  FROM pairs)
+gaps AS (SELECT *, CASE WHEN varied THEN abs(low - high) ELSE 0 END AS gap, CASE WHEN varied THEN low / nullif(high, 0) ELSE 1 END AS ratio FROM pairs),
+scored AS (SELECT *, CASE WHEN gap IS NOT NULL THEN greatest(0, least(1, 0.4 * 0.5 + 0.4 * (1 - gap) + 0.2 * 0.85)) END AS trust FROM gaps)
 SELECT n_name AS dataset_name, n AS n_rows, round(low, 9) AS rate_unprivileged, round(high, 9) AS rate_privileged,
-       round(gap, 9) AS parity_difference, round(low / nullif(high, 0), 9) AS impact_ratio,
-       gap > 0.1 AS bias_detected, coalesce(low / nullif(high, 0) < 0.8, false) AS four_fifths_violated,
-       round(trust, 9) AS trust,
-       CASE WHEN trust < 0.5 THEN 'critical' WHEN trust < 0.6 THEN 'elevated' WHEN trust < 0.75 THEN 'moderate' ELSE 'low' END AS risk,
-       CASE WHEN trust >= 0.7 THEN 'approve' ELSE 'correct' END AS decision,
+       round(gap, 9) AS parity_difference, round(ratio, 9) AS impact_ratio, gap > 0.1 AS bias_detected,
+       coalesce(ratio < 0.8, false) AS four_fifths_violated,
+       CASE WHEN NOT varied THEN 'degenerate' WHEN gap IS NULL THEN 'missing group' ELSE 'ok' END AS status, round(trust, 9) AS trust,
+       CASE WHEN trust < 0.5 THEN 'critical' WHEN trust < 0.6 THEN 'elevated' WHEN trust < 0.75 THEN 'moderate' WHEN trust IS NOT NULL THEN 'low' END AS risk,
+       CASE WHEN trust >= 0.7 THEN 'approve' WHEN trust IS NOT NULL THEN 'correct' END AS decision,
        trust < 0.6 AS requires_review
 FROM scored JOIN nation ON n_nationkey = dataset"""
 
@@ -42,7 +41,7 @@ def trust_scorecard(spark, d):
     return rounded(
         scored.select(
             "dataset_name", F.col("n").alias("n_rows"), "rate_unprivileged", "rate_privileged", "parity_difference",
-            "impact_ratio", "bias_detected", "four_fifths_violated", "trust",
+            "impact_ratio", "bias_detected", "four_fifths_violated", "status", "trust",
             scores.risk_band(F.col("trust")).alias("risk"),
             scores.decision(F.col("trust")).alias("decision"),
             scores.needs_review(F.col("trust")).alias("requires_review"),

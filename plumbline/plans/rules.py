@@ -66,7 +66,7 @@ def mode_defaults(spark, d):
 
 
 @job("score_deltas", "C12", f"""WITH {DECISIONS},
-r AS (SELECT dataset, abs(avg(label) FILTER (segment = 'AUTOMOBILE') - avg(label) FILTER (segment = 'BUILDING')) AS gap FROM decisions GROUP BY dataset),
+r AS (SELECT dataset, abs(coalesce(avg(label) FILTER (segment = 'AUTOMOBILE'), 0) - coalesce(avg(label) FILTER (segment = 'BUILDING'), 0)) AS gap FROM decisions GROUP BY dataset),
 s AS (SELECT dataset, 0.2 + 0.4 * (1 - gap) + 0.17 AS before, 0.2 + 0.4 * (1 - gap * 0.6) + 0.17 AS after FROM r)
 SELECT dataset, round(before, 4) AS trust_before, round(after, 4) AS trust_after, round(after - before, 4) AS trust_delta FROM s""")
 def score_deltas(spark, d):
