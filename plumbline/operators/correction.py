@@ -52,6 +52,13 @@ def best_passage(scored: DataFrame, kb: DataFrame, row_id: Sequence[str]) -> Dat
     return join_to_unique(picked, articles, "best_id", row_id)
 
 
+def cite(hits: DataFrame, kb: DataFrame, row_id: Sequence[str]) -> DataFrame:
+    """Hits with title, source, similarity and snippet: the citation list of each text."""
+    articles = kb.select("kb_id", "title", "source", snippet(F.col("content")).alias("snippet"))
+    cited = join_to_unique(hits, articles, "kb_id", [*row_id, "rank"], how="inner")
+    return cited.withColumn("similarity", F.round("sim", 4)).drop("sim")
+
+
 def replace_first(text: Column, claim: Column, replacement: Column) -> Column:
     """Literal replacement of the first occurrence; the text itself where there is none."""
     at = F.call_function("locate", claim, text)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators import moments, profile
+from plumbline.operators.skew import HOT_ROWS, small_enough
 from plumbline.session import materialise
 
 MISSING = "missing"
@@ -42,25 +43,29 @@ def value_codes(df: DataFrame, column: str, small: int = 100_000) -> DataFrame:
     )
 
 
-def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add the sorted-string code of ``column``; the join side is sized by the optimiser."""
+def label_encode(df: DataFrame, column: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the sorted-string code of ``column``.
+
+    A code table of checked size is broadcast. Otherwise the codes of frequent values are
+    (rows / bound of them at most), and only the rows of rare values are shuffled.
+    """
     codes = value_codes(df, column).withColumnsRenamed({"value": "_value", "code": out})
-    return df.join(codes, F.col(column).cast("string") == F.col("_value"), "left").drop("_value")
+    key = F.col(column).cast("string")
+    matches = key == F.col("_value")
+    if small_enough(codes):
+        return df.join(F.broadcast(codes), matches, "left").drop("_value")
+    counts = df.groupBy(key.alias("_value")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    frequent = codes.join(F.broadcast(counts.select("_value")), "_value", "left_semi")
+    marked = df.join(F.broadcast(frequent), matches, "left").drop("_value")
+    rare = marked.filter(F.col(out).isNull()).drop(out).join(codes, matches, "left").drop("_value")
+    return marked.filter(F.col(out).isNotNull()).unionByName(rare)
 
 
 def binarise_by_median(df: DataFrame, column: str, out: str) -> DataFrame:
     """1 where a row's value code lies above the median code, for targets with many values."""
-    codes = value_codes(df, column)
-    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # the median of the codes follows from the counts per code, without the rows
-    ranked = counts.join(codes, "value")
-    upto = Window.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
-    cum = ranked.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    lower = F.min(F.when(F.col("upto") >= F.floor((F.col("total") + 1) / 2), F.col("code")))
-    upper = F.min(F.when(F.col("upto") >= F.floor(F.col("total") / 2) + 1, F.col("code")))
-    median = cum.agg(((lower + upper) / 2).alias("m")).first()["m"]
-    above = codes.select(F.col("value").alias("_value"), (F.col("code") > median).cast("int").alias(out))
-    return df.join(above, F.col(column).cast("string") == F.col("_value"), "left").drop("_value")
+    coded = label_encode(df, column, "_code")
+    middle = moments.medians(coded, ["_code"])["_code"]
+    return coded.withColumn(out, (F.col("_code") > middle).cast("int")).drop("_code")
 
 
 def one_hot(column: str, values: Sequence[str], drop_first: bool = False) -> list[Column]:

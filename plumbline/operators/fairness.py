@@ -48,6 +48,20 @@ def opportunity_gap(df, y: str, pred: str, group: str, first, second, by: Sequen
     return _agg(df, by, *tprs).withColumn("opportunity_gap", F.abs(F.col("tpr_first") - F.col("tpr_second")))
 
 
+def prediction_gaps(df, y: str, pred: str, group: str, first, second, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, both gaps and their mean (the bias score), in one pass."""
+    a, p, g = F.col(y), F.col(pred), F.col(group)
+    rate = [stats.ratio_or_zero(stats.count_where((g == v) & (p == 1)), stats.count_where(g == v)) for v in (first, second)]
+    tpr = [stats.true_positive_rate(a, p, g == v) for v in (first, second)]
+    out = _agg(
+        df, by,
+        F.avg((a == p).cast("double")).alias("accuracy"),
+        F.abs(rate[0] - rate[1]).alias("demographic_parity"),
+        F.abs(tpr[0] - tpr[1]).alias("equal_opportunity"),
+    )
+    return out.withColumn("bias_score", (F.col("demographic_parity") + F.col("equal_opportunity")) / 2)
+
+
 def odds_gap(df, y: str, pred: str, group: str, first, second, by: Sequence[str] = ()) -> DataFrame:
     """Equalised-odds difference proper: the larger of the TPR gap and the FPR gap."""
     cols = (F.col(y), F.col(pred))

@@ -64,14 +64,15 @@ def bias_score(
             return {"bias": 0.0, "parity": 0.0, "opportunity": 0.0, "importance": dict.fromkeys(features, 0.0)}
         model = fit_linear(ready, label)
         predicted = model.transform(ready).select(label, "_group", F.col("prediction").cast("int").alias("pred"))
-        dp = fairness.parity_gap(predicted, "pred", "_group", 0, 1)
-        eo = fairness.opportunity_gap(predicted, label, "pred", "_group", 0, 1)
-        parity, opportunity = dp.first()["parity_gap"], eo.first()["opportunity_gap"]
+        gaps = fairness.prediction_gaps(predicted, label, "pred", "_group", 0, 1).first()
         importance = permutation_importance(ready, features, label, model, row_id)
         shares = {r["feature"]: r["share"] for r in importance.collect()}  # one row per feature
     finally:
         ready.unpersist()
-    return {"bias": (parity + opportunity) / 2, "parity": parity, "opportunity": opportunity, "importance": shares}
+    return {
+        "bias": gaps["bias_score"], "parity": gaps["demographic_parity"],
+        "opportunity": gaps["equal_opportunity"], "importance": shares,
+    }
 
 
 def permutation_importance(
@@ -204,20 +205,6 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def holdout_metrics(predicted: DataFrame, label: str, group: str, first, second) -> DataFrame:
-    """Accuracy, both gaps and their mean, in one pass."""
-    from plumbline.functions import stats
-
-    y, p, g = F.col(label), F.col("pred"), F.col(group)
-    rate = {v: stats.ratio_or_zero(stats.count_where((g == v) & (p == 1)), stats.count_where(g == v)) for v in (first, second)}
-    tpr = {v: stats.true_positive_rate(y, p, g == v) for v in (first, second)}
-    return predicted.agg(
-        accuracy(label, "pred").alias("accuracy"),
-        F.abs(rate[first] - rate[second]).alias("demographic_parity"),
-        F.abs(tpr[first] - tpr[second]).alias("equal_opportunity"),
-    ).withColumn("bias_score", (F.col("demographic_parity") + F.col("equal_opportunity")) / 2)
-
-
 def compare_models(
     rows: DataFrame, key: str, label: str, group: str, first, second, trees: int = 120, seed: int = 42
 ) -> DataFrame:
@@ -235,7 +222,7 @@ def compare_models(
     out = None
     for name, scored in candidates.items():
         predicted = scored().withColumn("pred", F.col("prediction").cast("int"))
-        row = holdout_metrics(predicted, label, group, first, second).select(F.lit(name).alias("model"), "*")
+        row = fairness.prediction_gaps(predicted, label, "pred", group, first, second).select(F.lit(name).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out.orderBy("bias_score", F.col("accuracy").desc())
 
@@ -251,7 +238,7 @@ def mitigate(
     out = None
     for stage, weight in (("before", None), ("after", "weight")):
         predicted = predict(train(fit_rows, label, weight), held)
-        row = holdout_metrics(predicted, label, group, protected_value, other_value).select(F.lit(stage).alias("stage"), "*")
+        row = fairness.prediction_gaps(predicted, label, "pred", group, protected_value, other_value).select(F.lit(stage).alias("stage"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

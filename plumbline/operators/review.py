@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline import constants as K
 from plumbline.functions import scores
-from plumbline.operators.skew import HOT_ROWS, with_time_bucket
+from plumbline.operators.skew import HOT_ROWS, join_to_unique, with_time_bucket
 from plumbline.operators.store import latest
 
 STATUSES = ["pending", "approved", "rejected", "escalated"]
@@ -21,8 +21,11 @@ DECIDED = ["approved", "rejected"]
 
 
 def enrich(reviews: DataFrame, audits: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Reviews with their audit's columns; reviews of unknown audits stay, with nulls."""
-    return reviews.join(audits.select("audit_id", *columns), "audit_id", "left")
+    """Reviews with their audit's columns; reviews of unknown audits stay, with nulls.
+
+    One audit may draw very many reviews, hence the skew-safe join.
+    """
+    return join_to_unique(reviews, audits.select("audit_id", *columns), "audit_id", ["review_id"])
 
 
 def with_latest_review(audits: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def routed(df: DataFrame, preview_chars: int = 200) -> DataFrame:
 def decisions_to_rejects(decisions: DataFrame, audits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid decisions, and rejects: unknown audit, or a rejection without notes."""
     known = audits.select("audit_id", F.lit(True).alias("_known"))
-    marked = decisions.join(known, "audit_id", "left")
+    marked = join_to_unique(decisions, known, "audit_id", ["review_id"])
     no_notes = (F.col("status") == "rejected") & (F.coalesce(F.col("notes"), F.lit("")) == "")
     reason = F.when(F.col("_known").isNull(), "unknown audit").when(no_notes, "rejection needs notes")
     marked = marked.withColumn("reason", reason).drop("_known")

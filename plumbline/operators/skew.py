@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 # Bounds the rows of one key that reach one task, and (rows / bound) the hot keys.
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast: counted, and its texts measured."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    width = sum(texts, F.lit(16 * len(df.columns)))
+    size = df.limit(rows + 1).select(width.alias("w")).agg(F.count("w").alias("n"), F.sum("w").alias("b")).first()
+    return size["n"] <= rows and (size["b"] or 0) <= bytes_
 
 
 def join_to_unique(

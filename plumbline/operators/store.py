@@ -32,7 +32,7 @@ def append_audits(path: str, batch: DataFrame) -> None:
 
 def split_updates(incoming: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Append-only guard: rows with a new key, and rows that would change a stored one."""
-    known = stored.select(key).distinct()
+    known = stored.select(key)
     return incoming.join(known, key, "left_anti"), incoming.join(known, key, "left_semi")
 
 

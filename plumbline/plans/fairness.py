@@ -90,17 +90,17 @@ r AS (SELECT dataset, coalesce(avg(pred) FILTER (segment = 'AUTOMOBILE'), 0) AS
              coalesce(avg(pred) FILTER (segment = 'AUTOMOBILE' AND label = 1), 0) AS ta,
              coalesce(avg(pred) FILTER (segment = 'BUILDING' AND label = 1), 0) AS tb
       FROM decisions GROUP BY dataset)
-SELECT dataset, round(abs(a - b), 4) AS parity_gap, round(abs(ta - tb), 4) AS opportunity_gap,
-       round((abs(a - b) + abs(ta - tb)) / 2, 4) AS bias_score
+SELECT dataset, round(abs(a - b), 9) AS parity_gap, round(abs(ta - tb), 9) AS opportunity_gap,
+       round((abs(a - b) + abs(ta - tb)) / 2, 9) AS bias_score
 FROM r""")
 def bias_scan(spark, d):
-    """The bias score of many datasets on given predictions, joined on one small key."""
-    rows = decisions(spark, d)
-    pair = ("segment", "AUTOMOBILE", "BUILDING")
-    dp = FA.parity_gap(rows, "pred", *pair, by=["dataset"]).select("dataset", "parity_gap")
-    eo = FA.opportunity_gap(rows, "label", "pred", *pair, by=["dataset"]).select("dataset", "opportunity_gap")
-    out = dp.join(eo, "dataset").withColumn("bias_score", (F.col("parity_gap") + F.col("opportunity_gap")) / 2)
-    return rounded(out, 4)
+    """The bias score of many datasets on given predictions, in one pass."""
+    found = FA.prediction_gaps(decisions(spark, d), "label", "pred", "segment", "AUTOMOBILE", "BUILDING", by=["dataset"])
+    return rounded(
+        found.select(
+            "dataset", F.col("demographic_parity").alias("parity_gap"), F.col("equal_opportunity").alias("opportunity_gap"), "bias_score"
+        )
+    )
 
 
 @job("confusion_by_group", "A3 A27", f"""WITH {DECISIONS},

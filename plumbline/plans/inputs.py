@@ -10,21 +10,24 @@ outputs     assistant turns, with the user turn before them as prompt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import constants as K
 from plumbline.functions import scores
+from plumbline.operators.skew import join_to_unique
 from plumbline.sources.tables import load
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
-    """The customer side is a dimension; the optimiser broadcasts it only while it is small."""
-    orders = load(spark, d, "orders")
-    customer = load(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    """One customer may hold many of the orders, hence the skew-safe join."""
+    orders = load(spark, d, "orders").withColumnRenamed("o_custkey", "custkey")
+    customer = load(spark, d, "customer").select(
+        F.col("c_custkey").alias("custkey"), "c_nationkey", "c_mktsegment", "c_acctbal"
+    )
+    return join_to_unique(orders, customer, "custkey", ["o_orderkey"], how="inner").select(
         F.col("o_orderkey").alias("row_id"),
-        F.col("o_custkey").alias("custkey"),
+        "custkey",
         F.col("c_nationkey").alias("dataset"),
         F.col("c_mktsegment").alias("segment"),
         F.col("o_orderpriority").alias("priority"),

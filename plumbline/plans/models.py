@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit as AU
+from plumbline.operators import fairness as FA
 from plumbline.operators import models as M
 from plumbline.plans.inputs import decisions
 from plumbline.plans.registry import job, rounded
@@ -84,7 +85,7 @@ def predictions(spark, d):
 def model_fairness(spark, d):
     """Both gaps of the deployed model over the whole table."""
     rows = _encoded_decisions(spark, d)
-    return M.holdout_metrics(M.predict(M.train(rows, "label"), rows), "label", "segment", "AUTOMOBILE", "BUILDING")
+    return FA.prediction_gaps(M.predict(M.train(rows, "label"), rows), "label", "pred", "segment", "AUTOMOBILE", "BUILDING")
 
 
 @job("model_comparison", "A16 M5 U5")
@@ -103,16 +104,17 @@ def row_explanations(spark, d):
     return M.explain_rows(M.train(ready, "label"), ready, FEATURES, ["row_id"])
 
 
-STANDARD = """s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  [('quantity', 0.8::DOUBLE * (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER ()),
-   ('discount', -0.5::DOUBLE * (l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER ()),
-   ('tax', 0.01::DOUBLE * (l_tax - avg(l_tax) OVER ()) / stddev_samp(l_tax) OVER ())] AS e FROM lineitem)"""
+IMPACTS = """i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  0.8::DOUBLE * (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS q,
+  -0.5::DOUBLE * (l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER () AS d,
+  0.01::DOUBLE * (l_tax - avg(l_tax) OVER ()) / stddev_samp(l_tax) OVER () AS t FROM lineitem),
+m AS (SELECT *, greatest(abs(q), abs(d), abs(t)) AS top FROM i)"""
 
 
-@job("ranked_contributions", "T6", f"""WITH {STANDARD},
-k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, u.x[1] AS feature, u.x[2] AS impact FROM s, unnest(e) u(x) WHERE abs(u.x[2]) > 0.03)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, round(impact, 9) AS impact,
-  round(abs(impact) / max(abs(impact)) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey), 9) AS share FROM k""")
+@job("ranked_contributions", "T6", f"""WITH {IMPACTS},
+u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, top, unnest(['quantity', 'discount', 'tax']) AS feature, unnest([q, d, t]) AS impact FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, round(impact, 6) AS impact, round(abs(impact) / top, 6) AS share
+FROM u WHERE abs(impact) > 0.03""")
 def ranked_contributions(spark, d):
     """Impacts of a linear model with given coefficients on standardised columns."""
     lines = load(spark, d, "lineitem")
@@ -120,7 +122,7 @@ def ranked_contributions(spark, d):
     s = lines.agg(*[f(f"l_{n}").alias(f"{a}_{n}") for n in names for f, a in ((F.avg, "m"), (F.stddev_samp, "s"))]).first()
     impacts = F.array(*[F.lit(c) * (F.col(f"l_{n}") - s[f"m_{n}"]) / s[f"s_{n}"] for n, c in zip(names, coef)])
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return rounded(lines.select(*keys, F.inline(M.contributions(impacts, names))))
+    return rounded(lines.select(*keys, F.inline(M.contributions(impacts, names))), 6)
 
 
 @job("table_audit", "C11 P7 P11 P12 A6 A11 C3 C7 C8 C10")

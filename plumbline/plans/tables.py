@@ -273,24 +273,22 @@ def census_scan(spark, d):
     return tables.read_census(spark, path).select("age", "workclass", "label")
 
 
-@job("matrix_payloads", "S4", """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, CAST(l_returnflag = 'R' AS DOUBLE) AS label, l_discount AS protected FROM lineitem""")
+@job("matrix_payloads", "S4", """SELECT l_orderkey, l_linenumber, CAST(0 AS INT) AS row, l_quantity AS a, l_discount AS b, CAST(l_returnflag = 'R' AS DOUBLE) AS label, l_discount AS protected FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 1, l_extendedprice, l_tax, CAST(l_linestatus = 'O' AS DOUBLE), l_tax FROM lineitem""")
 def matrix_payloads(spark, d):
-    """One JSON matrix per order line number, parsed, checked and exploded into rows again."""
-    row = F.struct("l_quantity", "l_discount", (F.col("l_returnflag") == "R").cast("double").alias("y"), "l_linenumber")
-    grouped = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    """A two-row JSON matrix per line item, parsed, checked and exploded into rows."""
     payload = F.to_json(
         F.struct(
-            F.transform("r", lambda x: F.array(x["l_quantity"], x["l_discount"], x["l_linenumber"].cast("double"))).alias("features"),
-            F.transform("r", lambda x: x["y"]).alias("labels"),
-            F.array(F.lit("l_quantity"), F.lit("l_discount"), F.lit("l_linenumber")).alias("feature_names"),
+            F.array(F.array("l_quantity", "l_discount"), F.array("l_extendedprice", "l_tax")).alias("features"),
+            F.array((F.col("l_returnflag") == "R").cast("double"), (F.col("l_linestatus") == "O").cast("double")).alias("labels"),
+            F.array(F.lit("a"), F.lit("b")).alias("feature_names"),
             F.lit(1).alias("protected_index"),
         )
     )
-    parsed = matrix.parse(grouped.select("l_orderkey", payload.alias("input")), "input")
+    key = F.struct("l_orderkey", "l_linenumber").alias("key")
+    parsed = matrix.parse(load(spark, d, "lineitem").select(key, payload.alias("input")), "input")
     x = F.col("features")
-    return matrix.rows(parsed, "l_orderkey").select(
-        "l_orderkey", x[2].cast("int").alias("l_linenumber"), x[0].alias("l_quantity"), x[1].alias("l_discount"), "label", "protected"
-    )
+    return matrix.rows(parsed, "key").select("key.*", "row", x[0].alias("a"), x[1].alias("b"), "label", "protected")
 
 
 @job("matrix_problems", "S4", """SELECT CASE WHEN k < 10 THEN 'invalid JSON' WHEN k < 20 THEN 'features and labels are required' WHEN k < 30 THEN 'empty dataset'

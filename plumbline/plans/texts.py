@@ -80,10 +80,10 @@ SELECT conv_id, turn, pos, CAST(rank AS INT) AS rank, kb_id, round(sim, 4) AS si
 FROM hits JOIN articles USING (kb_id)""")
 def claim_hits(spark, d):
     """Ranked citations of every claim; passages without a shared term fill the ranks."""
-    kb = articles(spark, d)
-    hits = R.sparse_hits(_turn_claims(spark, d), ["conv_id", "turn", "pos"], "claim", _index(spark, d))
-    cited = hits.join(kb.select("kb_id", "title", "source", CR.snippet(F.col("content")).alias("snippet")), "kb_id")
-    return cited.select("conv_id", "turn", "pos", "rank", "kb_id", F.round("sim", 4).alias("similarity"), "title", "source", "snippet")
+    keys = ["conv_id", "turn", "pos"]
+    hits = R.sparse_hits(_turn_claims(spark, d), keys, "claim", _index(spark, d))
+    cited = CR.cite(hits, articles(spark, d), keys)
+    return cited.select(*keys, "rank", "kb_id", "similarity", "title", "source", "snippet")
 
 
 @job("claim_hits_in_blocks", "W4 J4", f"""WITH {INDEX}, {TURN_CLAIMS}, {sql_support('claims', 'conv_id, turn, pos', 'claim')}

@@ -40,7 +40,7 @@ def new_articles(
     # each map task keeps one row per title before the shuffle, however common the title
     first = Window.partitionBy("title").orderBy(order)
     firsts = usable.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    fresh = firsts.join(existing.select("title").distinct(), "title", "left_anti")
+    fresh = firsts.join(existing.select("title"), "title", "left_anti")
     if content_chars:
         fresh = fresh.withColumn("content", F.substring("content", 1, content_chars))
     if source_chars:
