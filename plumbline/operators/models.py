@@ -40,7 +40,7 @@ def fit_linear(df: DataFrame, label: str, features: str = "features") -> Logisti
     """Logistic regression with a unit L2 penalty, on the scale the penalty is stated in."""
     n = df.count()
     return LogisticRegression(
-        featuresCol=features, labelCol=label, maxIter=200, tol=1e-4,
+        featuresCol=features, labelCol=label, maxIter=200,
         regParam=1.0 / max(n, 1), standardization=False,
     ).fit(df)
 

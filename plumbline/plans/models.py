@@ -125,7 +125,7 @@ def ranked_contributions(spark, d):
     return rounded(lines.select(*keys, F.inline(M.contributions(impacts, names))), 6)
 
 
-@job("table_audit", "C11 P7 P11 P12 A6 A11 C3 C7 C8 C10")
+@job("table_audit", "C11 P7 P11 P12 U3 A6 A11 C3 C7 C8 C10")
 def table_audit(spark, d):
     """The whole dataset audit of one table: metrics, trust, decision, flags."""
     rows = decisions(spark, d).filter(F.col("segment").isin("AUTOMOBILE", "BUILDING"))

@@ -173,6 +173,26 @@ def report_documents(spark, d):
     )
 
 
+@job("chain_verification", "D6", """SELECT event_id, seq, seq = 0 OR CAST(props->>'$.k' AS INT) >= 10 AS intact FROM events, (SELECT unnest([0, 1, 2]) AS seq)""")
+def chain_verification(spark, d):
+    """A hash-chained log of three entries per event; in some the middle one was changed."""
+    from plumbline.sources.tables import load
+
+    payloads = [F.concat("event_type", F.lit(f"-{i}")) for i in range(3)]
+    h0 = F.sha2(F.concat_ws("|", F.lit(""), payloads[0]), 256)
+    h1 = F.sha2(F.concat_ws("|", h0, payloads[1]), 256)
+    h2 = F.sha2(F.concat_ws("|", h1, payloads[2]), 256)
+    changed = F.get_json_object("props", "$.k").cast("int") < 10
+    entries = F.array(
+        *[
+            F.struct(F.lit(i).alias("seq"), p.alias("payload"), h.alias("hash"))
+            for i, (p, h) in enumerate(zip(payloads, (h0, F.when(changed, "changed").otherwise(h1), h2)))
+        ]
+    )
+    log = load(spark, d, "events").select("event_id", "ts", F.inline(entries))
+    return store.verify_chain(log, "event_id", ["ts", "seq"], F.col("payload")).select("event_id", "seq", "intact")
+
+
 @job("truncated_texts", "C26", "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents")
 def truncated_texts(spark, d):
     from plumbline.sources.tables import load
