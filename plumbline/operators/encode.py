@@ -90,8 +90,10 @@ def encode_table(df: DataFrame, roles: Mapping[str, str], keep: Sequence[str] =
     Non-numeric features with too many levels for columns of their own are left out here
     and listed under ``wide``; :func:`long_features` encodes those without any limit.
     """
-    profiled = profile.profile(df.select(*[F.col(f"`{c}`") for c in roles]))
+    profiled = profile.profile(df.select(*[F.col(f"`{c}`") for c in roles])).persist()  # a row per column
     problems = profile.check_roles(roles, profiled)
+    facts = {r["column"]: r for r in profiled.collect()}
+    profiled.unpersist()
     if problems:
         raise ValueError("; ".join(problems))
     target = next(c for c, r in roles.items() if r == "target")
@@ -99,16 +101,15 @@ def encode_table(df: DataFrame, roles: Mapping[str, str], keep: Sequence[str] =
     features = [c for c, r in roles.items() if r == "feature"]
     fields = {f.name: f for f in df.schema.fields}
     numeric = [c for c in features if profile.is_numeric(fields[c])]
-    counts = {r["column"]: r["n_distinct"] for r in profiled.select("column", "n_distinct").collect()}
     others = [c for c in features if c not in numeric]
-    wide = [c for c in others if counts[c] is None]
+    wide = [c for c in others if facts[c]["n_distinct"] is None]
     coded = [c for c in [protected, *others, target] if c and c not in wide]
     found: dict[str, list[str]] = {c: [] for c in coded}
-    gaps = df.agg(*[F.count_if(text.clean(F.col(f"`{c}`")).isNull()).alias(f"g{i}") for i, c in enumerate(coded)]).first()
     for row in profile.levels(df, coded).select("column", "value").collect():  # bounded by LISTABLE_LEVELS
         found[row["column"]].append(row["value"])
-    for i, c in enumerate(coded):
-        found[c] = sorted(found[c] + ([MISSING] if gaps[f"g{i}"] else []))
+    for c in coded:
+        has_gaps = facts[c]["n_present"] < facts[c]["n_rows"]
+        found[c] = sorted({*found[c], MISSING} if has_gaps else found[c])
     middle = moments.medians(df, numeric)
 
     def code(c: str) -> Column:

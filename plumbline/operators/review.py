@@ -174,17 +174,16 @@ def reachable(start: tuple = START) -> tuple[list[tuple], np.ndarray]:
     return states, np.array(steps, dtype=np.int32).T
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
-    """Stretches of one (tenant, bucket) in sorted batches; True where a new one begins."""
+def _begins(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches, with a flag on each row that begins a new (tenant, bucket)."""
     last = None
     for pdf in batches:
         if pdf.empty:
             continue
-        key = pd.MultiIndex.from_frame(pdf[["tenant", "_bucket"]])
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
-            yield key[lo] != last, pdf.iloc[lo:hi]
-            last = key[lo]
+        tenant, bucket = pdf["tenant"].to_numpy(), pdf["_bucket"].to_numpy()
+        fresh = np.r_[(tenant[0], bucket[0]) != last, (tenant[1:] != tenant[:-1]) | (bucket[1:] != bucket[:-1])]
+        last = (tenant[-1], bucket[-1])
+        yield pdf, fresh
 
 
 class _Effect:
@@ -222,14 +221,20 @@ def _piece_starts(cut: DataFrame, tenant_type: str) -> DataFrame:
 
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         effect, at = None, None
-        for fresh, pdf in _pieces(batches):
-            if fresh:
-                if effect:
-                    yield pd.DataFrame({"tenant": [at[0]], "_bucket": [at[1]], "fx": [effect.packed()]})
-                effect, at = _Effect(steps), (pdf["tenant"].iloc[0], pdf["_bucket"].iloc[0])
-            effect.add(pdf["approved"].to_numpy())
+
+        def finished() -> pd.DataFrame:
+            return pd.DataFrame({"tenant": [at[0]], "_bucket": [at[1]], "fx": [effect.packed()]})
+
+        for pdf, fresh in _begins(batches):
+            edges = sorted({0, *np.flatnonzero(fresh), len(pdf)})
+            for lo, hi in zip(edges, edges[1:]):
+                if fresh[lo]:
+                    if effect:
+                        yield finished()
+                    effect, at = _Effect(steps), (pdf["tenant"].iloc[lo], pdf["_bucket"].iloc[lo])
+                effect.add(pdf["approved"].to_numpy()[lo:hi])
         if effect:
-            yield pd.DataFrame({"tenant": [at[0]], "_bucket": [at[1]], "fx": [effect.packed()]})
+            yield finished()
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_bucket")
@@ -273,23 +278,23 @@ def fold_weights(
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, tuple] = {}
         at = START
-        for fresh, pdf in _pieces(batches):
-            if fresh:
-                given = tuple(pdf[list(NAMES)].iloc[0])
-                at = START if pd.isna(given[0]) else given
-            path = [at]
-            for approved in pdf["approved"].tolist():
+        for pdf, fresh in _begins(batches):
+            old, new = [], []
+            given = zip(*(pdf[n].tolist() for n in NAMES))
+            for begins, approved, start in zip(fresh.tolist(), pdf["approved"].tolist(), given):
+                if begins:
+                    at = START if pd.isna(start[0]) else start
+                old.append(at)
                 after = known.get((at, approved))
                 if after is None:
                     after = known[(at, approved)] = next_weights(at, approved)
-                path.append(after)
+                new.append(after)
                 at = after
-            walked = np.array(path)
             out = pdf[["tenant", "ts", "ident", "approved"]].copy()
-            for j, n in enumerate(NAMES):
-                out[f"old_{n}"] = walked[:-1, j]
-                out[f"new_{n}"] = walked[1:, j]
-            yield out[[f.name for f in log_schema.fields]]
+            for prefix, walked in (("old", np.array(old)), ("new", np.array(new))):
+                for j, n in enumerate(NAMES):
+                    out[f"{prefix}_{n}"] = walked[:, j]
+            yield out
 
     return _in_order(cut).mapInPandas(replay, log_schema)
 

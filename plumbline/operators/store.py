@@ -19,7 +19,7 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
 
 def append_audits(path: str, batch: DataFrame) -> None:
-    """Append audits with texts cut to their stored length and the report compacted."""
+    """Append audits, with texts cut to their stored length."""
     prepared = batch.withColumns(
         {
             "input": TX.truncate(F.col("input"), 500),

@@ -60,7 +60,7 @@ FROM c""")
 def inferred_roles(spark, d):
     """Roles found from the labels table, normalised and checked against the rules."""
     df = load(spark, d, "labels")
-    profiled = profile.profile(df)
+    profiled = profile.profile(df).cache()
     roles = profile.normalise_roles({"roles": profile.infer_roles(profiled)}, df.columns)
     auditable = not profile.check_roles(roles, profiled)
     return spark.createDataFrame([(c, r, auditable) for c, r in roles.items()], "column string, role string, auditable boolean")
@@ -243,21 +243,21 @@ def csv_round_trip(spark, d):
     return tables.read_csv(spark, path, schema=schema)
 
 
-@job("csv_types_inferred", "S1 S2", """SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS "column", unnest(['int', 'string', 'int']) AS type,
-  (SELECT count(*) FROM nation) AS n_rows""")
+@job("csv_types_inferred", "S1 S2", """SELECT unnest(['c_name', 'c_acctbal', 'c_mktsegment']) AS "column", unnest(['string', 'double', 'string']) AS type,
+  (SELECT count(*) FROM customer) AS n_rows""")
 def csv_types_inferred(spark, d):
-    path = scratch_path(spark, "nation-csv")
-    tables.write_csv(load(spark, d, "nation"), path)
+    path = scratch_path(spark, "customer-untyped-csv")
+    tables.write_csv(load(spark, d, "customer").select("c_name", "c_acctbal", "c_mktsegment"), path)
     back = tables.read_csv(spark, path)
     n = back.count()
     return spark.createDataFrame([(f.name, f.dataType.simpleString(), n) for f in back.schema.fields], "column string, type string, n_rows bigint")
 
 
-@job("json_round_trip", "S5", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@job("json_round_trip", "S5", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def json_round_trip(spark, d):
-    path = scratch_path(spark, "nation-json")
-    load(spark, d, "nation").write.json(path)
-    return tables.read_dataset(spark, path, "json").select("n_nationkey", "n_name", "n_regionkey")
+    path = scratch_path(spark, "customer-json")
+    load(spark, d, "customer").write.json(path)
+    return tables.read_dataset(spark, path, "json").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
 @job("census_scan", "S3", f"""SELECT c_custkey AS age, c_mktsegment AS workclass, CAST(c_acctbal > 5000 AS INT) AS label

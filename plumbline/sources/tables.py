@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from plumbline import constants as K
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, rows: int | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, rows: int | None = None, multi_line: bool = False
+) -> DataFrame:
     """A csv table with a header. Types are inferred only where no schema is given; ``rows``
-    is an optional sample mode. An empty table is an error."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    is an optional sample mode. An empty table is an error.
+
+    ``multi_line`` allows line breaks in cells, at the price of one task per file.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     df = df if rows is None else df.limit(rows)
     if df.isEmpty():
