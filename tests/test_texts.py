@@ -120,9 +120,11 @@ def test_output_audit_replaces_first_occurrences(spark, kb):
     index = R.build_index(kb, "kb_id", "content")
     row = CR.audit_outputs(outputs, ["i"], "o", kb, index).first()
     assert (row.n_claims, row.n_hallucinated, row.hallucination_rate) == (3, 3, 1.0)
-    first = "[CORRECTED] " + KB[0][2]
-    # 'Cheese is blue.' keeps its stop, so the third claim is found at the end only
-    assert row.corrected == f"{first}. {first}. {first}"
+    # literal and in order: the second claim is first found inside the first replacement
+    want = text
+    for claim in ("Cheese is blue", "Water boils at one hundred degrees", "Cheese is blue."):
+        want = want.replace(claim, "[CORRECTED] " + KB[0][2], 1)
+    assert row.corrected == want
     assert row.trust_before == pytest.approx(0.4 * row.avg_truth + 0.2 + 0.2 * 0.05)
     assert row.trust_after == pytest.approx(0.4 * min(1, row.avg_truth + 0.25) + 0.2 + 0.2 * 0.15)
 
