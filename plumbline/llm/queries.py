@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact, html, mixing, quality, urls
+from plumbline.llm import decontaminate, exact, html, mixing, near, quality, substrings, urls
 from plumbline.llm.common import table
 
 URL_RULES = [
@@ -21,6 +21,11 @@ def op3_mixed_sources(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
+def op4_repeated_passages(spark, folder):
+    kept = substrings.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_url_verdicts(spark, folder):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.filter_urls(table(spark, folder, "pages"), rules)
@@ -36,7 +41,18 @@ def op8_exact_copies(spark, folder):
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_mixed_sources, op5_url_verdicts, op6_quality, op8_exact_copies)}
+def op9_benchmark_leaks(spark, folder):
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_near_duplicates(spark, folder):
+    return near.near_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_html_text, op3_mixed_sources, op4_repeated_passages, op5_url_verdicts, op6_quality, op8_exact_copies, op9_benchmark_leaks, op10_near_duplicates)
+}
 
 SQL = {
     "op5_url_verdicts": r"""
