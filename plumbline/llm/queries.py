@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact, html, mixing, near, quality, substrings, urls
+from plumbline.llm import decontaminate, exact, html, lines, mixing, near, quality, substrings, urls
 from plumbline.llm.common import table
 
 URL_RULES = [
@@ -37,6 +37,11 @@ def op6_quality(spark, folder):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_repeated_lines(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_exact_copies(spark, folder):
     return exact.exact_groups(table(spark, folder, "documents"))
 
@@ -51,7 +56,7 @@ def op10_near_duplicates(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_html_text, op3_mixed_sources, op4_repeated_passages, op5_url_verdicts, op6_quality, op8_exact_copies, op9_benchmark_leaks, op10_near_duplicates)
+    for f in (op2_html_text, op3_mixed_sources, op4_repeated_passages, op5_url_verdicts, op6_quality, op7_repeated_lines, op8_exact_copies, op9_benchmark_leaks, op10_near_duplicates)
 }
 
 SQL = {
