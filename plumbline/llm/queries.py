@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact, html, lines, mixing, near, quality, substrings, urls
+from plumbline.llm import decontaminate, exact, html, lines, lm, mixing, near, quality, substrings, urls
 from plumbline.llm.common import table
 
 URL_RULES = [
@@ -13,6 +13,10 @@ URL_RULES = [
 ]
 
 
+def op1_lm_scores(spark, folder):
+    return lm.score_documents(table(spark, folder, "documents"))
+
+
 def op2_html_text(spark, folder):
     return html.extract_pages(table(spark, folder, "pages"))
 
@@ -56,7 +60,7 @@ def op10_near_duplicates(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_html_text, op3_mixed_sources, op4_repeated_passages, op5_url_verdicts, op6_quality, op7_repeated_lines, op8_exact_copies, op9_benchmark_leaks, op10_near_duplicates)
+    for f in (op1_lm_scores, op2_html_text, op3_mixed_sources, op4_repeated_passages, op5_url_verdicts, op6_quality, op7_repeated_lines, op8_exact_copies, op9_benchmark_leaks, op10_near_duplicates)
 }
 
 SQL = {
