@@ -225,14 +225,15 @@ def find_leaks(
     schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(benchmark, item, item_text, threshold):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # at most ITEMS_PER_INDEX items
+        shared = docs.sparkSession.sparkContext.broadcast(vars(index))  # at most ITEMS_PER_INDEX items
 
         def run(batches, shared=shared):
+            index = Index(**shared.value)
             for batch in batches:
-                best = search(shared.value, batch.column(1), threshold, overlap)
+                best = search(index, batch.column(1), threshold, overlap)
                 if best:
                     found = sorted(best)
-                    ids = pa.array([shared.value.ids[i] for _, i in found])
+                    ids = pa.array([index.ids[i] for _, i in found])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array([r for r, _ in found])), ids, *(pa.array(x) for x in zip(*(best[f] for f in found)))],
                         names=[key, item, "score", "question_overlap", "answer_overlap"],
@@ -246,12 +247,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """``docs`` without the documents that hold a benchmark item; all columns stay. Same rules as ``find_leaks``."""
     position = docs.columns.index(text)
     for index in indexes(benchmark, item, item_text, threshold):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(index))
 
         def run(batches, shared=shared):
+            index = Index(**shared.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[row for row, _ in search(shared.value, batch.column(position), threshold, overlap)]] = False
+                clean[[row for row, _ in search(index, batch.column(position), threshold, overlap)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

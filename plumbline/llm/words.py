@@ -25,7 +25,8 @@ def _power(direction: str, n: int) -> np.ndarray:
     """Powers of the hash base, or of its inverse modulo 2^64."""
     if len(_powers[direction]) < n:
         base = BASE if direction == "up" else pow(BASE, -1, 1 << 64)
-        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        # grown in the tasks; what the driver holds travels with every function, and is kept small
+        steps = np.full(-(-n // 4096) * 4096, base, np.uint64)
         steps[0] = 1
         _powers[direction] = np.multiply.accumulate(steps)
     return _powers[direction][:n]
