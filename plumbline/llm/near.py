@@ -17,6 +17,8 @@ SIMILARITY = 0.8
 # A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 20 = 2.6e-5.
 BANDS, ROWS = 20, 4
 STAR_ROUNDS = 2
+TILE = 2000
+SLICE_BYTES = 1 << 20
 
 
 def shingles(found: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray
 
 def _signed(batches, weighted: bool):
     for batch in batches:
-        for at, end, data, offsets in W.slices(batch.column(1)):
+        for at, end, data, offsets in W.slices(batch.column(1), SLICE_BYTES):
             values, first, counts = shingles(W.split(data, offsets), SHINGLE)
             weights = counts.astype(float) if weighted else np.ones(len(values))
             signature = dart_signatures(values, weights, first, BANDS * ROWS).reshape(-1, BANDS, ROWS)
@@ -108,7 +110,7 @@ def _signed(batches, weighted: bool):
 
 def _shingle_rows(batches):
     for batch in batches:
-        for at, end, data, offsets in W.slices(batch.column(1)):
+        for at, end, data, offsets in W.slices(batch.column(1), SLICE_BYTES):
             values, first, _ = shingles(W.split(data, offsets), SHINGLE)
             sums = []
             for seed in (51, 52):
@@ -136,15 +138,55 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(lambda batches: _similar(batches, similarity), "a long, b long")
 
 
+def _links(table: pa.Table, similarity: float) -> pa.Table:
+    """Links between the components in a tile of a bucket, as many as join them; all members are compared."""
+    v, comp = table.column("v").to_numpy(), table.column("comp").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    posted, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(name))))
+    at = np.concatenate(([0], np.cumsum(size)))
+    names, home, members = np.unique(comp, return_inverse=True, return_counts=True)
+    top = np.arange(len(names))
+    out = []
+    # pairs within the largest component need no test
+    for x in np.flatnonzero(home != np.argmax(members)):
+        own = name[at[x] : at[x + 1]]
+        n = first[own + 1] - first[own]
+        spot = np.repeat(first[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(posted[spot], minlength=len(sets))
+        for y in np.flatnonzero((both >= similarity * (size[x] + size - both) - 1e-9) & (top[home] != top[home[x]])):
+            if top[home[x]] != top[home[y]]:
+                out.append((v[x], v[y]))
+                top[top == top[home[y]]] = top[home[x]]
+    a, b = zip(*out) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _link_open_buckets(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between components that share a bucket, from all its members.
+
+    A bucket of more than ``TILE`` members is cut into parts, and each two parts meet in a tile of their own.
+    """
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).filter("x < y")
+    rows = placed.join(open_.select("bucket", F.ceil(F.col("c") / TILE).cast("int").alias("parts")), "bucket")
+    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, part).alias("i"), F.greatest(p, part).alias("j")))
+    rows = rows.select("bucket", "v", "comp", F.explode(tiles).alias("tile")).join(sets, "v")
+    return rows.groupBy("bucket", "tile").applyInArrow(lambda table: _links(table, similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """Classes of documents that are linked by a Jaccard similarity of ``similarity`` or more over word shingles.
 
     Documents with the same shingles are one set from the start, by a map-side aggregate, however many they are.
     Sets with an equal band of their DartMinHash signature share a bucket. In every bucket all members are first
     compared with one of them, then with another; links are verified on the whole sets and joined to components.
-    Members of a bucket that are still in different components are then all compared, so that no candidate goes
-    untested unless its link would change nothing. Large groups of near copies thus cost a few comparisons per
-    member and no pairs among them.
+    Members of a bucket that are still in different components are then all compared, through an index of their
+    shingles, in tiles of bounded size that give no more links than join their components. So no candidate goes
+    untested unless its link would change nothing, and no group is spelled out in pairs.
 
     ``weighted`` lets signatures count repeats of a shingle; links are always verified on sets.
 
@@ -174,24 +216,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
     placed = members.withColumn("comp", F.col("v"))
-    tested, links = None, None
+    links = None
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
             order = F.xxhash64("v", F.lit(turn))
             lead = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "v", "n", "comp")).alias("lead"))
             pairs = placed.join(lead, "bucket").select("v", "n", "comp", F.col("lead.v").alias("w"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("comp2"))
-            pairs = pairs.filter("comp <> comp2")
+            pairs = pairs.filter("comp <> comp2").filter(alike("n", "m"))
+            pairs = pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+            new = verified(materialise(pairs, "pairs"), found, similarity)
         else:
-            open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("bucket")
-            left = materialise(placed.join(open_, "bucket", "left_semi"), "open")
-            right = left.select("bucket", F.col("v").alias("w"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            pairs = left.join(right, "bucket").filter("comp < comp2")
-        pairs = pairs.filter(alike("n", "m")).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = materialise(verified(pairs, found, similarity), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            new = _link_open_buckets(placed, found, similarity)
+        new = materialise(new, "links")
         links = new if links is None else links.unionByName(new)
         comps = components(links)
         placed = members.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))

@@ -46,13 +46,15 @@ def test_classes_of_documents(spark):
     assert got == brute(rows)
 
 
-def test_group_of_varied_copies(spark):
+@pytest.mark.parametrize("tile", [40, 2000])
+def test_group_of_varied_copies(spark, monkeypatch, tile):
+    monkeypatch.setattr(near, "TILE", tile)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(300):
         words = list(base)
-        for j in rng.choice(120, 1 + i % 3, replace=False):
+        for j in rng.choice(120, 1 + i % 5, replace=False):
             words[j] = f"x{i}.{j}"
         rows.append((1000 + i, " ".join(words)))
     rows += [(i, " ".join(rng.choice(base, 60))) for i in range(40)]
