@@ -259,7 +259,7 @@ def similar_lines(rows: DataFrame, similarity: Fraction) -> DataFrame:
     spark = rows.sparkSession
     rarity = token_counts(rows)
     shared = spark.sparkContext.broadcast(np.minimum(rarity, (1 << 32) - 1).astype(np.uint32))  # SLOTS counts
-    buckets = 4 * partitions(spark)
+    buckets = 2 * partitions(spark)
     found = _candidates(_prefix_entries(rows, shared, buckets, similarity), similarity)
     nearest = F.min_by(F.struct("id", "line", "name2", "id2", "line2"), F.struct("apart", "id2", "line2", "name2"))
     first = found.groupBy("name").agg(nearest.alias("s"), F.max("more").alias("more"), F.count_distinct("name2").alias("others"))
