@@ -22,25 +22,21 @@ def finite(c: Column) -> Column:
     return F.when(x.isNull() | bad, 0.0).otherwise(x)
 
 
-def value_codes(df: DataFrame, column: str, small: int = 100_000) -> DataFrame:
+def value_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): distinct values numbered from zero in string order.
 
-    A few values are ranked in one sorted window. A larger set is range-sorted, and each
-    row gets its place in its partition plus the size of the partitions before it.
+    Values are range-sorted, and each gets its place in its partition plus the size of the partitions before it.
     """
     values = df.select(F.col(column).cast("string").alias("value")).filter("value IS NOT NULL").distinct()
-    if values.count() <= small:
-        return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
     placed = materialise(
         values.orderBy("value").withColumn("_id", F.monotonically_increasing_id()), "value-codes"
     ).withColumn("_part", F.shiftright("_id", 33))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.col("_id") - F.shiftleft(F.col("_part"), 33)
-    return placed.join(F.broadcast(offsets), "_part").select(
-        "value", (F.col("_before") + within).cast("int").alias("code")
-    )
+    return placed.join(F.broadcast(offsets), "_part").select("value", (F.col("_before") + within).alias("code"))
 
 
 def label_encode(df: DataFrame, column: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -83,12 +79,14 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def encode_table(df: DataFrame, roles: Mapping[str, str], keep: Sequence[str] = ()) -> tuple[DataFrame, dict]:
+def encode_table(
+    df: DataFrame, roles: Mapping[str, str], keep: Sequence[str] = (), dense_levels: int = 1000
+) -> tuple[DataFrame, dict]:
     """Numeric matrix of a mapped table as one lazy select, plus what was encoded how.
 
     Two small metadata jobs come first: levels of the non-numeric columns, and medians.
-    Non-numeric features with too many levels for columns of their own are left out here
-    and listed under ``wide``; :func:`long_features` encodes those without any limit.
+    Features with more than ``dense_levels`` levels, listed under ``wide``, have no columns of their own: the
+    array ``sparse`` names the one-hot feature that is 1 in each of them. So no level of any feature is left out.
     """
     profiled = profile.profile(df.select(*[F.col(f"`{c}`") for c in roles])).persist()  # a row per column
     problems = profile.check_roles(roles, profiled)
@@ -102,10 +100,10 @@ def encode_table(df: DataFrame, roles: Mapping[str, str], keep: Sequence[str] =
     fields = {f.name: f for f in df.schema.fields}
     numeric = [c for c in features if profile.is_numeric(fields[c])]
     others = [c for c in features if c not in numeric]
-    wide = [c for c in others if facts[c]["n_distinct"] is None]
+    wide = [c for c in others if facts[c]["n_distinct"] > dense_levels]
     coded = [c for c in [protected, *others, target] if c and c not in wide]
     found: dict[str, list[str]] = {c: [] for c in coded}
-    for row in profile.levels(df, coded).select("column", "value").collect():  # bounded by LISTABLE_LEVELS
+    for row in profile.levels(df, coded).select("column", "value").collect():  # at most dense_levels per feature
         found[row["column"]].append(row["value"])
     for c in coded:
         has_gaps = facts[c]["n_present"] < facts[c]["n_rows"]
@@ -131,6 +129,9 @@ def encode_table(df: DataFrame, roles: Mapping[str, str], keep: Sequence[str] =
         else:
             columns += one_hot(c, found[c])
             names += [f"{c}__{v}" for v in found[c]]
+    if wide:
+        hot = [F.concat(F.lit(f"{c}__"), F.coalesce(text.clean(F.col(f"`{c}`")), F.lit(MISSING))) for c in wide]
+        columns.append(F.array(*hot).alias("sparse"))
     encoded = df.select(*keep, *columns, code(target).alias("label"))
     return encoded, {
         "features": names,

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,19 +165,24 @@ def accuracy(label: str, pred: str) -> Column:
 
 
 def census_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
-    """Feature pipeline with one level dropped per categorical column.
+    """Feature pipeline with one level dropped per categorical column, the first in string order.
 
-    Levels are indexed in descending order and the last is dropped, so the dropped level
-    is the first in string order.
+    A null, or a level that ``df`` lacks, is zero in all slots of its column, like the dropped level.
     """
-    indexed = [f"{c}_index" for c in categorical]
-    encoded = [f"{c}_hot" for c in categorical]
-    stages = [
-        StringIndexer(inputCols=list(categorical), outputCols=indexed, stringOrderType="alphabetDesc", handleInvalid="keep"),
-        OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True, handleInvalid="keep"),
-        VectorAssembler(inputCols=[*numeric, *encoded], outputCol="features"),
-    ]
-    return Pipeline(stages=stages).fit(df)
+    indexed, hot, kept = ([f"{c}_{part}" for c in categorical] for part in ("index", "hot", "kept"))
+    indexer = StringIndexer(inputCols=list(categorical), outputCols=indexed, stringOrderType="alphabetDesc", handleInvalid="keep").fit(df)
+    # slots: the levels in descending order, then one for what is unknown
+    encoder = OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=False).fit(indexer.transform(df))
+    slots = {k: len(levels) - 1 for k, levels in enumerate(indexer.labelsArray) if len(levels) > 1}
+    slicers = [VectorSlicer(inputCol=hot[k], outputCol=kept[k], indices=list(range(n))) for k, n in slots.items()]
+    assembler = VectorAssembler(inputCols=[*numeric, *[kept[k] for k in slots]], outputCol="features")
+    return PipelineModel([indexer, encoder, *slicers, assembler])
+
+
+def feature_names(encoded: DataFrame, features: str = "features") -> list[str]:
+    """The slots of an assembled vector, in order."""
+    groups = encoded.schema[features].metadata["ml_attr"]["attrs"].values()
+    return [a["name"] for a in sorted((a for g in groups for a in g), key=lambda a: a["idx"])]
 
 
 def train(train_rows: DataFrame, label: str, weight: str | None = None) -> PipelineModel:

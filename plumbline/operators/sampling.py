@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import constants as K
+from plumbline.operators.skew import small_enough
 
 
 def joint_probabilities(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -45,7 +46,7 @@ def reweigh_table(
 def reweigh(df, group: str, label: str, protected_value, factors=None) -> DataFrame:
     """Attach the cell weight to every row; the weight table has one row per cell."""
     weights = reweigh_table(df, group, label, protected_value, factors).select(group, label, "weight")
-    return df.join(weights, [group, label], "left")
+    return df.join(F.broadcast(weights) if small_enough(weights) else weights, [group, label], "left")
 
 
 def replicate(df: DataFrame, strata: Sequence[tuple[Column, int]]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Bounds the rows of one key that reach one task, and (rows / bound) the hot keys.
 HOT_ROWS = 1_000_000
+NULL_SALTS = 1 << 20
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -42,7 +43,9 @@ def join_to_unique(
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
     spread = F.coalesce(F.col("_salts"), F.lit(1))
-    salted = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*row_id), spread).cast("int"))
+    # a null key meets no right row, so any salt will do: all of them part these rows
+    salts = F.when(F.col(key).isNull(), NULL_SALTS).otherwise(spread)
+    salted = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*row_id), salts).cast("int"))
     copied = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), spread - 1)))
     return salted.drop("_salts").join(copied.drop("_salts"), [key, "_salt"], how).drop("_salt")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,16 +18,10 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return df.withColumn("_r", F.row_number().over(spec)).filter("_r = 1").drop("_r")
 
 
-def append_audits(path: str, batch: DataFrame) -> None:
-    """Append audits, with texts cut to their stored length."""
-    prepared = batch.withColumns(
-        {
-            "input": TX.truncate(F.col("input"), 500),
-            "corrected": TX.truncate(F.col("corrected"), 1200),
-            "prompt": TX.truncate(F.col("prompt"), 500),
-        }
-    )
-    prepared.write.mode("append").parquet(path)
+def append_audits(path: str, batch: DataFrame, limits: Mapping[str, int] | None = None) -> None:
+    """Append audits with whole texts, or cut to ``limits`` characters per column."""
+    cut = {c: TX.truncate(F.col(c), n) for c, n in (limits or {}).items()}
+    (batch.withColumns(cut) if cut else batch).write.mode("append").parquet(path)
 
 
 def split_updates(incoming: DataFrame, stored: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import audit as AU
 from plumbline.operators import fairness as FA
 from plumbline.operators import models as M
-from plumbline.plans.inputs import decisions
+from plumbline.plans.inputs import DECISIONS, decisions
 from plumbline.plans.registry import job, rounded
 from plumbline.session import scratch_path
 from plumbline.sources.tables import load
@@ -26,7 +26,7 @@ def _lines(spark, d):
 
 
 def _encoded_decisions(spark, d):
-    rows = decisions(spark, d).filter(F.col("segment").isin("AUTOMOBILE", "BUILDING"))
+    rows = decisions(spark, d)
     return M.census_features(rows, ["price", "balance"], ["segment", "priority"]).transform(M.spread(rows))
 
 
@@ -63,6 +63,16 @@ def cluster_gaps(spark, d):
     return M.cluster_gaps(found, "pred", "linestatus")
 
 
+@job("census_slots", "P10", f"""WITH {DECISIONS},
+names AS (SELECT 'price' AS name UNION ALL SELECT 'balance'
+  UNION ALL SELECT 'segment_kept_' || segment FROM (SELECT DISTINCT segment FROM decisions) WHERE segment > (SELECT min(segment) FROM decisions)
+  UNION ALL SELECT 'priority_kept_' || priority FROM (SELECT DISTINCT priority FROM decisions) WHERE priority > (SELECT min(priority) FROM decisions))
+SELECT name FROM names""")
+def census_slots(spark, d):
+    """The slots of the feature vector: each categorical column lacks its first level."""
+    return spark.createDataFrame([(n,) for n in M.feature_names(_encoded_decisions(spark, d))], "name string")
+
+
 @job("trained_model", "M4 M9 A27 P10")
 def trained_model(spark, d):
     """Fit on the training part, save, load, and judge on the rest."""
@@ -128,5 +138,6 @@ def ranked_contributions(spark, d):
 @job("table_audit", "C11 P7 P11 P12 U3 A6 A11 C3 C7 C8 C10")
 def table_audit(spark, d):
     """The whole dataset audit of one table: metrics, trust, decision, flags."""
-    rows = decisions(spark, d).filter(F.col("segment").isin("AUTOMOBILE", "BUILDING"))
+    segment = F.when(F.col("segment") == "AUTOMOBILE", "AUTOMOBILE").otherwise("OTHER")
+    rows = decisions(spark, d).withColumn("segment", segment)
     return AU.audit_table(rows, ["price", "balance", "priority"], "label", "segment", ["row_id"])

@@ -22,9 +22,7 @@ def latest_audit_per_tenant(spark, d):
 
 
 @job("audit_append", "S9 S10 C26", f"""WITH {OUTPUTS}
-SELECT conv_id || '-' || turn AS id, CASE WHEN length(output) > 500 THEN left(output, 500) || '...' ELSE output END AS input,
-       CASE WHEN length(prompt) > 500 THEN left(prompt, 500) || '...' ELSE prompt END AS prompt
-FROM outputs""")
+SELECT conv_id || '-' || turn AS id, output AS input, prompt FROM outputs""")
 def audit_append(spark, d):
     """Two batches appended to an audit table; the second repeats the first and is rejected."""
     batch = outputs(spark, d).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import constants as K
 from plumbline.functions import text as TX
-from plumbline.operators import encode, profile, quality
+from plumbline.operators import encode, moments, profile, quality
 from plumbline.plans.inputs import SQL_WS, decisions, sql_strip
 from plumbline.plans.registry import job, rounded
 from plumbline.session import scratch_path
@@ -25,7 +25,7 @@ def _profile_sql(table: str, columns: list[tuple[str, int]]) -> str:
 count(DISTINCT {c}) AS nd, CASE WHEN count(DISTINCT {c}) <= 10 THEN list_sort(list(DISTINCT CAST({c} AS VARCHAR))) END AS listed FROM {table}"""
         for i, (c, numeric) in enumerate(columns)
     )
-    return f"""SELECT "column", position, n_rows, n_present, CASE WHEN nd <= 1000 THEN nd END AS n_distinct, type,
+    return f"""SELECT "column", position, n_rows, n_present, nd AS n_distinct, type,
   CASE WHEN type = 'binary' THEN CASE WHEN position = {len(columns) - 1} THEN 'target' ELSE 'protected_attribute' END
        WHEN type = 'categorical' THEN 'protected_attribute' ELSE 'feature' END AS suggested_role,
   CASE WHEN type IN ('binary', 'categorical') THEN array_to_string(listed, '|') END AS listed_values,
@@ -86,13 +86,13 @@ def cleaned_cells(spark, d):
     return load(spark, d, "events").select("event_id", TX.clean(cell).alias("cell"), encode.finite(number).alias("number"))
 
 
-@job("value_codes", "P7", """SELECT p_type AS value, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INT) AS code
+@job("value_codes", "P7", """SELECT p_type AS value, dense_rank() OVER (ORDER BY p_type) - 1 AS code
 FROM (SELECT DISTINCT p_type FROM part)""")
 def value_codes(spark, d):
     return encode.value_codes(load(spark, d, "part"), "p_type")
 
 
-@job("label_encoded_parts", "P7", """SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS brand_code FROM part""")
+@job("label_encoded_parts", "P7", """SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS brand_code FROM part""")
 def label_encoded_parts(spark, d):
     return encode.label_encode(load(spark, d, "part"), "p_brand", "brand_code").select("p_partkey", "brand_code")
 
@@ -139,6 +139,28 @@ def encoded_table(spark, d):
     return encoded
 
 
+@job("encoded_wide_table", "P13 P9", """SELECT l_orderkey, l_linenumber, CAST(l_linestatus = 'O' AS DOUBLE) AS linestatus,
+  'shipdate__' || CAST(l_shipdate AS VARCHAR) AS sparse, CAST(l_extendedprice > 50000 AS DOUBLE) AS label FROM lineitem""")
+def encoded_wide_table(spark, d):
+    """A feature with more levels than columns are made for keeps all of them."""
+    lines = load(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_linestatus").alias("linestatus"), F.col("l_shipdate").cast("string").alias("shipdate"),
+        F.when(F.col("l_extendedprice") > 50000, "large").otherwise("a small one").alias("size"),
+    )
+    roles = {"linestatus": "protected_attribute", "shipdate": "feature", "size": "target"}
+    encoded, _ = encode.encode_table(lines, roles, keep=["l_orderkey", "l_linenumber"])
+    return encoded.withColumn("sparse", F.array_join("sparse", "|"))
+
+
+@job("medians_with_infinities", "P8", """WITH e AS (SELECT CAST(CASE WHEN event_type = 'error' THEN 'Infinity'::DOUBLE WHEN event_type = 'view' THEN '-Infinity'::DOUBLE
+  ELSE value END AS DOUBLE) AS x, value FROM events)
+SELECT unnest(['x', 'value']) AS name, round(unnest([median(x), median(value)]), 9) AS middle FROM e""")
+def medians_with_infinities(spark, d):
+    x = F.when(F.col("event_type") == "error", float("inf")).when(F.col("event_type") == "view", float("-inf")).otherwise(F.col("value"))
+    middle = moments.medians(load(spark, d, "events").select(x.alias("x"), "value"), ["x", "value"])
+    return rounded(spark.createDataFrame(list(middle.items()), "name string, middle double"))
+
+
 @job("long_one_hot", "P9", """SELECT 'p_brand__' || p_brand AS feature, count(*) AS n FROM part GROUP BY ALL
 UNION ALL SELECT 'p_name__' || p_name, count(*) FROM part GROUP BY ALL""")
 def long_one_hot(spark, d):

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from plumbline import constants as K
 
 
-def manifest(spark: SparkSession, folder: str, glob: str = "*", max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """One row per file below ``folder``. Files over the limit are listed without reading
-    them: the length condition is pushed down to the file scan."""
+# Fixed value: the largest file that fits into one binary cell.
+LARGEST = 2**31 - 16
+
+
+def manifest(spark: SparkSession, folder: str, glob: str = "*", max_bytes: int = LARGEST) -> DataFrame:
+    """One row per file below ``folder``. Files over the limit, by
+    default those too large for one cell, are listed without a hash and not read: the length condition is pushed down to the file scan."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
 
     def listed(rows: DataFrame, digest) -> DataFrame:
