@@ -13,29 +13,37 @@ from plumbline.plans.inputs import AUDITS, DECISIONS, audits, decisions
 from plumbline.plans.registry import job, rounded
 from plumbline.sources.tables import load
 
-SCORED = f"""{AUDITS}, scored AS (SELECT * FROM audits WHERE trust IS NOT NULL)"""
+# The compliance rules read a missing score as zero; no audit is left out.
+SCORED = f"""{AUDITS}, scored AS (SELECT * REPLACE (coalesce(trust, 0::DOUBLE) AS trust, coalesce(bias, 0::DOUBLE) AS bias, coalesce(truth, 0::DOUBLE) AS truth) FROM audits)"""
+STATUS = "CASE WHEN trust IS NULL THEN 'unscored' ELSE 'scored' END AS status"
 BAND = "CASE WHEN trust < 0.5 THEN 'critical' WHEN trust < 0.6 THEN 'elevated' WHEN trust < 0.75 THEN 'moderate' WHEN trust IS NOT NULL THEN 'low' END"
 
 
 def _scored(spark, d):
-    return audits(spark, d).filter("trust IS NOT NULL")
+    return audits(spark, d).fillna(0.0, ["trust", "bias", "truth"])
 
 
-@job("trust_components", "C3", f"""WITH {SCORED}
-SELECT audit_id, round(truth * 0.4, 9) AS truth_part, round((1 - bias) * 0.4, 9) AS bias_part, round(CAST(0.85 * 0.2 AS DOUBLE), 9) AS confidence_part, round(trust, 9) AS trust FROM scored""")
+def _status(trust):
+    return F.when(trust.isNull(), "unscored").otherwise("scored").alias("status")
+
+
+@job("trust_components", "C3", f"""WITH {AUDITS}
+SELECT audit_id, {STATUS}, round(truth * 0.4, 9) AS truth_part, round((1 - bias) * 0.4, 9) AS bias_part, round(CAST(0.85 * 0.2 AS DOUBLE), 9) AS confidence_part, round(trust, 9) AS trust FROM audits""")
 def trust_components(spark, d):
     parts = scores.trust_parts(F.col("truth"), F.col("bias"), F.lit(K.DEFAULT_CONFIDENCE))
-    rows = _scored(spark, d).select("audit_id", parts.alias("p"))
+    rows = audits(spark, d).select("audit_id", _status(F.col("trust")), "trust", parts.alias("p"))
+    trust = F.when(F.col("trust").isNotNull(), F.col("p.trust"))
     return rounded(
-        rows.select("audit_id", F.col("p.truth").alias("truth_part"), F.col("p.bias").alias("bias_part"),
-                    F.col("p.confidence").alias("confidence_part"), F.col("p.trust").alias("trust"))
+        rows.select("audit_id", "status", F.col("p.truth").alias("truth_part"), F.col("p.bias").alias("bias_part"),
+                    F.col("p.confidence").alias("confidence_part"), trust.alias("trust"))
     )
 
 
-@job("weighted_sums", "C2", f"""WITH {SCORED} SELECT audit_id, round(truth * 0.5 + bias * 0.3 + k * 0.2, 9) AS y FROM scored""")
+@job("weighted_sums", "C2", f"""WITH {AUDITS} SELECT audit_id, {STATUS}, round(truth * 0.5 + bias * 0.3 + k * 0.2, 9) AS y FROM audits""")
 def weighted_sums(spark, d):
     values = F.array("truth", "bias", F.col("k").cast("double"))
-    return rounded(_scored(spark, d).select("audit_id", scores.weighted_sum(values, F.lit([0.5, 0.3, 0.2])).alias("y")))
+    y = scores.weighted_sum(values, F.lit([0.5, 0.3, 0.2]))
+    return rounded(audits(spark, d).select("audit_id", _status(F.col("trust")), y.alias("y")))
 
 
 @job("risk_bands", "C7 C9 C13 D7", f"""WITH {AUDITS}
