@@ -13,11 +13,12 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import constants as K
 from plumbline.operators import encode, fairness, sampling
+from plumbline.session import materialise
 
 BLOCK_ROWS = 50_000
 
@@ -112,8 +113,8 @@ def permutation_importance(
     ).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     per_block = dealt.groupBy("block").applyInPandas(drops, "feature string, lost double, n double")
     per_feature = per_block.groupBy("feature").agg(F.abs(F.sum("lost") / repeats / F.sum("n")).alias("drop"))
-    total = per_feature.agg(F.sum("drop").alias("t")).first()["t"]
-    share = F.lit(0.0) if not total or total < 1e-6 else F.col("drop") / total
+    total = F.sum("drop").over(Window.partitionBy(F.lit(1)))  # over one row per feature
+    share = F.when(total < 1e-6, 0.0).otherwise(F.col("drop") / total)
     return per_feature.withColumn("share", share)
 
 
@@ -125,6 +126,7 @@ def cluster(df: DataFrame, features: Sequence[str], k: int = K.CLUSTERS, seed: i
 
 def cluster_gaps(clustered: DataFrame, pred: str, group: str, first=0, second=1) -> DataFrame:
     """Parity gap of any prediction within each cluster; clusters below two rows are left out."""
+    clustered = materialise(clustered.select("cluster", pred, group), "clustered")  # read twice, clustered once
     gaps = fairness.parity_gap(clustered, pred, group, first, second, by=["cluster"])
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     return gaps.join(sizes, "cluster").filter("size >= 2").select("cluster", "size", "parity_gap")

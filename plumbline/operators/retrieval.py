@@ -198,7 +198,7 @@ def score_once(texts: DataFrame, row_id: Sequence[str], column: str, scorer, set
 
     keyed = texts.withColumn("content_key", TX.content_key(F.lit(settings), F.col(column)))
     distinct = keyed.groupBy("content_key").agg(F.first(column).alias(column))
-    scored = scorer(distinct, ["content_key"], column)
+    scored = materialise(scorer(distinct, ["content_key"], column), "scored")  # measured, then joined
     return join_to_unique(keyed, scored, "content_key", row_id)
 
 
