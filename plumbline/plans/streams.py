@@ -32,20 +32,18 @@ def _naive(df, *columns):
 @job("stream_kpi_windows", "ST1", f"""WITH {AUDITS},
 w AS (SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS window_start, audit_type, count(*) AS audits, round(sum(trust), 4) AS trust_sum, count(trust) AS scored,
   count(*) FILTER (trust < 0.6) AS high_risk FROM audits GROUP BY ALL)
-SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, audit_type, audits, trust_sum, scored, high_risk FROM w
-WHERE window_start + INTERVAL 1 DAY <= (SELECT max(created_at) FROM audits) - INTERVAL 1 HOUR""")
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, audit_type, audits, trust_sum, scored, high_risk FROM w""")
 def stream_kpi_windows(spark, d):
-    """Windows that the watermark has closed; the last day is still open."""
-    out = S.run_available(S.kpi_windows(_events(spark, d)), "kpi-windows")
+    """All windows, also those that the watermark has not closed."""
+    out = S.run_updates(S.kpi_windows(_events(spark, d)), "kpi-windows", ["window_start", "audit_type"])
     return rounded(_naive(out, "window_start", "window_end"), 4)
 
 
 @job("stream_rate_windows", "ST2", """WITH s AS (SELECT event_type, time_bucket(INTERVAL 5 MINUTES, ts) AS slot FROM events),
 w AS (SELECT event_type, slot - INTERVAL 5 MINUTES * i AS window_start, count(*) AS events FROM s, range(0, 12) r(i) GROUP BY ALL)
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, events, events >= 300 AS over_limit FROM w
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, events, events >= 300 AS over_limit FROM w""")
 def stream_rate_windows(spark, d):
-    out = S.run_available(S.rate_windows(_events(spark, d), "event_type"), "rate-windows")
+    out = S.run_updates(S.rate_windows(_events(spark, d), "event_type"), "rate-windows", ["window_start", "event_type"])
     return _naive(out, "window_start", "window_end")
 
 

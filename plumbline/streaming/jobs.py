@@ -7,11 +7,12 @@ drives one to completion into a parquet table in the shared folder. Event tables
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline import constants as K
@@ -164,6 +165,27 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_updates(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run over everything there is, in update mode, and return the latest row per key: open windows too.
+
+    Each batch overwrites its own folder, so one that is repeated after a failure counts once.
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+        .outputMode("update")
+        .option("checkpointLocation", scratch_path(spark, f"{name}-progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    rows = spark.read.schema(schema).parquet(out)
+    return rows.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r", "batch")
+
+
 def score_and_route(events: DataFrame, audits_path: str, queue_path: str, progress: str):
     """Score a stream into the audit table and, below the review line, the review queue.
 
