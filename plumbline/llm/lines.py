@@ -94,10 +94,25 @@ def token_counts(rows: DataFrame) -> np.ndarray:
 ENTRY = {"token": np.uint32, "name": np.uint64, "size": np.int32, "place": np.int32, "bits0": np.uint64, "bits1": np.uint64, "id": np.int64, "line": np.int32}
 
 
+def _pack(columns: dict, rows: slice) -> bytes:
+    """Entries as compressed planes of equally significant bytes: most high bytes are equal, so they cost little."""
+    planes = [columns[c][rows].view(np.uint8).reshape(-1, np.dtype(t).itemsize).T.tobytes() for c, t in ENTRY.items()]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, n: int) -> dict:
+    width = sum(np.dtype(t).itemsize for t in ENTRY.values())
+    data = np.frombuffer(pa.decompress(packed, n * width, codec="zstd", asbytes=True), np.uint8)
+    out, at = {}, 0
+    for c, t in ENTRY.items():
+        end = at + n * np.dtype(t).itemsize
+        out[c] = np.ascontiguousarray(data[at:end].reshape(-1, n).T).view(t).reshape(-1)
+        at = end
+    return out
+
+
 def _prefix_entries(rows: DataFrame, rarity, buckets: int, similarity: Fraction, wanted=None) -> DataFrame:
     """The rarest tokens of each distinct line, dealt by token; with ``wanted`` only tokens of those slots."""
-    parts = ", ".join(f"{c} binary" for c in ENTRY)
-
     def emit(batches):
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
@@ -133,11 +148,11 @@ def _prefix_entries(rows: DataFrame, rarity, buckets: int, similarity: Fraction,
                 cuts = np.append(cuts, len(order))
                 packed = {c: v.astype(ENTRY[c])[order] for c, v in columns.items()}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), *(pa.array([packed[c][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for c in ENTRY)],
-                    names=["bucket", *ENTRY],
+                    [pa.array(names, pa.int32()), pa.array(np.diff(cuts), pa.int32()), pa.array([_pack(packed, slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                    names=["bucket", "n", "entries"],
                 )
 
-    return rows.select("id", "text").mapInArrow(emit, f"bucket int, {parts}")
+    return rows.select("id", "text").mapInArrow(emit, "bucket int, n int, entries binary")
 
 
 CANDIDATE = "name long, id long, line int, name2 long, id2 long, line2 int, apart int, more long"
@@ -171,7 +186,9 @@ def _candidates(entries: DataFrame, similarity: Fraction, probes=None) -> DataFr
     """For each later line the candidate whose bitmap is nearest, per token; with ``probes`` all their candidates."""
 
     def match(key, table):
-        e = {c: np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)]) for c, t in ENTRY.items()}
+        chunks = [_unpack(x.as_py(), n.as_py()) for n, x in zip(table.column("n"), table.column("entries"))]
+        e = {c: np.concatenate([x[c] for x in chunks]) for c in ENTRY}
+        del chunks
         order = np.lexsort((e["line"], e["id"], e["name"], e["size"], e["token"]))
         e = {c: v[order] for c, v in e.items()}
         new = np.ones(len(order), bool)  # a set's entries for one token: the earliest line stays
