@@ -250,7 +250,8 @@ def _token_sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _verified(rows: DataFrame, pairs: DataFrame, similarity: Fraction) -> DataFrame:
     """The names of later lines in ``pairs`` whose earlier line is similar enough."""
-    sets = materialise(_token_sets(rows, pairs), "line-sets")
+    # already dealt by name, for both joins
+    sets = _token_sets(rows, pairs)
     one = sets.select("name", F.col("tokens").alias("x"))
     two = sets.select(F.col("name").alias("name2"), F.col("tokens").alias("y"))
     both = pairs.select("name", "name2").join(one, "name").join(two, "name2").select("name", "x", "y")
@@ -336,9 +337,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     keyed = rows.select(F.coalesce("id", F.lit(LAST)).alias("id"), "text", F.xxhash64("text").alias("row"))
     places = materialise(keyed.mapInArrow(list_lines, "id long, row long, line int, name long, low long"), "lines")
     spot = F.struct("id", "line", "row")
-    sets = places.groupBy("name", "low").agg(F.min(spot).alias("first"), F.max(spot).alias("last"))
-    sets = sets.join(near.withColumn("near", F.lit(True)), "name", "left")
-    told = materialise(sets.filter("near or first <> last").select("name", "low", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-sets-told")
+    # counted first, so that the places of sets that occur once are not shuffled
+    sets = places.groupBy("name", "low").agg(F.count(F.lit(1)).alias("c"))
+    sets = sets.join(near.withColumn("near", F.lit(True)), "name", "left").filter("near or c > 1")
+    sets = materialise(sets.select("name", "low", F.coalesce("near", F.lit(False)).alias("near")), "line-sets-told")
+    firsts = join_checked(places, sets, ["name", "low"], "inner").groupBy("name", "low", "near").agg(F.min(spot).alias("first"))
+    told = materialise(firsts, "line-sets-first")
     gone = join_checked(places, told, ["name", "low"], "inner").filter(F.col("near") | (spot != F.col("first")))
     gone = gone.groupBy("id", "row").agg(F.collect_set("line").alias("_gone"))
     gone = materialise(gone, "lines-gone").select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_gone")
