@@ -287,12 +287,18 @@ def similar_lines(rows: DataFrame, similarity: Fraction) -> DataFrame:
     rest = materialise(rest, "lines-left")
     if rest.isEmpty():
         return near
-    # slots of the tokens and names of what is left: supersets of fixed size
+    # slots of the prefix tokens and names of what is left: supersets of fixed size
     tokens = _token_sets(rows, rest.select("name", "id", "line", F.col("name").alias("name2"), F.col("id").alias("id2"), F.col("line").alias("line2")))
 
+    def prefix(tokens):
+        found = np.frombuffer(tokens, np.uint64)
+        order = np.lexsort((found, shared.value[(found & np.uint64(SLOTS - 1)).astype(np.int64)]))
+        return found[order[: len(found) - _ceil_share(len(found), similarity) + 1]]
+
     def slots(batches):
         for batch in batches:
-            for kind, values in ((0, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), (1, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64))):
+            rare = [prefix(x) for x in batch.column(1).to_pylist()] or [np.zeros(0, np.uint64)]
+            for kind, values in ((0, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), (1, np.concatenate(rare))):
                 slot = np.unique((values & np.uint64(SLOTS - 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), kind, np.int32)), pa.array(slot)], names=["kind", "slot"])
 
