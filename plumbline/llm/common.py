@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.skew import small_enough
 from plumbline.session import materialise
 
-# A side of a join is broadcast up to this many rows and text bytes, and shuffled beyond.
+# A side of a join is broadcast up to this many rows and bytes, and shuffled beyond.
 SMALL_ROWS = 400_000
 SMALL_BYTES = 32 * 1024 * 1024
 
@@ -42,5 +42,5 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, out: str) ->
 
 
 def join_checked(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
-    """Join a large table to one that may be small: broadcast only after measuring it."""
-    return left.join(F.broadcast(right) if small_enough(right, SMALL_ROWS, SMALL_BYTES) else right, on, how)
+    """Join a large table to one that may be small: broadcast only after measuring it, never by its compressed size."""
+    return left.join(F.broadcast(right) if small_enough(right, SMALL_ROWS, SMALL_BYTES) else right.hint("merge"), on, how)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bounds the rows of one key that reach one task, and (rows / bound) the hot keys.
 HOT_ROWS = 1_000_000
@@ -15,11 +16,28 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def _width(c: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes: texts, binaries and all that arrays, maps and structs hold count whole."""
+    if isinstance(kind, (T.StringType, T.BinaryType, T.CharType, T.VarcharType)):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.NumericType, T.BooleanType, T.DatetimeType)):
+            return 16 + 16 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+        total = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _width(x, inner))
+        return 16 + F.coalesce(total, F.lit(0).cast("long"))
+    if isinstance(kind, T.MapType):
+        sides = ((F.map_keys(c), kind.keyType), (F.map_values(c), kind.valueType))
+        return sum((_width(x, T.ArrayType(t)) for x, t in sides), F.lit(0).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((_width(c.getField(f.name), f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(16).cast("long")
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
-    """Whether a table may be broadcast: counted, and its texts measured."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
-    width = sum(texts, F.lit(16 * len(df.columns)))
-    size = df.limit(rows + 1).select(width.alias("w")).agg(F.count("w").alias("n"), F.sum("w").alias("b")).first()
+    """Whether a table may be broadcast: counted, and its values measured where they stand."""
+    width = sum((_width(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    size = df.select(width.alias("w")).limit(rows + 1).agg(F.count("w").alias("n"), F.sum("w").alias("b")).first()
     return size["n"] <= rows and (size["b"] or 0) <= bytes_
 
 
