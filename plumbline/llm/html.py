@@ -28,6 +28,12 @@ MARKS = frozenset(
     "signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 KEEPS_MARK = frozenset("html body article main".split())
+# Beside a mark in a compound name, as in with-sidebar, these say that the element is not it but has or lacks one.
+MODIFIERS = frozenset("with without has have no enabled disabled".split())
+# Compound names with these never wrap the article.
+REPLIES = frozenset("comment comments discussion disqus replies reply respond".split())
+# Beside the best container these stay whatever their score.
+CONTENT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure section hgroup address details".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -45,10 +51,12 @@ SHARE_OF_BEST = 0.2
 
 
 class Element:
-    __slots__ = ("tag", "parent", "apart", "score", "link", "blocks")
+    __slots__ = ("tag", "parent", "apart", "doubt", "mixed", "score", "link", "blocks")
 
-    def __init__(self, tag: str, parent: Element | None, apart: bool, link: bool):
+    def __init__(self, tag: str, parent: Element | None, apart: bool, link: bool, doubt: bool = False):
         self.tag, self.parent, self.apart, self.link, self.score, self.blocks = tag, parent, apart, link, 0.0, 0
+        self.doubt = doubt  # marked by a part of a name only
+        self.mixed = False  # holds an element that is apart
 
 
 class Block:
@@ -64,11 +72,22 @@ class Block:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
-def _marked(tag: str, attrs: str) -> bool:
+def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is marked as no article, and whether only a part of a compound name says so."""
     if not attrs or tag in KEEPS_MARK:
-        return False
-    names = (word for found in ATTR.finditer(attrs) for word in NAME.findall((found[1] or found[2] or found[3] or "").lower()))
-    return any(word in MARKS for word in names) or bool(HIDDEN.search(attrs))
+        return False, False
+    if HIDDEN.search(attrs):
+        return True, False
+    doubt = False
+    for found in ATTR.finditer(attrs):
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            parts = NAME.findall(name)
+            if MARKS.isdisjoint(parts) or (len(parts) > 1 and not MODIFIERS.isdisjoint(parts)):
+                continue
+            if len(parts) == 1 or tag in INLINE or not REPLIES.isdisjoint(parts):
+                return True, False
+            doubt = True
+    return False, doubt
 
 
 def parse(page: str) -> tuple[list[Block], Element]:
@@ -120,7 +139,10 @@ def parse(page: str) -> tuple[list[Block], Element]:
                 here = inner.parent
             elif inner.tag in ENDS_ITEM.get(tag, ()):
                 here = inner.parent
-        here = Element(tag, here, here.apart or tag in APART or _marked(tag, attrs), here.link or tag == "a")
+        marked, doubt = _marks(tag, attrs)
+        if (marked or doubt or tag in APART) and tag not in RAW and tag not in INLINE:
+            here.mixed = True
+        here = Element(tag, here, here.apart or tag in APART or marked, here.link or tag == "a", doubt)
         if tag == "a" and block is not None:
             block.links += 1
         if attrs.rstrip().endswith("/") and tag not in INLINE:
@@ -130,21 +152,44 @@ def parse(page: str) -> tuple[list[Block], Element]:
     return blocks, root
 
 
+def _points(block: Block, text: str) -> float:
+    outside = max(0.0, 1.0 - block.linked / max(1, sum(len(p.strip()) for p in block.pieces)))
+    return (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3.0)) * outside
+
+
+def _settle_doubts(read: list[tuple[Block, str, float]]) -> list[tuple[Block, str, float]]:
+    """Leave out what is marked by a part of a name, unless the element holds more than half of all points."""
+    held: dict[Element, float] = {}
+    above: list[list[Element]] = []
+    for block, _, points in read:
+        element, doubts = block.holder, []
+        while element is not None:
+            if element.doubt:
+                doubts.append(element)
+                held[element] = held.get(element, 0.0) + points
+            element = element.parent
+        above.append(doubts)
+    half = sum(points for _, _, points in read) / 2
+    return [r for r, doubts in zip(read, above) if all(held[e] > half for e in doubts)]
+
+
 def main_text(page: str | None) -> str:
-    """Text of the best scored container and of the siblings that belong to it.
+    """Text of the article around the best scored container.
 
     Each block of text gives one point, one for each comma and up to three for its length, times the share of
     its text outside links: whole to the element around its paragraph, half to the next, a third and so on
     beyond. Menus, headers, footers, asides, notices, adverts, forms, comments and hidden elements take no part.
+
+    If the best container is or lies in an article or main element, all other text of the outermost one stays; else
+    all of its parent, if that holds no element that is left out. Otherwise the parent's own text and headings,
+    paragraphs, quotes, lists, tables and sections stay, and other siblings by their score.
     """
     if not page:
         return ""
     blocks, root = parse(page)
-    read = [(b, t) for b in blocks if not b.holder.apart and (t := b.text)]
+    read = _settle_doubts([(b, t, _points(b, t)) for b in blocks if not b.holder.apart and (t := b.text)])
     order: dict[Element, None] = {}
-    for block, text in read:
-        outside = max(0.0, 1.0 - block.linked / max(1, sum(len(p.strip()) for p in block.pieces)))
-        points = (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3.0)) * outside
+    for block, text, points in read:
         above, share = block.holder if block.holder.tag in ("div", "section", "article", "main", "body", "td", "") else block.holder.parent, 1
         while above is not None:
             above.score += points / share
@@ -155,15 +200,25 @@ def main_text(page: str | None) -> str:
     best = max(order, key=lambda e: e.score)
     if best.score <= 0:
         return ""
+    whole, element = None, best
+    while element is not None:
+        if element.tag in ("article", "main"):
+            whole = element
+        element = element.parent
+    if whole is None:
+        whole = best.parent if best.parent is not None and not best.parent.mixed else best
     least = max(MIN_SIBLING, SHARE_OF_BEST * best.score)
-    kept: dict[Element, bool] = {best: True}
+    kept: dict[Element, bool] = {whole: True}
 
-    def belongs(element: Element, block: Block, text: str) -> bool:
+    def belongs(element: Element) -> bool:
+        if whole is best and element is best.parent:
+            return True
         chain = []
         while element is not None and element not in kept:
+            if whole is best and element.parent is best.parent:
+                kept[element] = element.tag in CONTENT or element.score >= least
+                break
             chain.append(element)
-            if element.parent is best.parent:
-                kept[element] = element.score >= least or (element.tag == "p" and len(text) > 80 and 4 * block.linked < len(text))
             element = element.parent
         answer = element is not None and kept[element]
         for e in chain:
@@ -173,7 +228,7 @@ def main_text(page: str | None) -> str:
     def menu(block: Block) -> bool:
         return block.links >= 3 and 4 * block.linked > 3 * sum(len(p.strip()) for p in block.pieces)
 
-    return "\n".join(text for block, text in read if belongs(block.holder, block, text) and not menu(block))
+    return "\n".join(text for block, text, _ in read if belongs(block.holder) and not menu(block))
 
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
