@@ -244,8 +244,8 @@ def dense_support(spark, d):
 
 @job("approximate_neighbours", "X16")
 def approximate_neighbours(spark, d):
-    """Near pairs by random projection, for comparison with the exact search."""
-    return R.approximate_dense_hits(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), distance=0.6)
+    """Top three of every vector against all others by random projection, for comparison with the exact search."""
+    return rounded(R.approximate_dense_hits(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True))
 
 
 @job("document_chunks", "D3", f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '{SQL_WS}+'), lambda x: x <> '') AS ws FROM documents)
