@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, exact, html, lines, lm, mixing, near, quality, substrings, urls
+from plumbline.llm import decontaminate, exact, html, lines, lm, mixing, near, pieces, quality, ranking, substrings, urls, whiten
 from plumbline.llm.common import table
 
 URL_RULES = [
@@ -58,9 +59,24 @@ def op10_near_duplicates(spark, folder):
     return near.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_piece_ids(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    digests = (F.sha2(c, 256).alias(n) for c, n in ((F.col("ids"), "ids_sha256"), (F.col("decoded").cast("binary"), "decoded_sha256")))
+    return coded.select("doc_id", "n_tokens", *digests)
+
+
+def op12_whitened_embeddings(spark, folder):
+    return whiten.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_ranked_documents(spark, folder):
+    return ranking.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_html_text, op3_mixed_sources, op4_repeated_passages, op5_url_verdicts, op6_quality, op7_repeated_lines, op8_exact_copies, op9_benchmark_leaks, op10_near_duplicates)
+    for f in (op1_lm_scores, op2_html_text, op3_mixed_sources, op4_repeated_passages, op5_url_verdicts, op6_quality, op7_repeated_lines, op8_exact_copies, op9_benchmark_leaks, op10_near_duplicates, op11_piece_ids, op12_whitened_embeddings, op13_ranked_documents)
 }
 
 SQL = {
@@ -89,4 +105,37 @@ SQL = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_ranked_documents": r"""
+        WITH found AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        sizes AS (
+            SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM found),
+        asked AS (
+            SELECT DISTINCT item, item_id, term FROM (
+                SELECT item, item_id, unnest(terms) AS term FROM (
+                    SELECT row_number() OVER () AS item, item_id,
+                           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+                    FROM benchmark))),
+        postings AS (
+            SELECT row, doc_id, n, term, count(*) AS tf
+            FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM found)
+            WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), sizes),
+        gains AS (
+            SELECT row, doc_id, term,
+                   w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))) AS gain
+            FROM postings JOIN weights USING (term), sizes),
+        scored AS (
+            SELECT item, item_id, row, doc_id, CAST(sum(gain) AS BIGINT) AS score
+            FROM asked JOIN gains USING (term) GROUP BY ALL HAVING sum(gain) > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored)
+        WHERE rank <= 50
+    """,
 }
