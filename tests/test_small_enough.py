@@ -1,11 +1,8 @@
 """What may be broadcast is measured whole, whatever the type of its columns."""
 
-import hashlib
-
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact
 from plumbline.operators.skew import small_enough
 
 
@@ -34,14 +31,3 @@ def test_wide_columns_are_measured(spark, kind):
 def test_nulls_are_small(spark):
     df = spark.range(5).select(*(F.lit(None).cast(t).alias(f"c{i}") for i, t in enumerate(["binary", "array<int>", "array<string>", "map<string,int>", "struct<a:binary>"])))
     assert small_enough(df, 5, 10_000)
-
-
-def test_long_heads_are_not_broadcast(spark, monkeypatch):
-    """Copies that part late: their leading bytes are too wide to broadcast, and the groups stay exact."""
-    asked = []
-    monkeypatch.setattr("plumbline.llm.common.SMALL_BYTES", 20_000)
-    monkeypatch.setattr("plumbline.llm.common.small_enough", lambda *a: asked.append(small_enough(*a)) or asked[-1])
-    rows = [(i, f"{i // 2:04d}" + "p" * 5000) for i in range(100)]
-    got = sorted(tuple(r) for r in exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(i, i | 1, 2, i % 2 == 1, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
-    assert asked[0] and not any(asked[2:])
