@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline import constants as K
 from plumbline.functions import text as TX
@@ -203,10 +200,7 @@ def score_once(texts: DataFrame, row_id: Sequence[str], column: str, scorer, set
     return join_to_unique(keyed, scored, "content_key", row_id)
 
 
-# --- dense vectors ---------------------------------------------------------------------
-
-QUERY_ROWS = 16_384
-PASSAGE_ROWS = 4_096
+# --- dense vectors, searched in plumbline.operators.cells ----------------------------------
 
 
 def normalise(c: Column) -> Column:
@@ -214,148 +208,3 @@ def normalise(c: Column) -> Column:
     doubles = c.cast("array<double>")
     norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x))
     return F.transform(doubles, lambda x: F.when(norm == 0, x).otherwise(x / norm))
-
-
-def _block_search(k: int, exclude_self: bool):
-    """The k best passages of one block for each query of another, as a function of two frames."""
-
-    def block_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"q_id": [], "kb_id": [], "sim": []})
-        b = b.sort_values("kb_id", ignore_index=True)
-        sims = np.vstack(a["v"].to_numpy()).astype(float) @ np.vstack(b["v"].to_numpy()).astype(float).T
-        if exclude_self:
-            sims[a["q_id"].to_numpy()[:, None] == b["kb_id"].to_numpy()[None, :]] = -np.inf
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(sims, best, axis=1)
-        rows = pd.DataFrame(
-            {
-                "q_id": np.repeat(a["q_id"].to_numpy(), best.shape[1]),
-                "kb_id": b["kb_id"].to_numpy()[best.ravel()],
-                "sim": found.ravel(),
-            }
-        )
-        return rows[np.isfinite(rows["sim"])]
-
-    return block_best
-
-
-def _hit_schema(q_type: T.DataType, p_type: T.DataType) -> T.StructType:
-    return T.StructType(
-        [T.StructField("q_id", q_type), T.StructField("kb_id", p_type), T.StructField("sim", T.DoubleType())]
-    )
-
-
-def dense_hits(
-    queries: DataFrame,
-    kb: DataFrame,
-    k: int = K.TOP_K,
-    exclude_self: bool = False,
-    query_rows: int = QUERY_ROWS,
-    passage_rows: int = PASSAGE_ROWS,
-) -> DataFrame:
-    """Exact top-k passages by inner product, for ``(q_id, v)`` against ``(kb_id, v)``.
-
-    Both sides are hashed into blocks of bounded size and every pair of blocks meets in
-    one task, which multiplies two matrices and emits k rows per query, never all pairs.
-    Works the same for any size of either side; nothing is collected or broadcast.
-    """
-    q_blocks = math.ceil(max(queries.count(), 1) / query_rows)
-    p_blocks = math.ceil(max(kb.count(), 1) / passage_rows)
-
-    def tile(df: DataFrame, own: str, n_own: int, other: str, n_other: int, ident: str) -> DataFrame:
-        place = F.pmod(F.xxhash64(ident), F.lit(n_own)).cast("int")
-        return df.select(
-            ident, "v", place.alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
-        )
-
-    left = tile(queries, "qb", q_blocks, "pb", p_blocks, "q_id")
-    right = tile(kb, "pb", p_blocks, "qb", q_blocks, "kb_id")
-    q_type, p_type = queries.schema["q_id"].dataType, kb.schema["kb_id"].dataType
-    schema = _hit_schema(q_type, p_type)
-    met = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(_block_search(k, exclude_self), schema)
-    return top_hits(met, ["q_id"], k)
-
-
-LSH_TABLES = 4
-LSH_RECALL = 0.95
-LSH_SAMPLE = 200
-LSH_ROWS = 16_384
-# Queries that a task multiplies at once.
-LSH_SLICE = 512
-
-
-def _shared_bucket(distance: np.ndarray, length: float) -> np.ndarray:
-    """Chance that two vectors at a distance fall into one bucket of a random projection (Datar et al. 2004)."""
-    r = length / np.maximum(distance, 1e-9)
-    tail = np.array([math.erfc(x / math.sqrt(2)) for x in r])
-    return 1 - tail - 2 / (math.sqrt(2 * math.pi) * r) * (1 - np.exp(-r * r / 2))
-
-
-def fit_bucket_length(queries, kb, k: int, exclude_self: bool, tables: int, recall: float) -> float:
-    """The shortest bucket that is expected to find that share of the k best of a sample of the queries."""
-    sample = queries.orderBy(F.xxhash64("q_id"), "q_id").limit(LSH_SAMPLE)
-    sims = [r["sim"] for r in dense_hits(sample, kb, k, exclude_self).select("sim").collect()]  # at most LSH_SAMPLE * k
-    away = np.sqrt(np.maximum(2 - 2 * np.array(sims), 0.0))
-    low, high = 1e-3, 64.0
-    while len(away) and high > 1.001 * low:
-        middle = math.sqrt(low * high)
-        found = np.mean(1 - (1 - _shared_bucket(away, middle)) ** tables)
-        low, high = (low, middle) if found >= recall else (middle, high)
-    return high
-
-
-def approximate_dense_hits(
-    queries: DataFrame,
-    kb: DataFrame,
-    k: int = K.TOP_K,
-    exclude_self: bool = False,
-    tables: int = LSH_TABLES,
-    recall: float = LSH_RECALL,
-    query_rows: int = LSH_ROWS,
-    passage_rows: int = LSH_ROWS,
-) -> DataFrame:
-    """Top-k passages among those that share a bucket of a random projection with the query, for unit vectors.
-
-    The buckets are as long as a sample of the queries needs for the ``recall`` asked for. Vectors without close
-    neighbours need buckets that hold much of the other side. A large bucket is cut into blocks of bounded size,
-    as in the exact search; a task emits k rows per query.
-    """
-    dim = kb.agg(F.max(F.size("v")).alias("n")).first()["n"]
-    if not dim or queries.isEmpty():
-        return dense_hits(queries, kb, k, exclude_self)
-    length = fit_bucket_length(queries, kb, k, exclude_self, tables, recall)
-    rng = np.random.default_rng(42)
-    lines, shifts = rng.normal(size=(tables, dim)), rng.uniform(0, length, tables)
-
-    def bucket(t: int) -> Column:
-        products = F.zip_with("v", F.array(*map(F.lit, lines[t].tolist())), lambda x, y: x * y)
-        along = F.aggregate(products, F.lit(0.0), lambda n, x: n + x)
-        return F.struct(F.lit(t).alias("t"), F.floor((along + float(shifts[t])) / length).alias("b"))
-
-    def placed(df: DataFrame, ident: str) -> DataFrame:
-        return df.select(ident, "v", F.explode(F.array(*(bucket(t) for t in range(tables)))).alias("bucket"))
-
-    left, right = placed(queries, "q_id"), placed(kb, "kb_id")
-    blocks = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("qs")).join(
-        right.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / passage_rows).cast("int").alias("ps")), "bucket"
-    )
-    blocks = materialise(blocks, "lsh-buckets")
-
-    def tile(df: DataFrame, own: str, n_own: str, other: str, n_other: str, ident: str) -> DataFrame:
-        # a bucket's count of blocks: few rows for any number of vectors, as long as buckets are not very short
-        counted = df.join(F.broadcast(blocks) if small_enough(blocks) else blocks, "bucket")
-        place = F.pmod(F.xxhash64(ident), F.col(n_own)).cast("int")
-        return counted.select(ident, "v", "bucket", place.alias(own), F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other))
-
-    left = tile(left, "qb", "qs", "pb", "ps", "q_id").groupBy("bucket", "qb", "pb")
-    right = tile(right, "pb", "ps", "qb", "qs", "kb_id").groupBy("bucket", "qb", "pb")
-    schema = _hit_schema(queries.schema["q_id"].dataType, kb.schema["kb_id"].dataType)
-    search = _block_search(k, exclude_self)
-
-    def in_slices(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([search(a.iloc[at : at + LSH_SLICE], b) for at in range(0, max(len(a), 1), LSH_SLICE)])
-
-    met = left.cogroup(right).applyInPandas(in_slices, schema)
-    # a pair may share several buckets
-    return top_hits(met.groupBy("q_id", "kb_id").agg(F.max("sim").alias("sim")), ["q_id"], k)

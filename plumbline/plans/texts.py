@@ -10,6 +10,7 @@ from plumbline.functions.chunks import chunks
 from plumbline.operators import claims as CL
 from plumbline.operators import correction as CR
 from plumbline.operators import retrieval as R
+from plumbline.operators.cells import search_cells, search_cells_approximately
 from plumbline.plans.inputs import (
     ARTICLES, OUTPUTS, SQL_WS, articles, outputs, sql_claims, sql_index, sql_strip, sql_support,
 )
@@ -216,20 +217,27 @@ DENSE = """pairs AS (SELECT q.vec_id AS q_id, k.vec_id AS kb_id, list_inner_prod
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 9) DESC, kb_id) AS rank FROM pairs)"""
 
 
+# Smaller cells than the exact search has: their bounds part near from far more finely.
+APPROXIMATE_ROWS = 1_024
+
+
 def _vectors(spark, d, ident):
     return load(spark, d, "embeddings").select(F.col("vec_id").alias(ident), R.normalise(F.col("embedding")).alias("v"))
 
 
-@job("dense_neighbours", "J3 X16 X3 W4", f"WITH {DENSE} SELECT q_id, kb_id, round(sim, 9) AS sim, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
+NEAREST = "SELECT q_id, kb_id, round(sim, 9) AS sim, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3"
+
+
+@job("dense_neighbours", "J3 X16 X3 W4", f"WITH {DENSE} {NEAREST}")
 def dense_neighbours(spark, d):
     """Exact top three of every vector against all others."""
-    return rounded(R.dense_hits(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True))
+    return rounded(search_cells(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True))
 
 
-@job("dense_neighbours_in_blocks", "J3 X16", f"WITH {DENSE} SELECT q_id, kb_id, round(sim, 9) AS sim, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
+@job("dense_neighbours_in_blocks", "J3 X16", f"WITH {DENSE} {NEAREST}")
 def dense_neighbours_in_blocks(spark, d):
-    """The same with small blocks, as for sides that fill many tasks."""
-    hits = R.dense_hits(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True, query_rows=200, passage_rows=150)
+    """The same with small cells and few queries per copy, as for sides that fill many tasks."""
+    hits = search_cells(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True, query_rows=200, passage_rows=50)
     return rounded(hits)
 
 
@@ -237,15 +245,41 @@ def dense_neighbours_in_blocks(spark, d):
 SELECT q_id, round(sum(sim) / 3, 9) AS groundedness, round(least(sum(sim) / 3 / 0.6, 1), 9) AS truth FROM ranked WHERE rank <= 3 GROUP BY q_id""")
 def dense_support(spark, d):
     queries = _vectors(spark, d, "q_id")
-    hits = R.dense_hits(queries, _vectors(spark, d, "kb_id"), exclude_self=True)
+    hits = search_cells(queries, _vectors(spark, d, "kb_id"), exclude_self=True)
     scored = R.support(hits, ["q_id"], queries.count() - 1, K.DENSE_TRUTH_AT)
     return rounded(scored.drop("hits"))
 
 
+def _asked(spark, d):
+    """The stated queries of a search: every row whose id is divisible by 20, against all rows."""
+    return _vectors(spark, d, "q_id").filter("q_id % 20 = 0")
+
+
+@job("nearest_by_cells", "J3 X16", f"WITH {DENSE} {NEAREST} AND q_id % 20 = 0")
+def nearest_by_cells(spark, d):
+    """Exact top three of the stated queries against all other vectors."""
+    return rounded(search_cells(_asked(spark, d), _vectors(spark, d, "kb_id"), exclude_self=True))
+
+
+def _approximate(spark, d):
+    return search_cells_approximately(_asked(spark, d), _vectors(spark, d, "kb_id"), exclude_self=True, passage_rows=APPROXIMATE_ROWS)
+
+
 @job("approximate_neighbours", "X16")
 def approximate_neighbours(spark, d):
-    """Top three of every vector against all others by random projection, for comparison with the exact search."""
-    return rounded(R.approximate_dense_hits(_vectors(spark, d, "q_id"), _vectors(spark, d, "kb_id"), exclude_self=True))
+    """Top three of the stated queries from the cells with the best bounds only."""
+    return rounded(_approximate(spark, d))
+
+
+@job("approximate_recall", "X16", f"""WITH {DENSE}
+SELECT count(*) AS n_exact, count(DISTINCT q_id) AS n_queries, TRUE AS recall_reached FROM ranked WHERE rank <= 3 AND q_id % 20 = 0""")
+def approximate_recall(spark, d):
+    """How much of the exact top three the approximate search finds: nine tenths at least."""
+    exact = search_cells(_asked(spark, d), _vectors(spark, d, "kb_id"), exclude_self=True).select("q_id", "kb_id")
+    found = _approximate(spark, d).select("q_id", "kb_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["q_id", "kb_id"], "left").agg(
+        F.count(F.lit(1)).alias("n_exact"), F.countDistinct("q_id").alias("n_queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"),
+    )
 
 
 @job("document_chunks", "D3", f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '{SQL_WS}+'), lambda x: x <> '') AS ws FROM documents)

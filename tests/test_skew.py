@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import encode, portfolio, retrieval, review, skew
+from plumbline.operators import cells, encode, portfolio, retrieval, review, skew
 
 
 @pytest.fixture(scope="module")
@@ -85,7 +85,7 @@ def test_dense_blocks_against_brute_force(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "i bigint, e array<double>")
     q = df.select(F.col("i").alias("q_id"), retrieval.normalise(F.col("e")).alias("v"))
     kb = df.select(F.col("i").alias("kb_id"), retrieval.normalise(F.col("e")).alias("v"))
-    hits = retrieval.dense_hits(q, kb, k=3, exclude_self=True, query_rows=50, passage_rows=30).collect()
+    hits = cells.search_cells(q, kb, k=3, exclude_self=True, query_rows=50, passage_rows=30).collect()
     sims = unit @ unit.T
     np.fill_diagonal(sims, -9)
     for i in range(120):
