@@ -190,13 +190,14 @@ def _probe(index: Cells, routed: DataFrame, k: int, exclude_self: bool, query_ro
         step = max(1, SLICE_SIMS // len(ids))
         for at in range(0, few.num_rows, step):
             some = few.slice(at, step)
-            sims = np.round(matrix(some.column(6)) @ vectors.T, 9)
+            exact = matrix(some.column(6)) @ vectors.T
+            sims = np.round(exact, 9)
             if exclude_self:
                 sims[_same(some.column(4), ids)] = -np.inf
             best, found = _best(sims, k)
-            found = found.ravel()
             row = np.repeat(np.arange(some.num_rows), best.shape[1])
-            kept = np.isfinite(found)
+            kept = np.isfinite(found).ravel()
+            found = np.take_along_axis(exact, best, axis=1).ravel()
             row, column = pa.array(row[kept]), pa.array(best.ravel()[kept])
             out = [some.column(3).take(row), some.column(4).take(row), ids.take(column), some.column(0).take(row), pa.array(found[kept])]
             yield pa.RecordBatch.from_arrays(out, ["_q", "q_id", "kb_id", "part", "sim"])
