@@ -88,16 +88,17 @@ def build_cells(kb: DataFrame, passage_rows: int = PASSAGE_ROWS) -> Cells | None
 
     Vectors that are null, hold null or non-finite entries, or are shorter than the longest go.
     """
-    dim = kb.agg(F.max(F.size("v")).alias("n")).first()["n"]
-    if not dim or dim < 0:
+    sizes = kb.filter(F.size("v") > 0).groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    longest = sizes.orderBy(F.col("dim").desc()).first()
+    if longest is None:
         return None
+    dim, n = longest["dim"], longest["n"]
     kb = usable(kb, "kb_id", dim)
-    n = kb.count()
-    if not n:
-        return None
     order = F.xxhash64("kb_id", "v")  # any fixed choice: results do not depend on the cells
     rows = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim))
     sample = np.array([r["v"] for r in kb.orderBy(order, "kb_id").limit(max(rows, 1)).select("v").collect()])
+    if not len(sample):
+        return None
     cells = min(math.ceil(n / passage_rows), MOST_CELLS, max(1, len(sample) // 4))
     centroids = fit_centroids(sample, cells)
     shared = kb.sparkSession.sparkContext.broadcast(centroids)  # no larger than the sample

@@ -3,37 +3,47 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import constants as K
 from plumbline.functions import text as TX
-from plumbline.operators.skew import small_enough
+from plumbline.operators.skew import join_to_unique, small_enough
 from plumbline.session import materialise
 
-# Postings (term, passage, weight) are about 40 bytes each: 2 million stay below 100 MB.
-BROADCAST_POSTINGS = 2_000_000
-# Every claim carries this term at weight zero and so reaches the first k passages: an
-# exact index returns zero-similarity passages too, lowest ids first.
-ANCHOR = ""
+# Passages of one block of the index, and texts that share one copy of it.
+BLOCK_PASSAGES = 2_048
+BLOCK_TEXTS = 65_536
+# Terms of the dictionary's head, which is broadcast once its bytes are checked; the tail is shuffled.
+HEAD_TERMS = 100_000
+# Sums that a task holds at once.
+SLICE_SUMS = 4_000_000
+# Similarities are compared at nine digits, so bounds leave room for rounding.
+ROOM = 1e-8
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """A knowledge base as a weighted inverted index."""
+    """A knowledge base as a weighted inverted index, cut by passage into blocks.
+
+    ``dictionary`` has per term its idf, its largest weight, the block that holds it and the number of blocks;
+    ``block_terms`` the largest weight per term and block. ``first`` are the lowest ids: an exact index returns
+    passages without a shared term too, in that order.
+    """
 
     vocabulary: DataFrame  # term, df, cf, idf
-    postings: DataFrame  # term, kb_id, w
+    postings: DataFrame  # term, kb_id, w, block
+    dictionary: DataFrame  # term, idf, most, best_block, n_blocks
+    block_terms: DataFrame  # term, block, most
+    first: list
     n_docs: int
-    n_postings: int
-    bounded: bool  # the vocabulary has a size cap
-
-    def unpersist(self) -> None:
-        self.vocabulary.unpersist()
-        self.postings.unpersist()
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], column: str, stop_words=None) -> DataFrame:
@@ -58,24 +68,32 @@ def build_index(
     kb: DataFrame,
     kb_id: str,
     content: str,
-    max_terms: int | None = K.VOCABULARY_SIZE,
+    max_terms: int | None = None,
     stop_words: list[str] | None = None,
     anchors: int = K.TOP_K,
+    block_passages: int = BLOCK_PASSAGES,
 ) -> TermIndex:
-    """Index a knowledge base: the ``max_terms`` most frequent terms, smoothed idf, unit vectors."""
+    """Index a knowledge base: all its terms, or the ``max_terms`` most frequent; smoothed idf, unit vectors."""
+    kb = kb.withColumnRenamed(kb_id, "kb_id")
     n_docs = kb.count()
-    counts = term_counts(kb.select(F.col(kb_id).alias("kb_id"), content), ["kb_id"], content, stop_words)
+    counts = materialise(term_counts(kb, ["kb_id"], content, stop_words), "passage-terms")
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_terms is not None:
         vocabulary = vocabulary.orderBy(F.col("cf").desc(), "term").limit(max_terms)
-    vocabulary = vocabulary.withColumn("idf", smoothed_idf(F.col("df"), n_docs)).persist()
-    known = F.broadcast(vocabulary) if max_terms is not None else vocabulary
-    weighed = counts.join(known, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    postings = weighed.select("term", "kb_id", unit_norm(F.col("_w"), ["kb_id"]).alias("w"))
-    first = kb.select(F.col(kb_id).alias("kb_id")).orderBy("kb_id").limit(anchors)
-    anchored = first.select(F.lit(ANCHOR).alias("term"), "kb_id", F.lit(0.0).alias("w"))
-    postings = postings.unionByName(anchored).persist()
-    return TermIndex(vocabulary, postings, n_docs, postings.count(), max_terms is not None)
+    vocabulary = materialise(vocabulary.withColumn("idf", smoothed_idf(F.col("df"), n_docs)), "vocabulary")
+    known = vocabulary.select("term", "idf")
+    weighed = join_to_unique(counts, known, "term", ["kb_id"], "inner").withColumn("_w", F.col("tf") * F.col("idf"))
+    n_blocks = max(1, math.ceil(n_docs / block_passages))
+    block = F.pmod(F.xxhash64("kb_id"), F.lit(n_blocks)).cast("int")
+    postings = weighed.select("term", "kb_id", unit_norm(F.col("_w"), ["kb_id"]).alias("w"), block.alias("block"))
+    postings = materialise(postings, "postings")
+    block_terms = materialise(postings.groupBy("term", "block").agg(F.max("w").alias("most")), "block-terms")
+    best = block_terms.groupBy("term").agg(
+        F.max("most").alias("most"), F.max_by("block", "most").alias("best_block"), F.count(F.lit(1)).cast("int").alias("n_blocks")
+    )
+    dictionary = materialise(join_to_unique(best, known, "term", ["term"], "inner"), "dictionary")
+    first = [r["kb_id"] for r in kb.select("kb_id").orderBy("kb_id").limit(anchors).collect()]
+    return TermIndex(vocabulary, postings, dictionary, block_terms, first, n_docs)
 
 
 def spread(texts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -83,33 +101,37 @@ def spread(texts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return texts.select(*keys, column).repartition(*keys)
 
 
-def weigh(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, stop_words=None) -> DataFrame:
-    """Unit tf-idf vectors of texts in the index's own vocabulary; unknown words drop out.
+def look_up(terms: DataFrame, dictionary: DataFrame, row_id: Sequence[str], head_terms: int = HEAD_TERMS) -> DataFrame:
+    """Join (row, term) to the dictionary, which may be far larger than memory; unknown terms drop out.
 
-    Texts are spread by their keys once; the term counts, norms, similarity sums and top-k
-    ranks that follow are all grouped by those keys and need no further shuffle.
+    A dictionary of checked size is broadcast. Of a larger one the terms in most blocks are, and meet most rows
+    without a shuffle; the rest is shuffled, with the hot terms of the rows salted.
     """
-    found = spread(texts, keys, column).select(*keys, TX.words(F.col(column), stop_words).alias("_words"))
-    with_anchor = F.concat(F.array(F.lit(ANCHOR)), TX.word_pairs(F.col("_words")))
-    long = found.select(*keys, F.explode(with_anchor).alias("term"))
-    anchor = index.vocabulary.limit(0).select("term", "idf").unionByName(
-        texts.sparkSession.createDataFrame([(ANCHOR, 0.0)], "term string, idf double")
-    )
-    vocabulary = index.vocabulary.select("term", "idf").unionByName(anchor)
-    known = F.broadcast(vocabulary) if index.bounded else vocabulary
-    counted = long.join(known, "term").groupBy(*keys, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.select(*keys, "term", unit_norm(F.col("tf") * F.col("idf"), keys).alias("w"))
-
-
-def _best(weighed: DataFrame, postings: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Top-k passages per text against postings that fit a broadcast."""
-    sims = (
-        weighed.withColumnRenamed("w", "wq")
-        .join(F.broadcast(postings), "term")
-        .groupBy(*keys, "kb_id")
-        .agg(F.sum(F.col("wq") * F.col("w")).alias("sim"))
-    )
-    return top_hits(sims, keys, k)
+    if small_enough(dictionary, head_terms):
+        return terms.join(F.broadcast(dictionary), "term")
+    head = materialise(dictionary.orderBy(F.col("n_blocks").desc(), "idf", "term").limit(head_terms), "dictionary-head")
+    if not small_enough(head, head_terms):  # very long terms
+        return join_to_unique(terms, dictionary, "term", row_id, "inner")
+    names = [c for c in dictionary.columns if c != "term"]
+    met = terms.join(F.broadcast(head.withColumn("_met", F.lit(True))), "term", "left")
+    rare = met.filter(F.col("_met").isNull()).drop(*names, "_met")
+    tail = dictionary.join(F.broadcast(head.select("term")), "term", "left_anti")
+    columns = [*terms.columns, *names]
+    return met.filter("_met").select(columns).unionByName(join_to_unique(rare, tail, "term", row_id, "inner").select(columns))
+
+
+def _known_terms(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, stop_words, head_terms: int) -> DataFrame:
+    """(keys, term, tf, and the dictionary's columns) of texts that are spread by their keys."""
+    found = texts.select(*keys, TX.words(F.col(column), stop_words).alias("_words"))
+    long = found.select(*keys, F.explode(TX.word_pairs(F.col("_words"))).alias("term"))
+    counted = long.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return look_up(counted, index.dictionary, [*keys, "term"], head_terms)
+
+
+def weigh(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, stop_words=None, head_terms: int = HEAD_TERMS) -> DataFrame:
+    """Unit tf-idf vectors of texts in the index's own vocabulary; unknown words drop out."""
+    known = _known_terms(spread(texts, keys, column), keys, column, index, stop_words, head_terms)
+    return known.select(*keys, "term", unit_norm(F.col("tf") * F.col("idf"), keys).alias("w"))
 
 
 def top_hits(sims: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -121,31 +143,172 @@ def top_hits(sims: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return sims.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def sparse_hits(
-    texts: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    index: TermIndex,
-    k: int = K.TOP_K,
-    stop_words=None,
-    broadcast_postings: int = BROADCAST_POSTINGS,
-) -> DataFrame:
-    """Exact top-k passages of every text, as (keys, kb_id, sim, rank).
+class _Block:
+    """One block of the index in a task: posting lists by term over the block's passages."""
 
-    Postings of checked size are broadcast. A larger index is cut by passage into blocks
-    that fit; each block yields its own k best per text, and the best of those are kept.
+    def __init__(self, term: pa.Array, kb_id: pa.Array, w: np.ndarray):
+        ids = kb_id.unique()
+        self.ids = ids.take(pc.sort_indices(ids))
+        passage = pc.index_in(kb_id, value_set=self.ids).to_numpy()
+        self.terms = term.unique()  # rows come in the order of terms
+        place = pc.index_in(term, value_set=self.terms).to_numpy()
+        self.passage, self.w = passage, w
+        self.first = np.searchsorted(place, np.arange(len(self.terms) + 1))
+        self.most = np.maximum.reduceat(w, self.first[:-1])
+
+    def sums(self, text: np.ndarray, place: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """Similarity of ``n`` texts with each passage, from the terms they share."""
+        size = self.first[place + 1] - self.first[place]
+        upto = np.cumsum(size)
+        at = np.repeat(self.first[place] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+        cell = np.repeat(text * len(self.ids), size) + self.passage[at]
+        return np.bincount(cell, np.repeat(w, size) * self.w[at], n * len(self.ids)).reshape(n, -1)
+
+
+def _open_terms(text: np.ndarray, gain: np.ndarray, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms without which no passage of another block could reach the k-th similarity, and what the others can add.
+
+    A text's terms by rising gain, the most that a term can add in another block: those whose gains together stay
+    below the k-th similarity can't reach it alone.
+    """
+    order = np.lexsort((gain, text))
+    upto = np.cumsum(gain[order])
+    start = np.searchsorted(text[order], text[order], "left")
+    alone = upto - np.append(0.0, upto)[start]
+    out = np.zeros(len(text), bool)
+    out[order] = alone >= kth[text[order]] - ROOM
+    out &= gain > 0
+    return out, np.bincount(text[~out], gain[~out], len(kth)).astype(float)
+
+
+def _probe(index: TermIndex, asked: DataFrame, k: int, first_round: bool) -> DataFrame:
+    """The k best passages of one block for each text: (key, block, hits), and what is open after the first round.
+
+    ``asked`` has key, block, kth and vector, an array of (term, w, most, best_block, n_blocks). A block's
+    postings come first in its task, and the texts then stream past them.
     """
-    weighed = weigh(texts, keys, column, index, stop_words)
-    if index.n_postings <= broadcast_postings:
-        return _best(weighed, index.postings, keys, k)
-    weighed = materialise(weighed, "claim-vectors")
-    blocks = math.ceil(index.n_postings / broadcast_postings)
-    block = F.pmod(F.xxhash64("kb_id"), F.lit(blocks))
-    candidates = None
-    for b in range(blocks):
-        part = _best(weighed, index.postings.filter(block == b), keys, k).drop("rank")
-        candidates = part if candidates is None else candidates.unionByName(part)
-    return top_hits(candidates, keys, k)
+    load = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).cast("int").alias("_copies"))
+    load = materialise(load, "probed-blocks")  # one row per block
+    load = F.broadcast(load) if small_enough(load) else load
+    postings = index.postings.join(load, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    texts = asked.join(load, "block").withColumn("copy", F.pmod(F.xxhash64("key"), F.col("_copies")).cast("int"))
+    kinds = {c: asked.schema[c].dataType for c in ("key", "kth", "vector")} | {c: index.postings.schema[c].dataType for c in ("term", "kb_id", "w")}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    both = postings.select("block", "copy", F.lit(0).alias("asks"), "term", "kb_id", "w", none("key"), none("kth"), none("vector")).unionAll(
+        texts.select("block", "copy", F.lit(1).alias("asks"), none("term"), none("kb_id"), none("w"), "key", "kth", "vector")
+    )
+    met = both.repartition("block", "copy").sortWithinPartitions("block", "copy", "asks", "term", "kb_id")
+    open_term = T.StructType([T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType())])
+    hit = T.StructType([T.StructField("sim", T.DoubleType()), T.StructField("kb_id", kinds["kb_id"])])
+    fields = [T.StructField("key", kinds["key"]), T.StructField("block", T.IntegerType()), T.StructField("hits", T.ArrayType(hit))]
+    if first_round:
+        fields += [T.StructField("kth", T.DoubleType()), T.StructField("rest", T.DoubleType()), T.StructField("open", T.ArrayType(open_term)), T.StructField("vector", kinds["vector"])]
+
+    def answers(few: pa.RecordBatch, held: _Block, block: int) -> pa.RecordBatch:
+        n, vector = few.num_rows, few.column(8)
+        size = np.asarray(pc.list_value_length(vector).fill_null(0))
+        parts = vector.flatten()
+        term, w = parts.field(0), parts.field(1).to_numpy()
+        text = np.repeat(np.arange(n), size)
+        place = pc.index_in(term, value_set=held.terms).fill_null(-1).to_numpy()
+        kth, met = few.column(7).to_numpy(), place >= 0
+        # the most that any passage of the block can reach
+        bound = np.bincount(text[met], w[met] * held.most[place[met]], n)
+        met &= (bound >= kth - ROOM)[text]
+        exact = held.sums(text[met], place[met], w[met], n)
+        sims, every = np.round(exact, 9), np.arange(n)
+        best, found = np.empty((n, min(k, sims.shape[1])), np.int64), np.empty((n, min(k, sims.shape[1])))
+        for i in range(best.shape[1]):
+            best[:, i] = at = sims.argmax(axis=1)
+            found[:, i] = np.where(sims[every, at] > 0, exact[every, at], 0.0)
+            sims[every, at] = -1.0
+        kept = found > 0
+        offsets = pa.array(np.concatenate(([0], np.cumsum(kept.sum(axis=1)))).astype(np.int32))
+        hits = pa.StructArray.from_arrays([pa.array(found[kept]), held.ids.take(pa.array(best[kept]))], ["sim", "kb_id"])
+        out = [few.column(6), pa.array(np.full(n, block, np.int32)), pa.ListArray.from_arrays(offsets, hits)]
+        if first_round:
+            reached = np.where(kept.sum(axis=1) == k, found[:, -1], 0.0)
+            most, home, spread_ = (parts.field(i).to_numpy() for i in (2, 3, 4))
+            open_, rest = _open_terms(text, w * most * ((spread_ > 1) | (home != block)), reached)
+            counts = np.bincount(text[open_], minlength=n)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            # a text goes on with its vector only where something is open
+            row = pa.array(np.where(counts > 0, every, -1), mask=counts == 0)
+            entries = pa.StructArray.from_arrays([term.filter(pa.array(open_)), pa.array(w[open_])], ["term", "w"])
+            out += [pa.array(reached), pa.array(rest), pa.ListArray.from_arrays(offsets, entries), vector.take(row)]
+        return pa.RecordBatch.from_arrays(out, [f.name for f in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chunks, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            starts = np.flatnonzero(np.append(True, (np.diff(marks, axis=1) != 0).any(axis=0)))
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                same = batch.slice(a, b - a)
+                if key != tuple(marks[:2, a]):
+                    key, chunks, held = tuple(marks[:2, a]), [], None
+                if not marks[2, a]:
+                    chunks.append(same)
+                    continue
+                if held is None:
+                    term, kb_id, w = (pa.concat_arrays([c.column(i) for c in chunks]) for i in (3, 4, 5))
+                    held, chunks = _Block(term, kb_id, w.to_numpy()), []
+                step = max(1, SLICE_SUMS // len(held.ids))
+                for at in range(0, same.num_rows, step):
+                    yield answers(same.slice(at, step), held, int(key[0]))
+
+    return met.mapInArrow(run, T.StructType(fields))
+
+
+def _hits_per_text(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, k: int, stop_words, head_terms: int) -> DataFrame:
+    """(keys, hits): the ranked k best passages of every text, as an array of (rank, kb_id, sim).
+
+    One plan for any size of the index. A text first meets the block with the largest weight of its most telling
+    term; its k-th similarity there leaves few terms that could lift a passage of another block, and of the blocks
+    with such a term those are probed too whose largest weights add up to it. No row is made per shared term: a task sums them and emits k hits.
+    """
+    spread_ = spread(texts, keys, column)
+    known = _known_terms(spread_, keys, column, index, stop_words, head_terms)
+    raw = F.col("tf") * F.col("idf")
+    entry = F.struct("term", raw.alias("w"), "most", "best_block", "n_blocks")
+    vectors = known.groupBy(*keys).agg(
+        F.collect_list(entry).alias("vector"),  # the terms of one text
+        F.sqrt(F.sum(raw * raw)).alias("_norm"),
+        F.max_by("best_block", F.struct(raw * F.col("most"), "best_block")).alias("block"),
+    )
+    scaled = F.transform("vector", lambda x: x.withField("w", x["w"] / F.col("_norm")))
+    asked = vectors.select(F.struct(*keys).alias("key"), "block", F.lit(0.0).alias("kth"), scaled.alias("vector"))
+    first = materialise(_probe(index, materialise(asked, "text-vectors"), k, first_round=True), "first-blocks")
+    open_ = first.filter(F.size("open") > 0)
+    terms = open_.select("key", F.col("block").alias("_own"), (F.col("kth") - F.col("rest") - ROOM).alias("_least"), F.inline("open"))
+    blocks = F.broadcast(index.block_terms) if small_enough(index.block_terms) else index.block_terms
+    met = terms.join(blocks, "term").filter("block <> _own").groupBy("key", "block", "_least")
+    more = met.agg(F.sum(F.col("w") * F.col("most")).alias("_bound")).filter("_bound >= _least").select("key", "block")
+    more = more.join(open_.select("key", "kth", "vector"), "key")
+    rest = _probe(index, materialise(more, "open-blocks"), k, first_round=False)
+    found = first.select("key", "hits").unionAll(rest.select("key", "hits")).groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    every = spread_.select(*keys, F.struct(*keys).alias("key")).distinct().join(found, "key", "left").drop("key")
+    kb_type = index.postings.schema["kb_id"].dataType
+    ordered = lambda sim, kb_id: F.struct((-F.round(sim, 9)).alias("o"), kb_id.cast(kb_type).alias("kb_id"), sim.alias("sim"))
+    hits = F.coalesce(F.transform("hits", lambda h: ordered(h["sim"], h["kb_id"])), F.array().cast(T.ArrayType(T.StructType([
+        T.StructField("o", T.DoubleType()), T.StructField("kb_id", kb_type), T.StructField("sim", T.DoubleType())]))))
+    if index.first:
+        ids = F.array(*(F.lit(i) for i in index.first))
+        unmet = F.filter(ids, lambda i: ~F.exists(hits, lambda h: h["kb_id"] == i))
+        hits = F.concat(hits, F.transform(unmet, lambda i: ordered(F.lit(0.0), i)))
+    best = F.slice(F.sort_array(hits), 1, k)
+    ranked = F.transform(best, lambda h, i: F.struct((i + 1).alias("rank"), h["kb_id"].alias("kb_id"), h["sim"].alias("sim")))
+    return every.select(*keys, ranked.alias("hits"))
+
+
+def sparse_hits(
+    texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, k: int = K.TOP_K, stop_words=None, head_terms: int = HEAD_TERMS
+) -> DataFrame:
+    """Exact top-k passages of every text, as (keys, kb_id, sim, rank); ``keys`` tell texts apart."""
+    found = _hits_per_text(texts, keys, column, index, k, stop_words, head_terms)
+    return found.select(*keys, F.inline("hits")).select(*keys, "kb_id", "sim", "rank")
 
 
 def support(hits: DataFrame, keys: Sequence[str], n_docs: int, threshold: float, k: int = K.TOP_K) -> DataFrame:
@@ -181,8 +344,10 @@ def score_claims(
             F.lit(K.TEXT_NEUTRAL).alias("truth"),
             F.lit(None).cast("array<struct<rank:int,kb_id:bigint,sim:double>>").alias("hits"),
         )
-    hits = sparse_hits(texts, keys, column, index, k, stop_words)
-    scored = support(hits, keys, index.n_docs, threshold, k)
+    found = _hits_per_text(texts, keys, column, index, k, stop_words, HEAD_TERMS)
+    total = F.aggregate("hits", F.lit(0.0), lambda n, h: n + h["sim"])
+    grounded = total / F.lit(float(min(k, index.n_docs)))
+    scored = found.select(*keys, grounded.alias("groundedness"), F.least(grounded / threshold, F.lit(1.0)).alias("truth"), "hits")
     return scored.join(spread(texts, keys, column), list(keys)) if carry else scored
 
 
@@ -192,8 +357,6 @@ def score_once(texts: DataFrame, row_id: Sequence[str], column: str, scorer, set
     Copies collapse map-side before the shuffle. A text with very many copies is salted
     on the way back.
     """
-    from plumbline.operators.skew import join_to_unique
-
     keyed = texts.withColumn("content_key", TX.content_key(F.lit(settings), F.col(column)))
     distinct = keyed.groupBy("content_key").agg(F.first(column).alias(column))
     scored = materialise(scorer(distinct, ["content_key"], column), "scored")  # measured, then joined
@@ -207,4 +370,6 @@ def normalise(c: Column) -> Column:
     """Scale an array to unit length; a zero vector stays as it is."""
     doubles = c.cast("array<double>")
     norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(doubles, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+    # the norm is bound to a variable, or each entry would compute it anew
+    scaled = lambda n: F.when(n == 0, doubles).otherwise(F.transform(doubles, lambda x: x / n))
+    return F.when(doubles.isNotNull(), F.get(F.transform(F.array(norm), scaled), F.lit(0)))

@@ -175,8 +175,9 @@ def sql_words(c: str) -> str:
     return f"list_filter({found}, lambda w: NOT list_contains({SQL_STOP}, w))"
 
 
-def sql_index(kb: str = "articles", kb_id: str = "kb_id", content: str = "content", terms: int = K.VOCABULARY_SIZE) -> str:
+def sql_index(kb: str = "articles", kb_id: str = "kb_id", content: str = "content", terms: int | None = None) -> str:
     """CTEs kb_terms, vocabulary, kb_weights: the tf-idf index of a knowledge base."""
+    limit = "" if terms is None else f"ORDER BY cf DESC, term LIMIT {terms}"
     return f"""kb_words AS (SELECT {kb_id} AS kb_id, {sql_words(content)} AS ws FROM {kb}),
 kb_terms AS (
   SELECT kb_id, term, count(*) AS tf FROM (
@@ -187,8 +188,7 @@ kb_terms AS (
 n_docs AS (SELECT count(*) AS n FROM {kb}),
 vocabulary AS (
   SELECT term, df, cf, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM (
-    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM kb_terms GROUP BY term
-    ORDER BY cf DESC, term LIMIT {terms}), n_docs),
+    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM kb_terms GROUP BY term {limit}), n_docs),
 kb_weights AS (
   SELECT kb_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY kb_id)) AS w
   FROM (SELECT kb_id, term, tf * idf AS w FROM kb_terms JOIN vocabulary USING (term)))"""

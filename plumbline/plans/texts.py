@@ -54,17 +54,29 @@ def kb_vocabulary(spark, d):
     return rounded(_index(spark, d).vocabulary)
 
 
+@job("kb_vocabulary_compat", "X2", f"WITH {ARTICLES},\n{sql_index(terms=K.VOCABULARY_SIZE)} SELECT term, df, cf, round(idf, 9) AS idf FROM vocabulary")
+def kb_vocabulary_compat(spark, d):
+    """The vocabulary of an index that keeps its most frequent terms only."""
+    return rounded(R.build_index(articles(spark, d), "kb_id", "content", max_terms=K.VOCABULARY_SIZE).vocabulary)
+
+
 @job("kb_term_weights", "X2 X3", f"WITH {INDEX} SELECT kb_id, term, round(w, 9) AS w FROM kb_weights")
 def kb_term_weights(spark, d):
-    return rounded(_index(spark, d).postings.filter(F.col("term") != R.ANCHOR).select("kb_id", "term", "w"))
+    return rounded(_index(spark, d).postings.select("kb_id", "term", "w"))
 
 
 @job("document_term_weights", "X2 X4", f"""WITH {INDEX}, {sql_support('documents', 'doc_id', 'text')}
 SELECT doc_id, term, round(w, 9) AS w FROM text_weights""")
 def document_term_weights(spark, d):
     """Whole documents in the knowledge base's vocabulary."""
-    weighed = R.weigh(load(spark, d, "documents"), ["doc_id"], "text", _index(spark, d))
-    return rounded(weighed.filter(F.col("term") != R.ANCHOR))
+    return rounded(R.weigh(load(spark, d, "documents"), ["doc_id"], "text", _index(spark, d)))
+
+
+@job("document_term_weights_by_head", "X2 X4", f"""WITH {INDEX}, {sql_support('documents', 'doc_id', 'text')}
+SELECT doc_id, term, round(w, 9) AS w FROM text_weights""")
+def document_term_weights_by_head(spark, d):
+    """The same with a small head of the dictionary, as for one too large to broadcast: the tail is shuffled."""
+    return rounded(R.weigh(load(spark, d, "documents"), ["doc_id"], "text", _index(spark, d), head_terms=500))
 
 
 @job("claim_support", "X4 X5 J4 W4", f"""WITH {INDEX}, {DOC_CLAIMS}, {sql_support('claims', 'doc_id, pos', 'claim')}
@@ -90,11 +102,9 @@ def claim_hits(spark, d):
 @job("claim_hits_in_blocks", "W4 J4", f"""WITH {INDEX}, {TURN_CLAIMS}, {sql_support('claims', 'conv_id, turn, pos', 'claim')}
 SELECT conv_id, turn, pos, CAST(rank AS INT) AS rank, kb_id, round(sim, 9) AS sim FROM hits""")
 def claim_hits_in_blocks(spark, d):
-    """The same search as for an index too large to broadcast: block by block."""
-    index = _index(spark, d)
-    hits = R.sparse_hits(
-        _turn_claims(spark, d), ["conv_id", "turn", "pos"], "claim", index, broadcast_postings=index.n_postings // 3 + 1
-    )
+    """The same search in an index of many small blocks: bounds leave most of them unread."""
+    index = R.build_index(articles(spark, d), "kb_id", "content", block_passages=8)
+    hits = R.sparse_hits(_turn_claims(spark, d), ["conv_id", "turn", "pos"], "claim", index)
     return rounded(hits.select("conv_id", "turn", "pos", "rank", "kb_id", "sim"))
 
 

@@ -77,18 +77,17 @@ def brute_force(texts, k):
 def test_support_against_brute_force(spark, kb):
     texts = [(0, "Water boils at sea level"), (1, "iron rusts"), (2, "nothing known here"), (3, ""), (4, "the moon and the water of the earth")]
     df = spark.createDataFrame(texts, "i int, t string")
-    index = R.build_index(kb, "kb_id", "content")
     for k in (2, 3):
         want = brute_force(texts, k)
-        for limit in (R.BROADCAST_POSTINGS, 10):
-            hits = R.sparse_hits(df, ["i"], "t", index, k=k, broadcast_postings=limit)
+        for passages in (R.BLOCK_PASSAGES, 1):
+            index = R.build_index(kb, "kb_id", "content", block_passages=passages)
+            hits = R.sparse_hits(df, ["i"], "t", index, k=k)
             got = {r.i: r for r in R.support(hits, ["i"], index.n_docs, K.SPARSE_TRUTH_AT, k).collect()}
             assert set(got) == {0, 1, 2, 3, 4}
             for i, (ids, grounded) in want.items():
                 assert [h.kb_id for h in got[i].hits] == ids
                 assert got[i].groundedness == pytest.approx(grounded)
                 assert got[i].truth == pytest.approx(min(grounded / 0.18, 1))
-    index.unpersist()
 
 
 def test_fewer_articles_than_k(spark, kb):
