@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import constants as K
-from plumbline.operators import encode, fairness, sampling
+from plumbline.operators import encode, fairness, grouped, sampling
 from plumbline.session import materialise
 
 BLOCK_ROWS = 50_000
@@ -137,24 +136,16 @@ def cluster_bias(df, features: Sequence[str], label: str, protected: str, k: int
     n = df.count()
     if min(k, n) < 2:
         return K.TEXT_NEUTRAL, []
-    clustered = cluster(df, features, min(k, n)).select("features", label, protected, "cluster").persist()
-    try:
-        sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi"))
-
-        def judge(row) -> dict:
-            gap = 0.0
-            if row["lo"] != row["hi"]:
-                part = clustered.filter(F.col("cluster") == row["cluster"])
-                scored = fit_linear(part, label).transform(part)
-                gap = fairness.parity_gap(scored, "prediction", protected, 0, 1).first()["parity_gap"]
-            return {"cluster": row["cluster"], "size": row["n"], "parity_gap": gap}
-
-        judged = [r for r in sorted(sizes.collect(), key=lambda r: r["cluster"]) if r["n"] >= 2]  # at most k rows
-        # independent fits; side by side they fill the cluster between each other's steps
-        with ThreadPoolExecutor(max_workers=max(1, min(4, len(judged)))) as pool:
-            details = list(pool.map(judge, judged))
-    finally:
-        clustered.unpersist()
+    found = cluster(df, features, min(k, n)).select("cluster", *dict.fromkeys([*features, label, protected]))
+    clustered = materialise(found, "clustered")
+    fitted = materialise(grouped.fit_logistic(clustered, ["cluster"], features, label), "cluster-fits")
+    identity = ["cluster", *dict.fromkeys([*features, label, protected])]
+    scored = grouped.predict_logistic(clustered, fitted, ["cluster"], features, identity)
+    gaps = fairness.parity_gap(scored.filter("pred IS NOT NULL"), "pred", protected, 0, 1, by=["cluster"]).select("cluster", "parity_gap")
+    sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size >= 2")
+    # at most k rows; a cluster with one label has no gap
+    rows = sizes.join(gaps, "cluster", "left").orderBy("cluster").collect()
+    details = [{"cluster": r["cluster"], "size": r["size"], "parity_gap": r["parity_gap"] or 0.0} for r in rows]
     overall = sum(1 - d["parity_gap"] for d in details) / len(details) if details else K.TEXT_NEUTRAL
     return overall, details
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline import constants as K
 from plumbline.functions import scores
 from plumbline.operators import fairness as FA
-from plumbline.operators import moments, sampling
+from plumbline.operators import grouped, moments, sampling
 from plumbline.plans.inputs import DECISIONS, decisions
 from plumbline.plans.registry import job, rounded
 from plumbline.sources.tables import load
@@ -103,6 +103,58 @@ def bias_scan(spark, d):
     )
 
 
+def _fitted_rows(df):
+    """A label that a linear classifier can learn in part: dear orders, the finished ones among them sooner."""
+    label = (F.col("price") + F.when(F.col("label") == 1, 40000.0).otherwise(0.0) > 150000.0).cast("int")
+    return df.withColumns({"dear": label, "scaled": F.col("price") / 100000, "urgent": (F.col("priority") == "1-URGENT").cast("double")})
+
+
+def _newton_sql(by: str, group: str, first: str, second: str, steps: int = 14) -> str:
+    """Newton steps from zero for all datasets at once, unrolled, with the inverse of each 3 x 3 system."""
+    chain = ["c0 AS (SELECT key, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c FROM fit GROUP BY key HAVING min(y) < max(y))"]
+    for i in range(steps):
+        chain.append(f"""s{i} AS (
+  SELECT key, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, sum(p - y) AS g0, sum((p - y) * x1) + any_value(b) AS g1,
+    sum((p - y) * x2) + any_value(c) AS g2, sum(w) AS h00, sum(w * x1) AS h01, sum(w * x2) AS h02, sum(w * x1 * x1) + 1 AS h11, sum(w * x1 * x2) AS h12, sum(w * x2 * x2) + 1 AS h22
+  FROM (SELECT *, p * (1 - p) AS w FROM (SELECT fit.*, a, b, c, 1 / (1 + exp(-(a + b * x1 + c * x2))) AS p FROM fit JOIN c{i} USING (key))) GROUP BY key),
+d{i} AS (
+  SELECT *, h11 * h22 - h12 * h12 AS i00, h02 * h12 - h01 * h22 AS i01, h01 * h12 - h02 * h11 AS i02, h00 * h22 - h02 * h02 AS i11, h01 * h02 - h00 * h12 AS i12, h00 * h11 - h01 * h01 AS i22,
+    h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s{i}),
+c{i + 1} AS (
+  SELECT key, a - (i00 * g0 + i01 * g1 + i02 * g2) / det AS a, b - (i01 * g0 + i11 * g1 + i12 * g2) / det AS b, c - (i02 * g0 + i12 * g1 + i22 * g2) / det AS c FROM d{i})""")
+    steps_sql = ",\n".join(chain)
+    return f"""WITH {DECISIONS},
+fit AS (SELECT {by} AS key, {group} AS grp, CAST(price + CASE WHEN label = 1 THEN 40000 ELSE 0 END > 150000 AS INT) AS y,
+  price / 100000 AS x1, CAST(priority = '1-URGENT' AS DOUBLE) AS x2 FROM decisions),
+{steps_sql},
+judged AS (SELECT fit.*, a, b, c, CAST(a + b * x1 + c * x2 > 0 AS INT) AS pred FROM fit LEFT JOIN c{steps} USING (key)),
+r AS (SELECT key, count(*) AS n, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c,
+  coalesce(avg(pred) FILTER (grp = '{first}'), 0) AS p1, coalesce(avg(pred) FILTER (grp = '{second}'), 0) AS p2,
+  coalesce(avg(pred) FILTER (grp = '{first}' AND y = 1), 0) AS t1, coalesce(avg(pred) FILTER (grp = '{second}' AND y = 1), 0) AS t2 FROM judged GROUP BY key)
+SELECT key AS {by}, n, round(abs(p1 - p2), 9) AS parity_gap, round(abs(t1 - t2), 9) AS opportunity_gap, round((abs(p1 - p2) + abs(t1 - t2)) / 2, 9) AS bias_score,
+  round(a, 6) AS intercept, round(b, 6) AS price_weight, round(c, 6) AS urgent_weight FROM r"""
+
+
+def _fitted_scan(spark, d, by, group, first, second):
+    rows = _fitted_rows(decisions(spark, d))
+    found = grouped.fitted_gaps(rows, [by], ["scaled", "urgent"], "dear", group, first, second, ["row_id"])
+    weights = {n: F.round(F.get("coefficients", F.lit(i)), 6) for i, n in enumerate(("intercept", "price_weight", "urgent_weight"))}
+    found = found.withColumnsRenamed({"demographic_parity": "parity_gap", "equal_opportunity": "opportunity_gap"})
+    return rounded(found.withColumns(weights).drop("coefficients"))
+
+
+@job("fitted_bias_scan", "A7 A8 M2", _newton_sql("dataset", "segment", "AUTOMOBILE", "BUILDING"))
+def fitted_bias_scan(spark, d):
+    """The bias score of every dataset, each judged by a classifier of its own: all are fitted side by side."""
+    return _fitted_scan(spark, d, "dataset", "segment", "AUTOMOBILE", "BUILDING")
+
+
+@job("fitted_scan_per_customer", "A8 M2", _newton_sql("custkey", "priority", "2-HIGH", "5-LOW"))
+def fitted_scan_per_customer(spark, d):
+    """Very many small datasets at once, with one label only among them."""
+    return _fitted_scan(spark, d, "custkey", "priority", "2-HIGH", "5-LOW")
+
+
 @job("confusion_by_group", "A3 A27", f"""WITH {DECISIONS},
 c AS (SELECT dataset, segment, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp,
              count(*) FILTER (label = 1 AND pred = 0) AS fn, count(*) FILTER (label = 0 AND pred = 0) AS tn
