@@ -35,13 +35,10 @@ API_CALLS_PER_HOUR = 300
 UPLOADS_PER_HOUR = 10
 KEEP_AUDITS = 75
 KEEP_REVIEWS = 100
-KEEP_FEEDBACK = 200
-KEEP_ARTICLES = 75
 REPORT_CHARS = 18000
 ARTICLE_CHARS = 2500
 SOURCE_CHARS = 300
 MIN_ARTICLE_CHARS = 10
-UPLOAD_ROWS = 5000
 REWEIGH_FACTORS = {(1, 1): 3.0, (1, 0): 0.5, (0, 1): 0.5, (0, 0): 3.0}
 VERDICT_SCORES = {"Supported": 1.0, "Contradicted": 0.0, "Unverifiable": 0.4}
 UNKNOWN_VERDICT = "Unverifiable"

@@ -53,8 +53,10 @@ def label_encode(df: DataFrame, column: str, out: str, hot_rows: int = HOT_ROWS)
     counts = df.groupBy(key.alias("_value")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     frequent = codes.join(F.broadcast(counts.select("_value")), "_value", "left_semi")
     marked = df.join(F.broadcast(frequent), matches, "left").drop("_value")
-    rare = marked.filter(F.col(out).isNull()).drop(out).join(codes, matches, "left").drop("_value")
-    return marked.filter(F.col(out).isNotNull()).unionByName(rare)
+    # null cells have no code, and would all meet in one task
+    empty = marked.filter(F.col(out).isNull() & key.isNull())
+    rare = marked.filter(F.col(out).isNull() & key.isNotNull()).drop(out).join(codes, matches, "left").drop("_value")
+    return marked.filter(F.col(out).isNotNull()).unionByName(rare).unionByName(empty)
 
 
 def binarise_by_median(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -107,12 +107,18 @@ def median_imputed(spark, d):
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
+# Levels that become a column each.
+MOST_COLUMNS = 1_000
+
+
 @job("one_hot_priorities", "P9 P10 U4", "SELECT o_orderkey, " + ", ".join(
     f"""CASE WHEN o_orderpriority = '{p}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS "o_orderpriority__{p}\"""" for p in PRIORITIES[1:]) + " FROM orders")
 def one_hot_priorities(spark, d):
-    """Levels from the data; the first in string order is dropped."""
+    """Levels from the data; the first in string order is dropped. A column each: more than a table can hold fail."""
     orders = load(spark, d, "orders")
-    levels = [r["value"] for r in profile.levels(orders, ["o_orderpriority"]).collect()]
+    levels = [r["value"] for r in profile.levels(orders, ["o_orderpriority"]).limit(MOST_COLUMNS + 1).collect()]
+    if len(levels) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} levels: encode the column as rows (long_one_hot)")
     return orders.select("o_orderkey", *encode.one_hot("o_orderpriority", levels, drop_first=True))
 
 

@@ -11,6 +11,7 @@ from plumbline.operators import claims as CL
 from plumbline.operators import correction as CR
 from plumbline.operators import retrieval as R
 from plumbline.operators.cells import search_cells, search_cells_approximately
+from plumbline.operators.skew import join_to_unique
 from plumbline.plans.inputs import (
     ARTICLES, OUTPUTS, SQL_WS, articles, outputs, sql_claims, sql_index, sql_strip, sql_support,
 )
@@ -137,6 +138,23 @@ def judged_claims(spark, d):
     return rounded(_judged(spark, d).select("doc_id", "pos", "verdict", "claim_truth", "hallucinated"))
 
 
+@job("verdict_sources", "X9", f"""WITH {INDEX}, {TURN_CLAIMS}, {sql_support('claims', 'conv_id, turn, pos', 'claim')},
+named AS (SELECT conv_id, turn, pos, CASE WHEN pos % 7 <> 3 THEN pos % 6 - 1 END AS source_doc FROM claims),
+sizes AS (SELECT conv_id, turn, pos, max(rank) AS n FROM hits GROUP BY ALL)
+SELECT conv_id, turn, pos, CAST(source_doc AS INT) AS source_doc, kb_id, title, source, left(content, 220) AS source_text
+FROM named JOIN sizes USING (conv_id, turn, pos) JOIN hits USING (conv_id, turn, pos) JOIN articles USING (kb_id)
+WHERE rank = least(greatest(coalesce(source_doc, 1), 1), n)""")
+def verdict_sources(spark, d):
+    """The passage that a verdict names by its place among the hits; a place out of range moves to the nearest."""
+    keys = ["conv_id", "turn", "pos"]
+    scored = R.score_claims(_turn_claims(spark, d), keys, "claim", _index(spark, d))
+    # stands in for the place a verdict gives, with missing ones and ones out of range
+    named = scored.withColumn("source_doc", F.when(F.col("pos") % 7 != 3, F.col("pos") % 6 - 1).cast("int"))
+    chosen = named.select(*keys, "source_doc", CL.cited(F.col("hits"), F.col("source_doc"))["kb_id"].alias("kb_id"))
+    kb = articles(spark, d).select("kb_id", "title", "source", F.substring("content", 1, 220).alias("source_text"))
+    return join_to_unique(chosen, kb, "kb_id", keys, "inner")
+
+
 @job("text_truth", "A26 X8 X15", f"""WITH {JUDGED},
 r AS (SELECT doc_id, count(*) AS n_claims, count(*) FILTER (claim_truth < 0.65) AS n_hallucinated, avg(claim_truth) AS avg_truth, avg(groundedness) AS g, avg(vs) AS v FROM judged GROUP BY doc_id)
 SELECT doc_id, n_claims, n_hallucinated, round(avg_truth, 9) AS avg_truth, round(g, 9) AS avg_groundedness, round(v, 9) AS avg_verdict,

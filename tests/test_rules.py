@@ -71,6 +71,9 @@ def test_profile_and_roles(spark):
     assert got["age"] == ("numeric", "feature", 3)
     assert got["note"] == ("binary", "target", 2)
     assert profile.infer_roles(p.filter("column <> 'note'")) == {"gender": "protected_attribute", "age": "feature", "income": "target"}
+    # a table with columns of the wrappers' names
+    assert profile.normalise_roles({"roles": "feature", "x": "target"}, ["roles", "x"]) == {"roles": "feature", "x": "target"}
+    assert profile.normalise_roles({"columns": None, "x": "target"}, ["columns", "x"]) == {"columns": "feature", "x": "target"}
     assert profile.normalise_roles({"columns": [{"name": "age", "role": "ignore"}, {"name": "gender", "role": "wrong"}]}, ["age", "gender"]) == {
         "age": "ignore", "gender": "feature"}
     assert len(profile.check_roles({"gender": "target", "age": "protected_attribute"}, p)) == 1
