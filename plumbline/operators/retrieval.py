@@ -21,6 +21,8 @@ from plumbline.session import materialise
 # Passages of one block of the index, and texts that share one copy of it.
 BLOCK_PASSAGES = 2_048
 BLOCK_TEXTS = 65_536
+# An index up to this size is broadcast, and texts are searched where they are read.
+LOCAL_POSTINGS = 1_000_000
 # Terms of the dictionary's head, which is broadcast once its bytes are checked; the tail is shuffled.
 HEAD_TERMS = 100_000
 # Sums that a task holds at once.
@@ -146,15 +148,15 @@ def top_hits(sims: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 class _Block:
     """One block of the index in a task: posting lists by term over the block's passages."""
 
-    def __init__(self, term: pa.Array, kb_id: pa.Array, w: np.ndarray):
-        ids = kb_id.unique()
+    def __init__(self, term: pa.Array, kb_id: pa.Array, w: np.ndarray, more_ids: pa.Array | None = None):
+        ids = kb_id.unique() if more_ids is None else pa.chunked_array([kb_id, more_ids]).unique()
         self.ids = ids.take(pc.sort_indices(ids))
         passage = pc.index_in(kb_id, value_set=self.ids).to_numpy()
         self.terms = term.unique()  # rows come in the order of terms
         place = pc.index_in(term, value_set=self.terms).to_numpy()
         self.passage, self.w = passage, w
         self.first = np.searchsorted(place, np.arange(len(self.terms) + 1))
-        self.most = np.maximum.reduceat(w, self.first[:-1])
+        self.most = np.maximum.reduceat(w, self.first[:-1]) if len(w) else np.zeros(0)
 
     def sums(self, text: np.ndarray, place: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
         """Similarity of ``n`` texts with each passage, from the terms they share."""
@@ -262,10 +264,64 @@ def _probe(index: TermIndex, asked: DataFrame, k: int, first_round: bool) -> Dat
     return met.mapInArrow(run, T.StructType(fields))
 
 
-def _hits_per_text(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, k: int, stop_words, head_terms: int) -> DataFrame:
+def _local_hits(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, k: int, stop_words) -> DataFrame:
+    """(keys, column, hits) from an index of checked size: every text is weighed and searched where it is read."""
+    postings = index.postings.select("term", "kb_id", "w").toArrow().sort_by([("term", "ascending"), ("kb_id", "ascending")])
+    shared = texts.sparkSession.sparkContext.broadcast((postings, index.dictionary.select("term", "idf").toArrow()))
+    kb_type, first = index.postings.schema["kb_id"].dataType, index.first
+    hit = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("kb_id", kb_type), T.StructField("sim", T.DoubleType())])
+    found = texts.select(*keys, column, TX.words(F.col(column), stop_words).alias("_words"))
+    source = found.select(*keys, column, TX.word_pairs(F.col("_words")).alias("_terms"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("hits", T.ArrayType(hit))])
+
+    def answers(few: pa.RecordBatch, held: _Block, terms: pa.Array, idf: np.ndarray, fill: np.ndarray) -> pa.RecordBatch:
+        n, column = few.num_rows, few.column(few.num_columns - 1)
+        size = np.asarray(pc.list_value_length(column).fill_null(0))
+        place = pc.index_in(column.flatten(), value_set=terms).fill_null(-1).to_numpy()
+        text = np.repeat(np.arange(n), size)[place >= 0]
+        cell, tf = np.unique(text * max(len(terms), 1) + place[place >= 0], return_counts=True)
+        text, place = np.divmod(cell, max(len(terms), 1))
+        w = tf * idf[place]
+        norm = np.sqrt(np.bincount(text, w * w, n))
+        w = w / norm[text]
+        step = max(1, SLICE_SUMS // max(len(held.ids), 1))
+        best, value, kept = (np.zeros((n, min(k, len(held.ids))), t) for t in (np.int64, float, bool))
+        for at in range(0, n, step):
+            to = min(n, at + step)
+            a, b = np.searchsorted(text, [at, to])
+            exact = held.sums(text[a:b] - at, place[a:b], w[a:b], to - at).astype(float)
+            sims = np.round(exact, 9)
+            # passages without a shared term count at zero, the first ids only
+            sims[(sims <= 0) & ~fill] = -1.0
+            every = np.arange(to - at)
+            for i in range(best.shape[1]):
+                best[at:to, i] = top = sims.argmax(axis=1)
+                kept[at:to, i] = sims[every, top] >= 0
+                value[at:to, i] = exact[every, top]
+                sims[every, top] = -1.0
+        offsets = pa.array(np.concatenate(([0], np.cumsum(kept.sum(axis=1)))).astype(np.int32))
+        rank = np.broadcast_to(np.arange(1, best.shape[1] + 1, dtype=np.int32), best.shape)
+        hits = pa.StructArray.from_arrays([pa.array(rank[kept]), held.ids.take(pa.array(best[kept])), pa.array(value[kept])], ["rank", "kb_id", "sim"])
+        return pa.RecordBatch.from_arrays([*few.columns[:-1], pa.ListArray.from_arrays(offsets, hits)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        postings, dictionary = shared.value
+        term, kb_id, w = (postings.column(i).combine_chunks() for i in range(3))
+        held = _Block(term, kb_id, w.to_numpy(), pa.array(first, kb_id.type))
+        fill = np.asarray(pc.is_in(held.ids, value_set=pa.array(first, kb_id.type)))
+        # all terms of the dictionary have postings, and both come in the order of the block's terms
+        idf = dictionary.column(1).to_numpy()[pc.index_in(held.terms, value_set=dictionary.column(0).combine_chunks()).to_numpy()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                yield answers(batch.slice(at, 4096), held, held.terms, idf, fill)
+
+    return source.mapInArrow(run, schema)
+
+
+def _block_hits(texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, k: int, stop_words, head_terms: int) -> DataFrame:
     """(keys, hits): the ranked k best passages of every text, as an array of (rank, kb_id, sim).
 
-    One plan for any size of the index. A text first meets the block with the largest weight of its most telling
+    One plan for any size of the index beyond what may be broadcast. A text first meets the block with the largest weight of its most telling
     term; its k-th similarity there leaves few terms that could lift a passage of another block, and of the blocks
     with such a term those are probed too whose largest weights add up to it. No row is made per shared term: a task sums them and emits k hits.
     """
@@ -303,11 +359,23 @@ def _hits_per_text(texts: DataFrame, keys: Sequence[str], column: str, index: Te
     return every.select(*keys, ranked.alias("hits"))
 
 
+def _hits_per_text(texts, keys, column, index, k, stop_words, head_terms=HEAD_TERMS, local_postings=LOCAL_POSTINGS) -> DataFrame:
+    """(keys, column, hits), by broadcast for an index of checked size, by blocks beyond; the results are the same."""
+    if small_enough(index.postings, local_postings):
+        return _local_hits(texts, keys, column, index, k, stop_words)
+    found = _block_hits(texts, keys, column, index, k, stop_words, head_terms)
+    return found.join(spread(texts, keys, column), list(keys))
+
+
 def sparse_hits(
-    texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, k: int = K.TOP_K, stop_words=None, head_terms: int = HEAD_TERMS
+    texts: DataFrame, keys: Sequence[str], column: str, index: TermIndex, k: int = K.TOP_K, stop_words=None,
+    head_terms: int = HEAD_TERMS, local_postings: int = LOCAL_POSTINGS,
 ) -> DataFrame:
-    """Exact top-k passages of every text, as (keys, kb_id, sim, rank); ``keys`` tell texts apart."""
-    found = _hits_per_text(texts, keys, column, index, k, stop_words, head_terms)
+    """Exact top-k passages of every text, as (keys, kb_id, sim, rank); no two texts share their ``keys``.
+
+    An index of up to ``local_postings``, with its bytes checked, is broadcast; a larger one is searched by blocks.
+    """
+    found = _hits_per_text(texts, keys, column, index, k, stop_words, head_terms, local_postings)
     return found.select(*keys, F.inline("hits")).select(*keys, "kb_id", "sim", "rank")
 
 
@@ -334,7 +402,7 @@ def score_claims(
 ) -> DataFrame:
     """Groundedness and truth of each text; with an empty knowledge base truth is neutral.
 
-    ``carry`` adds the text itself back, from the shuffle that spread it.
+    ``carry`` keeps the text itself.
     """
     if index.n_docs == 0:
         return texts.select(
@@ -344,11 +412,11 @@ def score_claims(
             F.lit(K.TEXT_NEUTRAL).alias("truth"),
             F.lit(None).cast("array<struct<rank:int,kb_id:bigint,sim:double>>").alias("hits"),
         )
-    found = _hits_per_text(texts, keys, column, index, k, stop_words, HEAD_TERMS)
+    found = _hits_per_text(texts, keys, column, index, k, stop_words)
     total = F.aggregate("hits", F.lit(0.0), lambda n, h: n + h["sim"])
     grounded = total / F.lit(float(min(k, index.n_docs)))
-    scored = found.select(*keys, grounded.alias("groundedness"), F.least(grounded / threshold, F.lit(1.0)).alias("truth"), "hits")
-    return scored.join(spread(texts, keys, column), list(keys)) if carry else scored
+    kept = [column] if carry else []
+    return found.select(*keys, *kept, grounded.alias("groundedness"), F.least(grounded / threshold, F.lit(1.0)).alias("truth"), "hits")
 
 
 def score_once(texts: DataFrame, row_id: Sequence[str], column: str, scorer, settings: str = "") -> DataFrame:

@@ -105,7 +105,7 @@ SELECT conv_id, turn, pos, CAST(rank AS INT) AS rank, kb_id, round(sim, 9) AS si
 def claim_hits_in_blocks(spark, d):
     """The same search in an index of many small blocks: bounds leave most of them unread."""
     index = R.build_index(articles(spark, d), "kb_id", "content", block_passages=8)
-    hits = R.sparse_hits(_turn_claims(spark, d), ["conv_id", "turn", "pos"], "claim", index)
+    hits = R.sparse_hits(_turn_claims(spark, d), ["conv_id", "turn", "pos"], "claim", index, local_postings=0)
     return rounded(hits.select("conv_id", "turn", "pos", "rank", "kb_id", "sim"))
 
 

@@ -44,12 +44,12 @@ def corpus():
     return kb, texts
 
 
-@pytest.mark.parametrize("passages", [4, 50, 2048])
-def test_hits_against_brute_force(spark, corpus, passages):
+@pytest.mark.parametrize("passages, local", [(4, 0), (50, 0), (2048, 0), (2048, R.LOCAL_POSTINGS)])
+def test_hits_against_brute_force(spark, corpus, passages, local):
     kb, texts = corpus
     index = R.build_index(spark.createDataFrame(kb, "kb_id long, content string"), "kb_id", "content", stop_words=[], block_passages=passages)
     df = spark.createDataFrame(texts, "i long, t string")
-    got = sorted((r.i, r.kb_id, round(r.sim, 9), r["rank"]) for r in R.sparse_hits(df, ["i"], "t", index, stop_words=[]).collect())
+    got = sorted((r.i, r.kb_id, round(r.sim, 9), r["rank"]) for r in R.sparse_hits(df, ["i"], "t", index, stop_words=[], local_postings=local).collect())
     want = brute(kb, texts, 3)
     assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
@@ -61,7 +61,7 @@ def test_bounds_leave_blocks_unread(spark, monkeypatch):
     monkeypatch.setattr(R, "_probe", lambda index, df, *a, **b: asked.append(df.count()) or probe(index, df, *a, **b))
     kb = spark.createDataFrame([(i, "all " + " ".join(f"own{i}x{j}" for j in range(6))) for i in range(150)], "kb_id long, content string")
     index = R.build_index(kb, "kb_id", "content", stop_words=[], block_passages=4)
-    hits = R.sparse_hits(kb.withColumnRenamed("kb_id", "i"), ["i"], "content", index, k=1, stop_words=[]).collect()
+    hits = R.sparse_hits(kb.withColumnRenamed("kb_id", "i"), ["i"], "content", index, k=1, stop_words=[], local_postings=0).collect()
     assert all(r.i == r.kb_id for r in hits) and len(hits) == 150
     assert asked == [150, 0]
 
@@ -84,7 +84,8 @@ def test_text_ids_and_empty_tables(spark):
     kb = spark.createDataFrame([("b", "water boils"), ("a", "iron rusts"), ("c", None)], "kb_id string, content string")
     index = R.build_index(kb, "kb_id", "content")
     df = spark.createDataFrame([(1, "iron"), (2, None)], "i int, t string")
-    got = sorted((r.i, r["rank"], r.kb_id) for r in R.sparse_hits(df, ["i"], "t", index).collect())
-    assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a"), (2, 2, "b"), (2, 3, "c")]
-    assert R.sparse_hits(df.limit(0), ["i"], "t", index).count() == 0
+    for local in (0, R.LOCAL_POSTINGS):
+        got = sorted((r.i, r["rank"], r.kb_id) for r in R.sparse_hits(df, ["i"], "t", index, local_postings=local).collect())
+        assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a"), (2, 2, "b"), (2, 3, "c")]
+        assert R.sparse_hits(df.limit(0), ["i"], "t", index, local_postings=local).count() == 0
     assert R.score_claims(df, ["i"], "t", R.build_index(kb.limit(0), "kb_id", "content")).count() == 2

@@ -81,7 +81,7 @@ def test_support_against_brute_force(spark, kb):
         want = brute_force(texts, k)
         for passages in (R.BLOCK_PASSAGES, 1):
             index = R.build_index(kb, "kb_id", "content", block_passages=passages)
-            hits = R.sparse_hits(df, ["i"], "t", index, k=k)
+            hits = R.sparse_hits(df, ["i"], "t", index, k=k, local_postings=0 if passages == 1 else R.LOCAL_POSTINGS)
             got = {r.i: r for r in R.support(hits, ["i"], index.n_docs, K.SPARSE_TRUTH_AT, k).collect()}
             assert set(got) == {0, 1, 2, 3, 4}
             for i, (ids, grounded) in want.items():
