@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,22 +13,49 @@ from plumbline.llm.common import join_checked, table
 from plumbline.session import materialise, scratch_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+READ = ("doc_id", "text", "source", "n_chars")  # the columns that stages read or write
+
+
+def _set_aside(stage: Stage) -> Stage:
+    """A filtering stage under which no further column of ``docs`` can clash with the operators' own names."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*[c if c in READ else f"further{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run_stage
+
+
+@_set_aside
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, does not reject."""
+    """Documents that the classifier, trained on the labelled ones, does not reject.
+
+    Null and empty texts are scored as texts without words, long ones whole; repeated rows are judged alike. Further
+    columns of ``docs`` stay as they are. An empty table stays empty.
+    """
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     return scored.filter("predicted = 1").select(docs.columns)
 
 
+@_set_aside
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat or resemble an earlier line; ``n_chars`` counts what is left.
 
-    Every document stays, a text may become empty.
+    Every document stays, a text may become empty; a null text stays null. Of repeated rows, the later ones lose
+    their lines. Further columns stay as they are.
     """
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+@_set_aside
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest doc_id, null last; of several, any one."""
+    """One row of each group of near duplicates: the one with the smallest doc_id, null last; of several, any one.
+
+    Texts without words, null and empty ones among them, resemble none; one of fewer than five words resembles its
+    equals. Further columns stay as they are.
+    """
     # rows are told apart by a written number, since doc_id may be null or repeated
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     classes = near.near_duplicates(rows.select("_row", "text"), key="_row")
@@ -36,13 +66,20 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return join_checked(rows, materialise(gone, "class-losers"), "_row", "left_anti").select(docs.columns)
 
 
+@_set_aside
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike. Further columns stay as they are.
+    """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes: one row per row, repeated ones too.
+
+    Null and empty texts have size 0, a null source is a source of its own, further columns are left away.
+    """
     return mixing.mix_sources(docs)
 
 
