@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 # Elements without an end tag, elements whose text is no page text, and elements that hold no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
-APART = frozenset("nav header footer aside form menu dialog button fieldset figcaption".split()) | RAW
+RAW = frozenset("script style noscript template textarea title iframe svg object select annotation".split())
+APART = frozenset("nav header footer aside form menu dialog button fieldset".split()) | RAW
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder "
+    "munderover semantics".split()
 )
 # An open paragraph ends where one of these starts; items and cells end where the next one starts.
 ENDS_ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -27,6 +28,8 @@ MARKS = frozenset(
     "notice notices pager pagination popup promo promotion related remark replies reply respond share sharing sidebar "
     "signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+# Marks that prose bears too, as in related-work: what such an element holds decides.
+WEAK_MARKS = frozenset("related share sharing skip social".split())
 KEEPS_MARK = frozenset("html body article main".split())
 # Beside a mark in a compound name, as in with-sidebar, these say that the element is not it but has or lacks one.
 MODIFIERS = frozenset("with without has have no enabled disabled".split())
@@ -35,142 +38,196 @@ REPLIES = frozenset("comment comments discussion disqus replies reply respond".s
 # Beside the best container these stay whatever their score.
 CONTENT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ul ol dl table figure section hgroup address details".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?][^>]*+(?:>|\Z)",
-    re.S | re.I,
-)
-ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_BEFORE = r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+_QUOTED = r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+_PLAIN = r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?][^>]*+(?:>|\Z)"
+TOKEN = re.compile(_BEFORE + _QUOTED + _PLAIN, re.S | re.I)
+# For pages with a quote that never ends: quotes do not hide the end of a tag.
+UNQUOTED = re.compile(_BEFORE + _PLAIN, re.S | re.I)
+ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = re.compile(r"[a-z]+")
 COMMAS = re.compile("[,،、，]")
 
 MIN_SIBLING = 10.0
 SHARE_OF_BEST = 0.2
+REACH = 32  # points pass to so many ancestors, which keeps deep nesting linear
+PROSE = 40  # characters outside links that make a block prose; fewer do if they end as a sentence does
+SENTENCE_ENDS = (".", "!", "?", "…", "。", "！", "？")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "apart", "doubt", "mixed", "score", "link", "blocks")
-
-    def __init__(self, tag: str, parent: Element | None, apart: bool, link: bool, doubt: bool = False):
-        self.tag, self.parent, self.apart, self.link, self.score, self.blocks = tag, parent, apart, link, 0.0, 0
-        self.doubt = doubt  # marked by a part of a name only
+    __slots__ = ("tag", "parent", "apart", "link", "doubt", "doubted", "holder", "mixed", "score")
+
+    def __init__(self, tag: str, parent: Element | None, apart: bool, link: Element | None = None, doubt: int = 0):
+        self.tag, self.parent, self.apart, self.score = tag, parent, apart, 0.0
+        self.link = self if tag == "a" else link  # the link around it
+        self.doubt = doubt  # marked by a part of a name (1) or by a weak mark (2)
+        self.doubted = self if doubt else parent and parent.doubted  # the nearest element in doubt
+        self.holder = parent.holder if tag in INLINE else self  # the nearest block
         self.mixed = False  # holds an element that is apart
 
 
 class Block:
     """A run of text between two block boundaries, and the element that holds it."""
 
-    __slots__ = ("holder", "pieces", "linked", "links")
+    __slots__ = ("holder", "pieces", "linked", "links", "link")
 
     def __init__(self, holder: Element):
-        self.holder, self.pieces, self.linked, self.links = holder, [], 0, 0
+        self.holder, self.pieces, self.linked, self.links, self.link = holder, [], 0, 0, None
 
     @property
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
+    @property
+    def length(self) -> int:
+        return sum(len(p.strip()) for p in self.pieces)
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is marked as no article, and whether only a part of a compound name says so."""
+
+def _marks(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is marked as no article, and the doubt if only a part of a name or a weak mark says so."""
     if not attrs or tag in KEEPS_MARK:
-        return False, False
-    if HIDDEN.search(attrs):
-        return True, False
-    doubt = False
+        return False, 0
+    doubt = 0
     for found in ATTR.finditer(attrs):
-        for name in (found[1] or found[2] or found[3] or "").lower().split():
+        attr, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
+        if attr == "hidden" or (attr == "aria-hidden" and value.strip() == "true") or (attr == "style" and UNSEEN.search(value)):
+            return True, 0
+        if attr not in ("class", "id", "role"):
+            continue
+        for name in value.split():
             parts = NAME.findall(name)
-            if MARKS.isdisjoint(parts) or (len(parts) > 1 and not MODIFIERS.isdisjoint(parts)):
+            marks = MARKS.intersection(parts)
+            if not marks or (len(parts) > 1 and not MODIFIERS.isdisjoint(parts)):
                 continue
-            if len(parts) == 1 or tag in INLINE or not REPLIES.isdisjoint(parts):
-                return True, False
-            doubt = True
+            if marks <= WEAK_MARKS and tag != "a":
+                doubt = doubt or (0 if tag in INLINE else 2)
+            elif len(parts) == 1 or tag in INLINE or not REPLIES.isdisjoint(parts):
+                return True, 0
+            else:
+                doubt = 1
     return False, doubt
 
 
-def parse(page: str) -> tuple[list[Block], Element]:
-    """Blocks of text in page order, under a tree mended the way browsers do for unclosed elements."""
-    root = Element("", None, False, False)
-    here, blocks, block, at = root, [], None, 0
+def _tokens(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """The text before each tag, comment or script, and that; last the text after all of them."""
+    pattern, at, start, last = TOKEN, 0, page.find("<"), page.rfind(">")
+    while 0 <= start < last:
+        token = pattern.match(page, start)
+        if token is None:
+            start = page.find("<", start + 1)
+            continue
+        if pattern is TOKEN and token["tag2"]:
+            pattern = UNQUOTED
+        yield page[at:start], token
+        at = token.end()
+        start = page.find("<", at)
+    rest = page[at:]
+    # no tag ends beyond the last >; comments and declarations run to the end
+    open_end = re.search("<[!?]", rest)
+    yield rest[: open_end.start()] if open_end else rest, None
+
+
+def parse(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of text in page order, and the elements in doubt, outer ones first.
+
+    The tree is mended the way browsers do for unclosed elements. Each element is opened and closed once and an
+    end tag finds its element by name, so the time is linear in the page's length.
+    """
+    root = Element("", None, False)
+    here, blocks, block = root, [], None
+    doubts: list[Element] = []
+    opened: dict[str, list[Element]] = {}
 
     def put(piece: str) -> None:
         nonlocal block
-        holder = here
-        while holder.tag in INLINE:
-            holder = holder.parent
+        holder = here.holder
         if block is None or block.holder is not holder or here.apart != block.holder.apart:
             block = Block(holder if here.apart == holder.apart else here)
             blocks.append(block)
         block.pieces.append(piece)
-        if here.link:
-            block.linked += len(piece.strip())
+        if here.link is not None and (length := len(piece.strip())):
+            block.linked += length
+            if here.link is not block.link:
+                block.link, block.links = here.link, block.links + 1
+
+    def close(element: Element) -> None:
+        nonlocal here
+        while here is not element.parent:
+            opened[here.tag].pop()
+            here = here.parent
 
-    for token in TOKEN.finditer(page):
-        if token.start() > at:
-            put(page[at : token.start()])
-        at = token.end()
-        tag = (token["tag"] or token["tag2"] or "").lower()
+    for before, token in _tokens(page):
+        if before:
+            put(before)
+        if token is None:
+            break
+        quoted = token.re is TOKEN and token["tag"]
+        tag = (quoted or token["tag2"] or "").lower()
         if not tag:
             continue
         if tag == "br":
             put(" ")
             continue
-        if token["end"] or token["end2"]:
-            found = here
-            while found is not root and found.tag != tag:
-                # an end tag of inline text does not close the blocks around it
-                found = root if tag in INLINE and found.tag not in INLINE else found.parent
-            if found is not root:
-                here = found.parent
+        if token["end"] if quoted else token["end2"]:
+            named = opened.get(tag)
+            # an end tag of inline text does not close the blocks around it
+            if named and (tag not in INLINE or named[-1].holder is here.holder):
+                close(named[-1])
             if tag not in INLINE:
                 block = None
             continue
         if tag in VOID:
             continue
-        attrs = token["attrs"] if token["tag"] else token["attrs2"]
+        attrs = token["attrs"] if quoted else token["attrs2"]
         if tag not in INLINE:
             block = None
-            inner = here
-            while inner.tag in INLINE:
-                inner = inner.parent
-            if inner.tag == "p":
-                here = inner.parent
-            elif inner.tag in ENDS_ITEM.get(tag, ()):
-                here = inner.parent
+            inner = here.holder
+            if inner.tag == "p" or inner.tag in ENDS_ITEM.get(tag, ()):
+                close(inner)
         marked, doubt = _marks(tag, attrs)
         if (marked or doubt or tag in APART) and tag not in RAW and tag not in INLINE:
             here.mixed = True
-        here = Element(tag, here, here.apart or tag in APART or marked, here.link or tag == "a", doubt)
-        if tag == "a" and block is not None:
-            block.links += 1
+        here = Element(tag, here, here.apart or tag in APART or marked, here.link, doubt)
+        opened.setdefault(tag, []).append(here)
+        if doubt:
+            doubts.append(here)
         if attrs.rstrip().endswith("/") and tag not in INLINE:
-            here = here.parent
-    if at < len(page):
-        put(page[at:])
-    return blocks, root
+            close(here)
+    return blocks, doubts
 
 
 def _points(block: Block, text: str) -> float:
-    outside = max(0.0, 1.0 - block.linked / max(1, sum(len(p.strip()) for p in block.pieces)))
+    outside = max(0.0, 1.0 - block.linked / max(1, block.length))
     return (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3.0)) * outside
 
 
-def _settle_doubts(read: list[tuple[Block, str, float]]) -> list[tuple[Block, str, float]]:
-    """Leave out what is marked by a part of a name, unless the element holds more than half of all points."""
-    held: dict[Element, float] = {}
-    above: list[list[Element]] = []
-    for block, _, points in read:
-        element, doubts = block.holder, []
-        while element is not None:
-            if element.doubt:
-                doubts.append(element)
-                held[element] = held.get(element, 0.0) + points
-            element = element.parent
-        above.append(doubts)
+def _settle_doubts(read: list[tuple[Block, str, float]], doubts: list[Element]) -> list[tuple[Block, str, float]]:
+    """Leave out elements in doubt, unless they hold more than half of all points.
+
+    Those with weak marks stay too if they hold prose and most of their text is outside links.
+    """
+    if not doubts:
+        return read
+    held = {e: [0.0, 0, 0, False] for e in doubts}  # points, characters, characters in links, prose
+    for block, text, points in read:
+        if block.holder.doubted is not None:
+            mine, length = held[block.holder.doubted], block.length
+            mine[0] += points
+            mine[1] += length
+            mine[2] += block.linked
+            mine[3] |= 2 * block.linked < length and (length - block.linked >= PROSE or text.endswith(SENTENCE_ENDS))
+    for e in reversed(doubts):
+        outer = e.parent.doubted
+        if outer is not None:
+            held[outer] = [a + b for a, b in zip(held[outer], held[e])]
     half = sum(points for _, _, points in read) / 2
-    return [r for r, doubts in zip(read, above) if all(held[e] > half for e in doubts)]
+    stays = {None: True}
+    for e in doubts:
+        points, length, linked, prose = held[e]
+        stays[e] = stays[e.parent.doubted] and (points > half or bool(e.doubt == 2 and prose and 2 * linked < length))
+    return [r for r in read if stays[r[0].holder.doubted]]
 
 
 def main_text(page: str | None) -> str:
@@ -178,20 +235,20 @@ def main_text(page: str | None) -> str:
 
     Each block of text gives one point, one for each comma and up to three for its length, times the share of
     its text outside links: whole to the element around its paragraph, half to the next, a third and so on
-    beyond. Menus, headers, footers, asides, notices, adverts, forms, comments and hidden elements take no part.
+    beyond, up to the 32nd. Menus, headers, footers, asides, notices, adverts, forms, comments and hidden elements take no part.
 
-    If the best container is or lies in an article or main element, all other text of the outermost one stays; else
-    all of its parent, if that holds no element that is left out. Otherwise the parent's own text and headings,
+    If the best container is or lies in an article or main element, all other text of the outermost one stays, blocks
+    of links too; else all of its parent, if that holds no element that is left out. Otherwise the parent's own text and headings,
     paragraphs, quotes, lists, tables and sections stay, and other siblings by their score.
     """
     if not page:
         return ""
-    blocks, root = parse(page)
-    read = _settle_doubts([(b, t, _points(b, t)) for b in blocks if not b.holder.apart and (t := b.text)])
+    blocks, doubts = parse(page)
+    read = _settle_doubts([(b, t, _points(b, t)) for b in blocks if not b.holder.apart and (t := b.text)], doubts)
     order: dict[Element, None] = {}
     for block, text, points in read:
         above, share = block.holder if block.holder.tag in ("div", "section", "article", "main", "body", "td", "") else block.holder.parent, 1
-        while above is not None:
+        while above is not None and share <= REACH:
             above.score += points / share
             order.setdefault(above)
             above, share = above.parent, share + 1
@@ -226,7 +283,7 @@ def main_text(page: str | None) -> str:
         return answer
 
     def menu(block: Block) -> bool:
-        return block.links >= 3 and 4 * block.linked > 3 * sum(len(p.strip()) for p in block.pieces)
+        return whole.tag not in ("article", "main") and block.links >= 3 and 4 * block.linked > 3 * block.length
 
     return "\n".join(text for block, text, _ in read if belongs(block.holder) and not menu(block))
 
