@@ -28,6 +28,10 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.translate(host, ".", "")) + 1
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
@@ -55,7 +59,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     path starts with the rule's path. The longest rule (host and path together) wins; of two verdicts for the
     same rule, block. URLs that no rule fits get ``default``, the verdict for what no list names.
 
-    Every (host suffix, path prefix) of a URL whose path length some rule has is a key. Keys are first looked
+    Every (host suffix, path prefix) of a URL whose number of labels and path length some rule has is a key, so that
+    long hosts cost no more than they have suffixes to try. Keys are first looked
     up in a blocked Bloom filter of the rules' keys (one 64-bit block per key); possible hits then meet the
     rules in an exact hash join, which drops false positives. A page is one row throughout, so hot hosts need
     no shuffle by host.
@@ -69,16 +74,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
         F.concat(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))).alias("_rule"),
         F.coalesce("verdict", F.lit("block")).alias("_verdict"),
         F.length(F.coalesce("path", F.lit(""))).alias("_length"),
+        _labels(F.coalesce("host", F.lit(""))).alias("_labels"),
     ).filter(F.col("_rule") != "")
     listed = keyed.groupBy("_key", "_rule").agg(F.max(F.struct((F.col("_verdict") == "block").alias("b"), "_verdict"))["_verdict"].alias("_verdict"))
-    stats = keyed.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_length").alias("lengths")).first()
+    stats = keyed.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_length").alias("lengths"), F.collect_set("_labels").alias("labels")).first()
     blocks = max(1, min(MAX_BLOCKS, stats["n"] * BITS_PER_RULE // 64))
     u = F.col(url)
     rows = pages.select(F.col(page_id).alias("page_id"), url_host(u).alias("host"), url_path(u).alias("path"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    # a label boundary follows each part that is left away
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    suffixes = F.array_compact(F.array(*[F.when(_labels(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in sorted(stats["labels"])]))
     lengths = F.array(*[F.lit(x) for x in sorted(stats["lengths"])]) if stats["n"] else F.array().cast("array<int>")
     prefixes = F.transform(F.filter(lengths, lambda x: F.length("path") >= x), lambda x: F.substring(F.col("path"), F.lit(1), x))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))

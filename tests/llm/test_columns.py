@@ -124,6 +124,15 @@ def test_quality_on_held_out(spark):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_long_hosts_and_many_rules(spark):
+    rules = [(".".join(f"l{j}" for j in range(i, 0, -1)), f"/{'p' * (i % 7)}", ("allow", "block")[i % 2]) for i in range(1, 60)]
+    long = ".".join(["x"] * 200_000)
+    found = [f"http://{long}.l3.l2.l1/pppp", f"http://{long}/p", f"http://a.{rules[-1][0]}{rules[-1][1]}", "http://l1/" + "p" * 1_000_000, "http://..l2.l1/pp", "http://l2.l1", None]
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {i: judge(u, rules) for i, u in enumerate(found)}
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("<p>", ""), ("plain &amp; simple", "plain & simple"),
     ("<nav><a href=x>Home</a></nav><article><h1>T</h1><p><b>One,\n two</b> a&nbsp;b<br><p>Two<ul><li>x<li>y</ul></article><footer>f</footer>", "T\nOne, two a b\nTwo\nx\ny"),
