@@ -323,10 +323,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
     Returns the columns of ``docs`` with the kept lines in ``text``, joined by line feeds, and ``n_lines`` and
     ``n_removed`` (columns of these names are replaced). Lines without words always stay. A null text stays null
-    with no lines. A null key comes last. Rows with the same key and text are one document for this purpose: their
+    with no lines. Further columns may have any name. A null key comes last. Rows with the same key and text are one document for this purpose: their
     lines do not remove each other's. An empty table gives no rows. ``key`` is an integer.
     """
     docs = docs.drop("n_lines", "n_removed")
+    names = docs.columns
+    docs = docs.toDF(*[c if c in (key, text) else f"column{i}" for i, c in enumerate(names)])
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     near = similar_lines(rows, similarity)
 
@@ -361,4 +363,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     counted = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long"))
     counted = counted.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return counted.withColumn(text, kept).drop("_id", "_row", "_gone")
+    return counted.withColumn(text, kept).drop("_id", "_row", "_gone").toDF(*names, "n_lines", "n_removed")

@@ -1,5 +1,7 @@
 """The pipeline's near-duplicate stage against brute force, and the whole run, on odd rows."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from plumbline.llm.common import table
 
@@ -47,6 +49,32 @@ def test_one_row_of_each_class_stays(spark):
     assert corpus_pipeline.keep_one_of_group(spark, docs.limit(0), "").count() == 0
 
 
+def test_further_columns_stay_as_they_are(spark):
+    names = ["_row", "_id", "_gone", "n_lines", "score", "predicted", "held_out", "id", "name"]
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce("doc_id", F.lit(0)).cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert [r[n] for n in names] == [f"{n} of {r.doc_id or 0}" for n in names]
+
+
+def test_stages_on_odd_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    item = table(spark, folder, "benchmark").filter("text IS NOT NULL").first()["text"]
+    rows = [*ROWS, (20, item, "s", 0), (21, f"{A}\nown line here", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert told(corpus_pipeline.drop_benchmark(spark, docs, folder)) == sorted(((r[0], r[1]) for r in rows if r[0] != 20), key=str)
+    got = dict(told(corpus_pipeline.drop_lines(spark, docs.filter("doc_id > 6 OR doc_id = 1"), folder)))
+    assert got == {1: A, 7: None, 8: "", 9: "two words", 20: item, 21: "own line here"} | ({9: got[9]})
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.mix(spark, docs, folder).collect()) == sorted(str(r[0]) for r in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
 def test_run_on_odd_rows(spark, tmp_path):
     bench = table(spark, "/root/testdata/sf0.001", "benchmark")
     labels = table(spark, "/root/testdata/sf0.001", "labels")
