@@ -86,7 +86,18 @@ def stream_deduplicated(spark, d):
 @job("stream_sessions", "ST7", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g),
 c AS (SELECT user_id AS tenant, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS events FROM s GROUP BY user_id, n)
-SELECT session_start, session_end, tenant, events FROM c WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT session_start, session_end, tenant, events, session_end > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS is_open FROM c""")
 def stream_sessions(spark, d):
+    """All sessions, also those still open when the stream ends."""
+    slots = S.run_updates(S.session_slots(_events(spark, d), "tenant"), "session-slots", ["slot", "tenant"])
+    return _naive(S.join_slots(slots, "tenant"), "session_start", "session_end")
+
+
+@job("stream_sessions_closed", "ST7", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g),
+c AS (SELECT user_id AS tenant, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS events FROM s GROUP BY user_id, n)
+SELECT session_start, session_end, tenant, events FROM c WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions_closed(spark, d):
+    """Only what the watermark has closed, as a stream in append mode gives it out."""
     out = S.run_available(S.sessions(_events(spark, d), "tenant"), "sessions")
     return _naive(out, "session_start", "session_end")

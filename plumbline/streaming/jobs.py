@@ -74,6 +74,36 @@ def sessions(events: DataFrame, key: str, gap: str = "1 hour", late: str = "1 ho
     )
 
 
+def session_slots(events: DataFrame, key: str, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """First and last time and number of events per key in slots as wide as a session's pause.
+
+    Events of one slot are closer than the pause, so they are of one session; slots add up from any order of
+    batches, and a key with a third of all events costs one row per slot. Events without a time are left out.
+    """
+    return (
+        events.withWatermark("ts", late)
+        .groupBy(F.window("ts", gap), key)
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events"))
+        .select(F.col("window.start").alias("slot"), key, "first", "last", "events")
+    )
+
+
+def join_slots(slots: DataFrame, key: str, gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Sessions from one row per key and slot, those included that later events may still prolong (``is_open``).
+
+    A pause of exactly ``gap`` ends a session. Null keys are one key. No slots give no sessions.
+    """
+    pause = F.expr(f"INTERVAL {gap}")
+    order = Window.partitionBy(key).orderBy("first")
+    fresh = F.coalesce(F.col("first") >= F.lag("last").over(order) + pause, F.lit(True))
+    told = slots.withColumn("_fresh", fresh).withColumn("_n", F.sum(F.col("_fresh").cast("long")).over(order))
+    joined = told.groupBy(key, "_n").agg(
+        F.min("first").alias("session_start"), (F.max("last") + pause).alias("session_end"), F.sum("events").alias("events")
+    )
+    closed = slots.agg((F.max("last") - F.expr(f"INTERVAL {late}")).alias("closed")).scalar()
+    return joined.select("session_start", "session_end", key, "events", (F.col("session_end") > closed).alias("is_open"))
+
+
 def deduplicated(events: DataFrame, key: str = "audit_id", late: str = "1 hour") -> DataFrame:
     """Each audit once, while copies arrive within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
