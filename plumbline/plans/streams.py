@@ -49,7 +49,7 @@ def stream_rate_windows(spark, d):
 
 @job("stream_drift", "ST3", DRIFT_SQL)
 def stream_drift(spark, d):
-    out = S.run_available(S.drift(_events(spark, d)), "drift")
+    out = S.run_drift(_events(spark, d), "drift")
     return rounded(_naive(out, "ts").withColumnRenamed("ts", "created_at"))
 
 

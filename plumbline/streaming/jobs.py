@@ -17,7 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline import constants as K
 from plumbline.functions import scores, stats
+from plumbline.operators.portfolio import drift_status
 from plumbline.operators.review import DECIDED, START, next_weights
+from plumbline.operators.skew import HOT_ROWS, with_preceding
 from plumbline.session import scratch_path
 
 
@@ -122,35 +124,40 @@ def scored(events: DataFrame, confidence: float = K.DEFAULT_CONFIDENCE) -> DataF
 DRIFT = "tenant bigint, ts timestamp, audit_id bigint, bias double, baseline double, delta double, status string"
 
 
-def drift(events: DataFrame, history: int = K.DRIFT_HISTORY) -> DataFrame:
-    """Bias against the mean of the last ``history`` audits, kept per tenant as state.
+def run_drift(events: DataFrame, name: str, history: int = K.DRIFT_HISTORY, rows: int = HOT_ROWS) -> DataFrame:
+    """Bias of each audit against the mean of the tenant's ``history`` audits before it, over everything there is.
 
-    Order holds within a batch and between batches; rows that arrive in a later batch than
-    their time says are compared with what had been seen by then.
+    The state is a table of the newest ``history`` audits per tenant, one version per batch. A batch meets it in a
+    window cut into pieces for hot tenants, so no task holds a tenant's rows. Rows that arrive late are set in order
+    of time among what the state holds. Audits without a bias are left out. A batch repeated after a failure reads
+    the version before it and overwrites its own folders.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "audit_id"], ignore_index=True)
-        baselines = []
-        for bias in pdf["bias"]:
-            baselines.append(sum(last) / len(last) if last else bias)
-            last = [*last, bias][-history:]
-        state.update((last,))
-        out = pdf[["ts", "audit_id", "bias"]].copy()
-        out.insert(0, "tenant", key[0])
-        out["baseline"] = baselines
-        out["delta"] = out["bias"] - out["baseline"]
-        size = out["delta"].abs().round(4)
-        out["status"] = "stable"
-        out.loc[size > K.DRIFT_WARNING, "status"] = "warning"
-        out.loc[size > K.DRIFT_CRITICAL, "status"] = "critical"
-        yield out
-
-    usable = events.filter("bias IS NOT NULL").select("tenant", "ts", "audit_id", "bias")
-    return usable.groupBy("tenant").applyInPandasWithState(
-        step, DRIFT, "last array<double>", "append", GroupStateTimeout.NoTimeout
+    spark = events.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    columns = ["tenant", "ts", "audit_id", "bias"]
+    usable = events.filter("bias IS NOT NULL").select(columns)
+
+    def step(batch: DataFrame, n: int) -> None:
+        seen = batch.sparkSession.read.schema(usable.schema).parquet(f"{state}/batch={n - 1}") if n else usable_none
+        both = batch.withColumn("_new", F.lit(True)).unionByName(seen.withColumn("_new", F.lit(False)))
+        told = with_preceding(both, ["tenant"], ["ts", "audit_id"], "bias", history, "ts", rows, out="baseline").filter("_new")
+        told = told.select(*columns, F.coalesce("baseline", "bias").alias("baseline"))
+        told = told.withColumn("delta", F.col("bias") - F.col("baseline"))
+        told.withColumn("status", drift_status(F.round("delta", 4))).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        written = batch.sparkSession.read.schema(DRIFT).parquet(f"{out}/batch={n}").select(columns)
+        newest = Window.partitionBy("tenant").orderBy(F.col("ts").desc(), F.col("audit_id").desc())
+        kept = seen.unionByName(written).withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= history)
+        kept.drop("_r").write.mode("overwrite").parquet(f"{state}/batch={n}")
+
+    usable_none = spark.createDataFrame([], usable.schema)
+    query = (
+        usable.writeStream.foreachBatch(step)
+        .option("checkpointLocation", scratch_path(spark, f"{name}-progress"))
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+    return spark.read.schema(DRIFT + ", batch bigint").parquet(out).drop("batch")
 
 
 WEIGHTS = "tenant bigint, ts timestamp, review_id bigint, truth double, bias double, confidence double"
