@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,29 @@ def retrain_due(feedback: DataFrame, every: int = 5) -> DataFrame:
     return feedback.agg(n.alias("n"), ((n > 0) & (n % every == 0)).alias("retrain"))
 
 
+def append_feedback(path: str, batch: DataFrame, every: int = 5) -> DataFrame:
+    """Append a batch of entries to the stored ones, and say whether to train again.
+
+    The history is counted before and after, from file footers, so a batch that passes
+    several multiples of ``every`` tells how many: as often as its entries one by one would have. A batch without rows appends nothing.
+    """
+    spark = batch.sparkSession
+
+    def stored() -> int:
+        return spark.read.schema(batch.schema).parquet(path).count()
+
+    try:
+        before = stored()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = 0
+    batch.write.mode("append").parquet(path)
+    n = stored()
+    due = n // every - before // every
+    return spark.createDataFrame([(before, n, due, due > 0)], "n_before bigint, n bigint, n_due bigint, retrain boolean")
+
+
 def check_weights(proposals: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Validate custom weights: each within 0..1, sum near one; then scale to four places."""
     names = ("truth", "bias", "confidence")

@@ -94,7 +94,7 @@ def fairness_drift(
     own baseline. The newest row per tenant is the dashboard's figure.
     """
     scored = audits.filter(F.col("bias").isNotNull()).select(tenant, ts, ident, "bias")
-    seen = with_preceding(scored, [tenant], [ts, ident], "bias", history, ts, rows, out="baseline")
+    seen = with_preceding(scored, [tenant], [ts, ident], "bias", history, rows, out="baseline")
     return (
         seen.withColumn("baseline", F.coalesce("baseline", "bias"))
         .withColumn("delta", F.col("bias") - F.col("baseline"))

@@ -7,14 +7,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import constants as K
 from plumbline.functions import scores
-from plumbline.operators.skew import HOT_ROWS, join_to_unique, with_time_bucket
+from plumbline.operators.skew import HOT_ROWS, join_null_safe, join_to_unique, with_time_bucket
 from plumbline.operators.store import latest
+from plumbline.session import materialise
 
 STATUSES = ["pending", "approved", "rejected", "escalated"]
 DECIDED = ["approved", "rejected"]
@@ -174,18 +175,6 @@ def reachable(start: tuple = START) -> tuple[list[tuple], np.ndarray]:
     return states, np.array(steps, dtype=np.int32).T
 
 
-def _begins(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Sorted batches, with a flag on each row that begins a new (tenant, bucket)."""
-    last = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        tenant, bucket = pdf["tenant"].to_numpy(), pdf["_bucket"].to_numpy()
-        fresh = np.r_[(tenant[0], bucket[0]) != last, (tenant[1:] != tenant[:-1]) | (bucket[1:] != bucket[:-1])]
-        last = (tenant[-1], bucket[-1])
-        yield pdf, fresh
-
-
 class _Effect:
     """The function on states that a run of decisions amounts to.
 
@@ -211,11 +200,12 @@ class _Effect:
 
 
 def _in_order(df: DataFrame) -> DataFrame:
-    """Each (tenant, bucket) whole and in time order within one partition."""
-    return df.repartition("tenant", "_bucket").sortWithinPartitions("tenant", "_bucket", "ts", "ident")
+    """Each (tenant, piece) whole and in time order within one partition; its first row is ``_fresh``."""
+    spec = Window.partitionBy("tenant", "_bucket").orderBy("ts", "ident")
+    return df.withColumn("_fresh", F.row_number().over(spec) == 1)
 
 
-def _piece_starts(cut: DataFrame, tenant_type: str) -> DataFrame:
+def _piece_starts(cut: DataFrame, tenant_type: str, fan: int) -> DataFrame:
     """Starting weights of every piece of a tenant whose history was cut."""
     states, steps = reachable()
 
@@ -223,9 +213,10 @@ def _piece_starts(cut: DataFrame, tenant_type: str) -> DataFrame:
         effect, at = None, None
 
         def finished() -> pd.DataFrame:
-            return pd.DataFrame({"tenant": [at[0]], "_bucket": [at[1]], "fx": [effect.packed()]})
+            return pd.DataFrame({"tenant": [at[0]], "node": [at[1]], "fx": [effect.packed()]})
 
-        for pdf, fresh in _begins(batches):
+        for pdf in batches:
+            fresh = pdf["_fresh"].to_numpy()
             edges = sorted({0, *np.flatnonzero(fresh), len(pdf)})
             for lo, hi in zip(edges, edges[1:]):
                 if fresh[lo]:
@@ -236,39 +227,74 @@ def _piece_starts(cut: DataFrame, tenant_type: str) -> DataFrame:
         if effect:
             yield finished()
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_bucket")
-        at, starts = 0, []
-        for packed in pdf["fx"]:
-            starts.append(states[at])
-            at = int(np.frombuffer(zlib.decompress(packed), dtype=np.int32)[at])
-        begin = pd.DataFrame(starts, columns=list(NAMES), index=pdf.index)
-        return pd.concat([pdf[["tenant", "_bucket"]], begin], axis=1)
+    found = _in_order(cut.filter("_bucket > 0")).mapInPandas(effects, f"tenant {tenant_type}, node int, fx binary")
+    found = materialise(found, "effects")
+    pieces = found.agg(F.max("node").alias("n")).first()["n"]
+    return _states_before(found, states, pieces, fan).withColumnRenamed("node", "_bucket").drop("at")
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), dtype=np.int32)
 
-    found = _in_order(cut.filter("_bucket > 0")).mapInPandas(effects, f"tenant {tenant_type}, _bucket int, fx binary")
-    schema = f"tenant {tenant_type}, _bucket int, " + ", ".join(f"{n} double" for n in NAMES)
-    return found.groupBy("tenant").applyInPandas(chain, schema)
+
+def _states_before(level: DataFrame, states: list[tuple], size: int, fan: int) -> DataFrame:
+    """The state before every node, where each node's effect is known.
+
+    Up to ``fan`` neighbours are composed into one node of the level above, until one group
+    per tenant is left; the states found there go down again. So no task holds more than
+    ``fan`` effects, whatever the length of a history.
+    """
+    tenant = level.schema["tenant"].dataType.simpleString()
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        image = _unpacked(pdf["fx"].iloc[0])
+        for packed in pdf["fx"].iloc[1:]:
+            image = _unpacked(packed)[image]
+        fx = zlib.compress(np.ascontiguousarray(image).tobytes(), 1)
+        return pdf[["tenant"]].head(1).assign(node=int(pdf["node"].iloc[0]) // fan, fx=fx)
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        at, seen = int(pdf["at"].iloc[0]), []
+        for packed in pdf["fx"]:
+            seen.append(at)
+            at = int(_unpacked(packed)[at])
+        weights = pd.DataFrame([states[i] for i in seen], columns=list(NAMES), index=pdf.index)
+        return pd.concat([pdf[["tenant", "node"]].assign(at=seen), weights], axis=1)
+
+    above = F.expr(f"CAST(node DIV {int(fan)} AS INT)")
+    if size < fan:
+        begun = level.withColumn("at", F.lit(0))
+    else:
+        upper = level.groupBy("tenant", above.alias("_above")).applyInPandas(composed, f"tenant {tenant}, node int, fx binary")
+        known = _states_before(materialise(upper, "effects"), states, size // fan, fan)
+        # one row per group of nodes: fewer than the pieces, whose number the caller bounds
+        known = known.select("tenant", F.col("node").alias("_above"), "at")
+        begun = join_null_safe(level.withColumn("_above", above), known, ["tenant", "_above"], "inner")
+    schema = f"tenant {tenant}, node int, at int, " + ", ".join(f"{n} double" for n in NAMES)
+    return begun.groupBy("tenant", above.alias("_above")).applyInPandas(walked, schema)
 
 
 def fold_weights(
-    decisions: DataFrame, tenant: str, ts: str, ident: str, status: str = "status", rows: int = HOT_ROWS
+    decisions: DataFrame, tenant: str, ts: str, ident: str, status: str = "status", rows: int = HOT_ROWS, fan: int = 256
 ) -> DataFrame:
     """Old and new weights at every approval or rejection, per tenant in time order.
 
     Sorted partitions stream through the fold, which remembers three numbers, so a task
     never holds a tenant's history. A tenant with more than ``rows`` decisions is cut into
-    pieces: each piece's effect is computed on its own, the effects are chained to give
-    every piece its starting weights, and the pieces are replayed in parallel.
+    pieces: each piece's effect is computed on its own, the effects are composed ``fan`` at a
+    time to give every piece its starting weights, and the pieces are replayed in parallel.
     """
     used = decisions.filter(F.col(status).isin(DECIDED)).select(
         F.col(tenant).alias("tenant"), F.col(ts).alias("ts"), F.col(ident).alias("ident"),
         (F.col(status) == "approved").alias("approved"),
     )
-    cut, any_cut = with_time_bucket(used, ["tenant"], "ts", rows)
+    cut, any_cut = with_time_bucket(used, ["tenant"], ["ts", "ident"], rows)
     if any_cut:
         # one row per piece: at most 2 * total / rows of them
-        starts = _piece_starts(cut, used.schema["tenant"].dataType.simpleString())
-        cut = cut.join(F.broadcast(starts), ["tenant", "_bucket"], "left")
+        starts = _piece_starts(cut, used.schema["tenant"].dataType.simpleString(), fan)
+        cut = join_null_safe(cut, starts, ["tenant", "_bucket"])
     else:
         cut = cut.withColumns({n: F.lit(None).cast("double") for n in NAMES})
     log_schema = T.StructType(
@@ -278,10 +304,12 @@ def fold_weights(
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, tuple] = {}
         at = START
-        for pdf, fresh in _begins(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
             old, new = [], []
             given = zip(*(pdf[n].tolist() for n in NAMES))
-            for begins, approved, start in zip(fresh.tolist(), pdf["approved"].tolist(), given):
+            for begins, approved, start in zip(pdf["_fresh"].tolist(), pdf["approved"].tolist(), given):
                 if begins:
                     at = START if pd.isna(start[0]) else start
                 old.append(at)

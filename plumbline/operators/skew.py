@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import materialise
+
 # Bounds the rows of one key that reach one task, and (rows / bound) the hot keys.
 HOT_ROWS = 1_000_000
 NULL_SALTS = 1 << 20
@@ -68,50 +70,39 @@ def join_to_unique(
     return salted.drop("_salts").join(copied.drop("_salts"), [key, "_salt"], how).drop("_salt")
 
 
-def _upper_bound(edges: Column, size: int, t: Column) -> Column:
-    """How many of the sorted edges are at or below ``t``, by doubling steps."""
-    steps = [2**i for i in reversed(range(size.bit_length()))]
-    return F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(edges)) & (F.get(edges, at + step - 1) <= t), at + step
-        ).otherwise(at),
-    )
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a broadcast side of few rows by ``keys``, where null meets null."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    matches = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(F.broadcast(right.withColumnsRenamed(names)), matches, how).drop(*names.values())
 
 
 def with_time_bucket(
-    df: DataFrame, keys: Sequence[str], ts: str, rows: int = HOT_ROWS, out: str = "_bucket"
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], rows: int = HOT_ROWS, out: str = "_bucket"
 ) -> tuple[DataFrame, bool]:
-    """Cut the history of hot keys into time buckets of about ``rows`` rows each.
+    """Cut the history of hot keys into pieces of ``rows`` rows each, numbered from one in order.
 
-    A key's edges are quantiles of its own times, so each piece holds an even share
-    (rows of one instant stay together). Keys below the bound stay in bucket zero. The
-    hot keys and their edges number at most total / rows, which bounds the broadcast.
-    Returns the table and whether any key was cut.
+    Rows of hot keys are range-sorted by key and the whole order, so that rows of one instant
+    are parted too, and written once; a row's place is its place in its partition plus the rows
+    of its key in partitions before. Keys up to the bound stay in piece zero. Hot keys number
+    at most total / rows, and their runs as many more as there are partitions: both are
+    broadcast. Returns the table and whether any key was cut.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
-    largest = counts.agg(F.max("_n").alias("n")).first()["n"]
-    if largest is None:
+    order = [order] if isinstance(order, str) else list(order)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    if hot.isEmpty():
         return df.withColumn(out, F.lit(0)), False
-    pieces = math.ceil(largest / rows)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    shares = [i / pieces for i in range(1, pieces)]
-    all_edges = (
-        df.join(F.broadcast(counts), list(keys))
-        .groupBy(*keys)
-        .agg(F.first("_n").alias("_n"), F.percentile_approx(t, shares, max(10_000, 10 * pieces)).alias("_all"))
-    )
-    # a key with fewer rows than the largest keeps only as many edges as it needs
-    own = F.ceil(F.col("_n") / rows).cast("int")
-    picked = F.transform(
-        F.sequence(F.lit(1), own - 1),
-        lambda i: F.get("_all", F.ceil(i * pieces / own).cast("int") - 1),
-    )
-    edges = all_edges.select(*keys, F.array_sort(F.array_distinct(picked)).alias("_edges"))
-    marked = df.join(F.broadcast(edges), list(keys), "left")
-    placed = F.when(F.col("_edges").isNull(), 0).otherwise(_upper_bound(F.col("_edges"), pieces, t) + 1)
-    return marked.withColumn(out, placed).drop("_edges"), True
+    marked = join_null_safe(df, hot, keys)
+    cold = marked.filter("_n IS NULL").drop("_n").withColumn(out, F.lit(0))
+    sorted_rows = marked.filter("_n IS NOT NULL").drop("_n").orderBy(*keys, *order)
+    placed = materialise(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    piece = F.expr(f"CAST((_before + _id - _first) DIV {int(rows)} + 1 AS INT)")
+    numbered = join_null_safe(placed, runs, [*keys, "_part"], "inner").withColumn(out, piece)
+    return cold.unionByName(numbered.drop("_part", "_id", "_first", "_before")), True
 
 
 def with_preceding(
@@ -120,17 +111,16 @@ def with_preceding(
     order: Sequence[str],
     value: str,
     n: int,
-    ts: str,
     rows: int = HOT_ROWS,
     agg: Callable[[str], Column] = F.avg,
     out: str = "preceding",
 ) -> DataFrame:
     """Add an aggregate (mean by default) of the ``n`` values before each row of its key.
 
-    Where keys were cut into time buckets, each bucket starts with the last ``n`` rows of
-    the buckets before it, so the result equals one window over the whole key.
+    Where keys were cut into pieces, each piece starts with the last ``n`` rows of
+    the pieces before it, so the result equals one window over the whole key.
     """
-    cut, any_cut = with_time_bucket(df, keys, ts, rows)
+    cut, any_cut = with_time_bucket(df, keys, order, rows)
     spec = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     before = agg(value).over(spec.rowsBetween(-n, -1))
     if not any_cut:

@@ -8,6 +8,7 @@ from plumbline.operators import feedback as FB
 from plumbline.operators import review as RV
 from plumbline.plans.inputs import AUDITS, FEEDBACK, REVIEWS, audits, feedback, reviews
 from plumbline.plans.registry import job, rounded
+from plumbline.session import scratch_path
 from plumbline.sources.tables import load
 
 SEVERITY = """CASE WHEN t < 0.5 OR b >= 0.25 OR f < 0.5 THEN 'critical' WHEN t < 0.6 OR b >= 0.15 OR f < 0.7 THEN 'high'
@@ -194,6 +195,18 @@ def retrain_trigger(spark, d):
     return FB.retrain_due(feedback(spark, d))
 
 
+@job("feedback_appended", "C25 A25", f"""WITH {AUDITS}, {FEEDBACK}, c AS (SELECT count_if(NOT bias_flag) AS a, count(*) AS b FROM feedback)
+SELECT 1 AS step, CAST(0 AS BIGINT) AS n_before, a AS n, a // 5 AS n_due, a // 5 > 0 AS retrain FROM c
+UNION ALL SELECT 2, a, b, b // 5 - a // 5, b // 5 - a // 5 > 0 FROM c""")
+def feedback_appended(spark, d):
+    """Two batches appended to one store, each with the trainings it sets off."""
+    path = scratch_path(spark, "feedback")
+    rows = feedback(spark, d)
+    first = FB.append_feedback(path, rows.filter("NOT bias_flag")).withColumn("step", F.lit(1))
+    second = FB.append_feedback(path, rows.filter("bias_flag")).withColumn("step", F.lit(2))
+    return first.unionByName(second)
+
+
 @job("checked_weights", "C4", """WITH p AS (SELECT event_id, CAST(props->>'$.k' AS INT) / 100.0::DOUBLE AS truth, least(value / 100.0::DOUBLE, 1.2::DOUBLE) AS bias, 0.2::DOUBLE AS confidence FROM events),
 t AS (SELECT *, truth + bias + confidence AS total FROM p),
 v AS (SELECT *, truth BETWEEN 0 AND 1 AND bias BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1 AND abs(total - 1) <= 0.02 AS valid FROM t)

@@ -191,6 +191,51 @@ def chain_verification(spark, d):
     return store.verify_chain(log, "event_id", ["ts", "seq"], F.col("payload")).select("event_id", "seq", "intact")
 
 
+ENTRIES = f"""{AUDITS},
+e AS MATERIALIZED (SELECT tenant, audit_id, k, audit_type || '-' || k AS payload, segment, row_number() OVER (PARTITION BY tenant, segment ORDER BY created_at, audit_id) AS step
+  FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY tenant) > 40
+                  THEN CAST((row_number() OVER (PARTITION BY tenant ORDER BY created_at, audit_id) - 1) // 40 + 1 AS INT) ELSE 0 END AS segment FROM audits))"""
+CHAIN = f"""WITH RECURSIVE {ENTRIES},
+chain(tenant, audit_id, segment, step, hash) AS (
+  SELECT tenant, audit_id, segment, step, sha256('|' || payload) FROM e WHERE step = 1
+  UNION ALL
+  SELECT e.tenant, e.audit_id, e.segment, e.step, sha256(c.hash || '|' || e.payload) FROM chain c JOIN e ON e.tenant = c.tenant AND e.segment = c.segment AND e.step = c.step + 1)"""
+SEALS = f"""{CHAIN}, heads AS MATERIALIZED (SELECT tenant, segment, arg_max(hash, step) || ':' || count(*) AS head, row_number() OVER (PARTITION BY tenant ORDER BY segment) AS place
+  FROM chain GROUP BY tenant, segment),
+seals(tenant, segment, head, place, seal) AS (
+  SELECT tenant, segment, head, place, sha256('|' || head) FROM heads WHERE place = 1
+  UNION ALL
+  SELECT h.tenant, h.segment, h.head, h.place, sha256(s.seal || '|' || h.head) FROM seals s JOIN heads h ON h.tenant = s.tenant AND h.place = s.place + 1)"""
+IN_ORDER = ["created_at", "audit_id"]
+
+
+def _sealed_log(spark, d):
+    """The audits of every tenant as a chain, in segments of forty where a tenant has more."""
+    entries = audits(spark, d).select(
+        "tenant", "audit_id", "created_at", "k", F.concat_ws("-", "audit_type", "k").alias("payload")
+    )
+    return store.build_chain(entries, "tenant", IN_ORDER, F.col("payload"), rows=40)
+
+
+@job("chain_built", "D6", f"{CHAIN} SELECT tenant, audit_id, segment, hash FROM chain")
+def chain_built(spark, d):
+    return _sealed_log(spark, d)[0].select("tenant", "audit_id", "segment", "hash")
+
+
+@job("chain_seals", "D6", f"{SEALS} SELECT tenant, segment, head, seal FROM seals")
+def chain_seals(spark, d):
+    return _sealed_log(spark, d)[1]
+
+
+@job("sealed_chain_verification", "D6", f"""WITH {ENTRIES}
+SELECT tenant, segment, count(*) AS entries, count_if(k < 10) AS broken, true AS sealed FROM e GROUP BY tenant, segment""")
+def sealed_chain_verification(spark, d):
+    """A log built above, with some payloads changed afterwards: their entries no longer link."""
+    chain, seals = _sealed_log(spark, d)
+    changed = chain.withColumn("payload", F.when(F.col("k") < 10, "changed").otherwise(F.col("payload")))
+    return store.verify_sealed(changed, seals, "tenant", IN_ORDER, F.col("payload"))
+
+
 @job("truncated_texts", "C26", "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents")
 def truncated_texts(spark, d):
     from plumbline.sources.tables import load

@@ -140,7 +140,7 @@ def run_drift(events: DataFrame, name: str, history: int = K.DRIFT_HISTORY, rows
     def step(batch: DataFrame, n: int) -> None:
         seen = batch.sparkSession.read.schema(usable.schema).parquet(f"{state}/batch={n - 1}") if n else usable_none
         both = batch.withColumn("_new", F.lit(True)).unionByName(seen.withColumn("_new", F.lit(False)))
-        told = with_preceding(both, ["tenant"], ["ts", "audit_id"], "bias", history, "ts", rows, out="baseline").filter("_new")
+        told = with_preceding(both, ["tenant"], ["ts", "audit_id"], "bias", history, rows, out="baseline").filter("_new")
         told = told.select(*columns, F.coalesce("baseline", "bias").alias("baseline"))
         told = told.withColumn("delta", F.col("bias") - F.col("baseline"))
         told.withColumn("status", drift_status(F.round("delta", 4))).write.mode("overwrite").parquet(f"{out}/batch={n}")

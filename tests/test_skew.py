@@ -39,6 +39,35 @@ def test_time_buckets_bound_the_hot_key(history):
     assert all(x.b <= y.a for x, y in zip(order, order[1:]))
 
 
+@pytest.fixture(scope="module")
+def one_instant(history):
+    """A third of all rows share one time stamp, and the tenant of some is null."""
+    return history.withColumn("ts", F.when(F.col("ident") % 3 == 0, F.timestamp_seconds(F.lit(500))).otherwise(F.col("ts"))).withColumn(
+        "tenant", F.when(F.col("tenant") != 3, F.col("tenant"))
+    ).cache()
+
+
+def test_rows_of_one_instant_are_parted(one_instant):
+    cut, any_cut = skew.with_time_bucket(one_instant, ["tenant"], ["ts", "ident"], rows=100)
+    rows = [(r.tenant is None, r.tenant, r.ts, r.ident, r._bucket) for r in cut.collect()]
+    assert any_cut and len(rows) == 3000
+    by_tenant = {}
+    for row in sorted(rows, key=lambda r: (r[0], r[1] or 0, r[2], r[3])):
+        by_tenant.setdefault(row[1], []).append(row[4])
+    for buckets in by_tenant.values():
+        hot = len(buckets) > 100
+        assert buckets == [i // 100 + 1 if hot else 0 for i in range(len(buckets))]
+
+
+def test_pieces_of_one_instant_equal_one_walk(one_instant):
+    audits = one_instant.withColumnsRenamed({"ts": "created_at", "ident": "audit_id"})
+    drift = [portfolio.fairness_drift(audits, "tenant", rows=n).orderBy("audit_id").collect() for n in (10**6, 50)]
+    assert [r.audit_id for r in drift[0]] == [r.audit_id for r in drift[1]]
+    assert np.allclose([r.baseline for r in drift[0]], [r.baseline for r in drift[1]])
+    folds = [{r.ident: r for r in review.fold_weights(one_instant, "tenant", "ts", "ident", rows=n, fan=4).collect()} for n in (10**6, 50)]
+    assert folds[0] == folds[1]
+
+
 def test_preceding_average_across_pieces(history):
     audits = history.withColumnsRenamed({"ts": "created_at", "ident": "audit_id"})
     whole = portfolio.fairness_drift(audits, "tenant").orderBy("audit_id").collect()
@@ -54,8 +83,8 @@ def test_weight_fold_in_pieces_equals_one_walk(history):
             continue
         at[r.tenant] = review.next_weights(at.get(r.tenant, review.START), r.status == "approved")
         want[r.ident] = at[r.tenant]
-    for rows in (10**6, 150):
-        log = review.fold_weights(history, "tenant", "ts", "ident", rows=rows).collect()
+    for rows, fan in ((10**6, 256), (150, 256), (40, 3)):
+        log = review.fold_weights(history, "tenant", "ts", "ident", rows=rows, fan=fan).collect()
         got = {r.ident: (r.new_truth, r.new_bias, r.new_confidence) for r in log}
         assert got == want
         assert all(abs(sum(w) - 1) < 2e-4 for w in got.values())
