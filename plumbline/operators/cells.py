@@ -2,7 +2,8 @@
 
 Every vector is stored with its nearest centroid. A query meets the cell with the best bound first; its k-th best
 similarity there then excludes all cells whose bound, ``q.c + |q| r``, stays below (Cauchy and Schwarz), and only
-the rest is probed. Large cells are cut into parts of bounded size, and many queries of one part into blocks.
+the rest is probed. Large cells are cut into parts of bounded size. Vectors are shuffled in bundles of parts, and a
+query goes once to each bundle that holds a part it probes, however many of them: the task knows which by their bits.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +23,15 @@ from plumbline import constants as K
 from plumbline.operators.skew import small_enough
 from plumbline.session import materialise
 
-# Vectors of a part, which a task multiplies, and queries that share one copy of it.
+# Vectors of a part, and queries of a slice that are multiplied with it at once.
 PASSAGE_ROWS = 8_192
 QUERY_ROWS = 65_536
+# Vectors of the parts that a task holds together, and of the queries that share one copy of them.
+BUNDLE_BYTES = 16 << 20
+# Fewer queries than this are not worth another copy of a bundle.
+LEAST_QUERIES = 1_024
+# Hits of a slice that are held before all but the k best of each query go.
+HELD_HITS = 1_000_000
 # Bounds of what the driver fits and ships: vectors of the sample, bytes of it and of the centroids, cells.
 SAMPLE_ROWS = 16_384
 SAMPLE_BYTES = 32 << 20
@@ -46,6 +54,7 @@ class Cells:
     radius: np.ndarray
     rows: np.ndarray
     first: np.ndarray  # parts of cell c are numbered first[c] up to first[c + 1]
+    bundle: int  # parts of a bundle, which follow each other
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """The most that a vector of each cell can score with each query; empty cells come last."""
@@ -79,8 +88,15 @@ def fit_centroids(sample: np.ndarray, cells: int) -> np.ndarray:
     return centroids
 
 
-def nearest(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.argmin((centroids**2).sum(axis=1) - 2 * (v @ centroids.T), axis=1)
+def nearest(v: np.ndarray, centroids: np.ndarray, rows: int = 1024) -> np.ndarray:
+    norms = (centroids**2).sum(axis=1)
+    found = [np.argmin(norms - 2 * (v[at : at + rows] @ centroids.T), axis=1) for at in range(0, len(v), rows)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _side(cores: int) -> int:
+    """Into how many pieces both sides are dealt at least, so that pairs of pieces fill the cores twice."""
+    return math.ceil(math.sqrt(2 * cores))
 
 
 def build_cells(kb: DataFrame, passage_rows: int = PASSAGE_ROWS) -> Cells | None:
@@ -123,27 +139,42 @@ def build_cells(kb: DataFrame, passage_rows: int = PASSAGE_ROWS) -> Cells | None
     )
     part = F.col("_first") + F.pmod(F.xxhash64("kb_id", "v"), F.col("_parts")).cast("int")
     stored = placed.join(F.broadcast(table), "cell")  # one row per cell
-    return Cells(stored.select("kb_id", "v", part.alias("part")), centroids, radius, size, first)
+    most = max(1, BUNDLE_BYTES // (8 * dim * passage_rows))
+    bundle = min(most, math.ceil(int(first[-1]) / _side(kb.sparkSession.sparkContext.defaultParallelism)))
+    return Cells(stored.select("kb_id", "v", part.alias("part")), centroids, radius, size, first, bundle)
 
 
 def _route(index: Cells, queries: DataFrame, choose) -> DataFrame:
-    """Add ``parts``, those of the cells that ``choose`` picks by their bounds and the k-th similarities known so far."""
+    """Add ``cells``, the bits of those that ``choose`` picks by their bounds and the k-th similarities known so far, the
+    ``bundles`` that hold their parts, and ``parts``, which is not stored but read off the bits where it is asked for."""
     bare = queries.sparkSession.sparkContext.broadcast(replace(index, vectors=None))
     names = ["_q", "q_id", "v", "_kth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = bare.value
+        starts = np.arange(0, cells.first[-1], cells.bundle)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 few = batch.slice(at, 1024)
                 mask = choose(cells, cells.bounds(matrix(few.column(2))), few.column(3).to_numpy()) & (cells.rows > 0)
-                mask = np.repeat(mask, np.diff(cells.first), axis=1)
-                offsets = np.concatenate(([0], np.cumsum(mask.sum(axis=1)))).astype(np.int32)
-                picked = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(mask)[1].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*few.columns[:3], picked], [*names[:3], "parts"])
+                bits = np.packbits(mask, axis=1)
+                ends = np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1]
+                packed = pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(bits.tobytes())])
+                met = np.logical_or.reduceat(np.repeat(mask, np.diff(cells.first), axis=1), starts, axis=1)
+                offsets = np.concatenate(([0], np.cumsum(met.sum(axis=1)))).astype(np.int32)
+                picked = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(met)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*few.columns, packed, picked], [*names, "cells", "bundles"])
+
+    added = [T.StructField("cells", T.BinaryType()), T.StructField("bundles", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*(queries.schema[c] for c in names), *added])
+    routed = materialise(queries.select(*names).mapInArrow(run, schema), "routes")
 
-    schema = T.StructType([*(queries.schema[c] for c in names[:3]), T.StructField("parts", T.ArrayType(T.IntegerType()))])
-    return materialise(queries.select(*names).mapInArrow(run, schema), "routes")
+    @F.pandas_udf("array<int>")
+    def parts(bits: pd.Series) -> pd.Series:
+        of = np.repeat(np.arange(len(bare.value.rows)), np.diff(bare.value.first))
+        return bits.map(lambda b: np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), count=len(bare.value.rows))[of]).astype(np.int32))
+
+    return routed.withColumn("parts", parts("cells"))
 
 
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,66 +192,120 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return best, found
 
 
-def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Where an id of one side equals one of the other; a null id equals none."""
-    codes = pa.chunked_array([a, b.cast(a.type)]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-    left, right = codes[: len(a)], codes[len(a) :]
-    return (left[:, None] == right[None, :]) & (left >= 0)[:, None]
+def _codes(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for the ids of both sides, the same for equal ones; a null id of the left equals none."""
+    codes = pa.chunked_array([a, b.cast(a.type)]).combine_chunks().dictionary_encode().indices
+    left, right = codes[: len(a)].fill_null(-1), codes[len(a) :].fill_null(-2)
+    return left.to_numpy(), right.to_numpy()
+
+
+class _Bundle:
+    """The vectors of a bundle in a task, in the order of their ids, and the rows of each of its parts."""
+
+    def __init__(self, ids: pa.Array, v: np.ndarray, part: np.ndarray, first: np.ndarray):
+        self.ids, self.part = ids, part
+        order = np.argsort(part, kind="stable")  # a part's rows keep the order of ids
+        starts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+        rows = np.split(order, starts[1:])
+        cells = np.searchsorted(first, part[order[starts]], "right") - 1
+        self.parts = [(int(c), r, np.ascontiguousarray(v[r])) for c, r in zip(cells, rows)]
+        self.largest = max(map(len, rows))
+
+
+def _kept(hits: list[tuple], k: int) -> tuple:
+    """The k best of (query, place, rounded, exact) for each query; of equals the first places, which go by the id."""
+    columns = [np.concatenate(x) for x in zip(*hits)]
+    order = np.lexsort((columns[1], -columns[2], columns[0]))
+    query = columns[0][order]
+    order = order[np.arange(len(query)) - np.searchsorted(query, query, "left") < k]
+    return tuple(x[order] for x in columns)
 
 
 def _probe(index: Cells, routed: DataFrame, k: int, exclude_self: bool, query_rows: int) -> DataFrame:
-    """The k best vectors of each probed part for each query: (_q, q_id, kb_id, part, sim).
+    """The k best vectors of each bundle among the probed parts, for each query: (_q, q_id, kb_id, part, sim).
 
-    A part's vectors come first in its task, and its queries then stream past them.
+    A bundle's vectors come first in its task, and its queries then stream past them. Queries of a bundle are dealt
+    into blocks of about as many bytes as it has, each with a copy of it, so that both sides are copied about as often
+    as the other has bundles.
     """
-    asked = routed.select("_q", "q_id", "v", F.explode("parts").alias("part"))
-    load = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_blocks"))
-    # one row per part that is probed: the number of vectors over that of a part
-    load = materialise(load, "probed-parts")
-    load = F.broadcast(load) if small_enough(load) else load
-    vectors = index.vectors.join(load, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    asked = asked.join(load, "part").withColumn("block", F.pmod(F.xxhash64("_q"), F.col("_blocks")).cast("int"))
+    spark, dim = routed.sparkSession, index.centroids.shape[1]
+    width = 8 * dim + len(index.centroids) // 8
+    asked = routed.select("_q", "q_id", "v", "_kth", "cells", F.explode("bundles").alias("bundle"))
+    side = _side(spark.sparkContext.defaultParallelism)
+    first, tasks = {}, 0
+    for r in asked.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per bundle
+        blocks = max(math.ceil(r["n"] * width / BUNDLE_BYTES), min(side, math.ceil(r["n"] / LEAST_QUERIES)))
+        first[r["bundle"]] = (tasks, blocks)
+        tasks += blocks
+    table = spark.createDataFrame([(b, *x) for b, x in first.items()], "bundle int, _first int, _blocks int")
+    vectors = index.vectors.withColumn("bundle", F.expr(f"CAST(part DIV {index.bundle} AS INT)")).join(F.broadcast(table), "bundle")
+    vectors = vectors.withColumn("task", F.explode(F.sequence("_first", F.col("_first") + F.col("_blocks") - 1)))
+    asked = asked.join(F.broadcast(table), "bundle").withColumn("task", F.col("_first") + F.pmod(F.xxhash64("_q"), F.col("_blocks")).cast("int"))
     q_type, kb_type = routed.schema["q_id"].dataType, index.vectors.schema["kb_id"].dataType
     none = lambda t, n: F.lit(None).cast(t).alias(n)
-    both = vectors.select("part", "block", F.lit(0).alias("asks"), none("long", "_q"), none(q_type, "q_id"), "kb_id", "v").unionAll(
-        asked.select("part", "block", F.lit(1).alias("asks"), "_q", "q_id", none(kb_type, "kb_id"), "v")
-    )
-    met = both.repartition("part", "block").sortWithinPartitions("part", "block", "asks", "kb_id")
-
-    def answers(few: pa.RecordBatch, ids: pa.Array, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = max(1, SLICE_SIMS // len(ids))
-        for at in range(0, few.num_rows, step):
-            some = few.slice(at, step)
-            exact = matrix(some.column(6)) @ vectors.T
-            sims = np.round(exact, 9)
-            if exclude_self:
-                sims[_same(some.column(4), ids)] = -np.inf
-            best, found = _best(sims, k)
-            row = np.repeat(np.arange(some.num_rows), best.shape[1])
-            kept = np.isfinite(found).ravel()
-            found = np.take_along_axis(exact, best, axis=1).ravel()
-            row, column = pa.array(row[kept]), pa.array(best.ravel()[kept])
-            out = [some.column(3).take(row), some.column(4).take(row), ids.take(column), some.column(0).take(row), pa.array(found[kept])]
-            yield pa.RecordBatch.from_arrays(out, ["_q", "q_id", "kb_id", "part", "sim"])
+    both = vectors.select(
+        "task", F.lit(0).alias("asks"), none("long", "_q"), none(q_type, "q_id"), none("double", "_kth"), none("binary", "cells"), "part", "kb_id", "v"
+    ).unionAll(asked.select("task", F.lit(1).alias("asks"), "_q", "q_id", "_kth", "cells", none("int", "part"), none(kb_type, "kb_id"), "v"))
+    # work goes by pairs and not by bytes: tasks are not merged
+    met = both.repartition(max(1, min(2 * tasks, 10_000)), "task").sortWithinPartitions("task", "asks", "kb_id")
+    n_cells, cell_parts = len(index.centroids), spark.sparkContext.broadcast(index.first)
+
+    def answers(few: pa.RecordBatch, held: _Bundle) -> pa.RecordBatch:
+        n, vectors = few.num_rows, matrix(few.column(8))
+        bits = np.frombuffer(b"".join(few.column(5).to_pylist()), np.uint8).reshape(n, -1)
+        probes = np.unpackbits(bits, axis=1, count=n_cells).astype(bool)
+        kth = few.column(4).to_numpy().copy()
+        codes = _codes(few.column(3), held.ids) if exclude_self else None
+        none_ = np.zeros(0, np.int64)
+        hits, size = [(none_, none_, np.zeros(0), np.zeros(0))], 0
+        for cell, rows, v in held.parts:
+            asks = np.flatnonzero(probes[:, cell])
+            if not len(asks):
+                continue
+            exact = (vectors if len(asks) == n else vectors[asks]) @ v.T
+            if codes:
+                exact[codes[0][asks][:, None] == codes[1][rows][None, :]] = -np.inf
+            if np.isneginf(kth[asks]).any():
+                best, found = _best(np.round(exact, 9), k)
+                at, column = np.nonzero(np.isfinite(found))
+                column = best[at, column]
+            else:
+                at, column = np.nonzero(exact >= (kth[asks] - ROOM)[:, None])
+            if not len(at):
+                continue
+            exact = exact[at, column]
+            hits.append((asks[at], rows[column], np.round(exact, 9), exact))
+            size += len(at)
+            if size > HELD_HITS:
+                hits, size = [_kept(hits, k)], 0
+                # the first k - 1 of a query are no less than its k-th
+                last = np.flatnonzero(np.arange(len(hits[0][0])) - np.searchsorted(hits[0][0], hits[0][0], "left") == k - 1)
+                kth[hits[0][0][last]] = np.maximum(kth[hits[0][0][last]], hits[0][2][last])
+        query, place, _, exact = _kept(hits, k)
+        row = pa.array(query)
+        out = [few.column(2).take(row), few.column(3).take(row), held.ids.take(pa.array(place)), pa.array(held.part[place]), pa.array(exact)]
+        return pa.RecordBatch.from_arrays(out, ["_q", "q_id", "kb_id", "part", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, chunks, held = None, [], [], None
+        task, chunks, held = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marks = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            marks = np.stack([batch.column(i).to_numpy() for i in range(2)])
             starts = np.flatnonzero(np.append(True, (np.diff(marks, axis=1) != 0).any(axis=0)))
             for a, b in zip(starts, [*starts[1:], batch.num_rows]):
                 same = batch.slice(a, b - a)
-                if key != tuple(marks[:2, a]):
-                    key, ids, chunks, held = tuple(marks[:2, a]), [], [], None
-                if not marks[2, a]:
-                    ids.append(same.column(5))
-                    chunks.append(matrix(same.column(6)))
+                if task != marks[0, a]:
+                    task, chunks, held = marks[0, a], [], None
+                if not marks[1, a]:
+                    chunks.append((same.column(7), matrix(same.column(8)), same.column(6).to_numpy()))
                 elif chunks or held is not None:
                     if held is None:
-                        held, ids, chunks = np.vstack(chunks), pa.concat_arrays(ids), []
-                    yield from answers(same, ids, held)
+                        ids, v, part = zip(*chunks)
+                        held, chunks = _Bundle(pa.concat_arrays(ids), np.vstack(v), np.concatenate(part), cell_parts.value), []
+                    step = max(1, min(query_rows, 8192, SLICE_SIMS // held.largest))
+                    for at in range(0, same.num_rows, step):
+                        yield answers(same.slice(at, step), held)
 
     schema = T.StructType([
         T.StructField("_q", T.LongType()), T.StructField("q_id", q_type), T.StructField("kb_id", kb_type),
@@ -273,7 +358,7 @@ def search_cells(
 ) -> DataFrame:
     """Exact top-k passages by inner product of ``(q_id, v)`` against ``(kb_id, v)``: q_id, kb_id, sim, rank.
 
-    Vectors are shuffled once and queries once per cell that their bound does not exclude. Equal similarities (at
+    Vectors are shuffled in bundles of cells, and queries once per bundle with a cell that their bound does not exclude. Equal similarities (at
     nine digits) go to the lower id; ``exclude_self`` leaves out passages with the query's own id. Rows without a
     vector of the passages' length have no hits. A query row that occurs twice is answered twice.
     """

@@ -78,3 +78,16 @@ def test_text_ids(spark):
     kb = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "kb_id string, v array<double>")
     got = cells.search_cells(kb.withColumnRenamed("kb_id", "q_id"), kb, 1, exclude_self=True).collect()
     assert {r.q_id: r.kb_id for r in got} == {"a": "b", "b": "a", "c": "b"}
+
+
+def test_queries_are_copied_by_bundles_and_not_by_parts(spark, monkeypatch):
+    """Without near neighbours a query probes nearly all small parts, and still goes to few tasks."""
+    rng = np.random.default_rng(4)
+    kb, routes = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(900, 16)))], []
+    route = cells._route
+    monkeypatch.setattr(cells, "_route", lambda *a: routes.append(route(*a)) or routes[-1])
+    monkeypatch.setattr(cells, "HELD_HITS", 50)
+    got = cells.search_cells(table(spark, "q_id", kb[:90]), table(spark, "kb_id", kb), 3, True, query_rows=20, passage_rows=5)
+    assert rows(got) == brute(kb[:90], kb, 3, True)
+    probed = [(len(r["parts"]), len(r["bundles"])) for df in routes for r in df.collect()]
+    assert sum(p for p, _ in probed) > 90 * 100 and max(b for _, b in probed) <= cells._side(spark.sparkContext.defaultParallelism)
