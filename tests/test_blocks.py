@@ -89,3 +89,15 @@ def test_text_ids_and_empty_tables(spark):
         assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a"), (2, 2, "b"), (2, 3, "c")]
         assert R.sparse_hits(df.limit(0), ["i"], "t", index, local_postings=local).count() == 0
     assert R.score_claims(df, ["i"], "t", R.build_index(kb.limit(0), "kb_id", "content")).count() == 2
+
+
+@pytest.mark.parametrize("head", [100_000, 1])
+def test_unknown_terms_go_before_they_are_counted(spark, monkeypatch, head):
+    """Of texts whose terms stand in no passage next to nothing reaches the count and the join with the tail."""
+    met, look_up = [], R.look_up
+    monkeypatch.setattr(R, "look_up", lambda terms, *a, **b: met.append(terms.count()) or look_up(terms, *a, **b))
+    index = R.build_index(spark.createDataFrame([(1, "iron rusts"), (2, "water boils")], "kb_id long, content string"), "kb_id", "content")
+    texts = [(i, " ".join(f"own{i}x{j}" for j in range(100))) for i in range(20)] + [(20, "iron boils"), (20, "iron"), (None, "water")]
+    got = R.weigh(spark.createDataFrame(texts, "i long, t string"), ["i"], "t", index, [], head_terms=head)
+    assert sorted((r.i or 0, r.term, round(r.w, 6)) for r in got.collect()) == [(0, "water", 1.0), (20, "boils", 0.447214), (20, "iron", 0.894427)]
+    assert met[0] < 400
