@@ -146,11 +146,13 @@ def queue_summary(triaged: DataFrame, position: str = "review_id") -> DataFrame:
 # then weights are scaled to sum to one and rounded to four places. Rounding at each step
 # makes the result depend on the exact order, so it is a fold over the tenant's history.
 # It can still run in pieces: rounding leaves a finite set of weights, so a piece of
-# history is a function on that set, and functions compose.
+# history is a function on that set, and functions compose. A short piece's function is
+# written as its decisions, one bit each; from ``LISTED`` decisions on its table is shorter.
 
 NAMES = ("truth", "bias", "confidence")
 START = tuple(K.DEFAULT_WEIGHTS[n] for n in NAMES)
 STEP = 0.05
+LISTED = 1 << 15
 
 
 def next_weights(weights: tuple, approved: bool) -> tuple:
@@ -195,8 +197,63 @@ class _Effect:
                 self.images, inverse = np.unique(self.images, return_inverse=True)
                 self.where = inverse.astype(np.int32)[self.where]
 
+    def apply(self, table: np.ndarray) -> None:
+        self.images = table[self.images]
+
+    def packed(self) -> bytes:
+        return b"t" + zlib.compress(np.ascontiguousarray(self.images[self.where]).tobytes(), 1)
+
+
+class _Run:
+    """An effect as it grows, of decisions and of effects: a list of decisions until its table is shorter."""
+
+    def __init__(self, steps: np.ndarray):
+        self.steps, self.listed, self.n, self.effect = steps, [], 0, None
+
+    def add(self, decisions: np.ndarray) -> None:
+        if self.effect is None:
+            self.listed.append(np.asarray(decisions, bool))
+            self.n += len(decisions)
+            if self.n < LISTED:
+                return
+            self._tabled()
+        else:
+            self.effect.add(decisions)
+
+    def then(self, packed: bytes) -> None:
+        if packed[:1] == b"d":
+            self.add(_listed(packed))
+        else:
+            self._tabled()
+            self.effect.apply(_table(packed))
+
+    def _tabled(self) -> None:
+        if self.effect is None:
+            self.effect = _Effect(self.steps)
+            for part in self.listed:
+                self.effect.add(part)
+            self.listed = []
+
     def packed(self) -> bytes:
-        return zlib.compress(self.images[self.where].tobytes(), 1)
+        if self.effect:
+            return self.effect.packed()
+        return b"d" + self.n.to_bytes(4, "big") + np.packbits(np.concatenate([np.zeros(0, bool), *self.listed])).tobytes()
+
+
+def _listed(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8, offset=5), count=int.from_bytes(packed[1:5], "big")).astype(bool)
+
+
+def _table(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), dtype=np.int32)
+
+
+def _state_after(packed: bytes, at: int, steps: list[list[int]]) -> int:
+    if packed[:1] == b"t":
+        return int(_table(packed)[at])
+    for d in _listed(packed).tolist():
+        at = steps[d][at]
+    return at
 
 
 def _in_order(df: DataFrame) -> DataFrame:
@@ -222,7 +279,7 @@ def _piece_starts(cut: DataFrame, tenant_type: str, fan: int) -> DataFrame:
                 if fresh[lo]:
                     if effect:
                         yield finished()
-                    effect, at = _Effect(steps), (pdf["tenant"].iloc[lo], pdf["_bucket"].iloc[lo])
+                    effect, at = _Run(steps), (pdf["tenant"].iloc[lo], pdf["_bucket"].iloc[lo])
                 effect.add(pdf["approved"].to_numpy()[lo:hi])
         if effect:
             yield finished()
@@ -230,14 +287,10 @@ def _piece_starts(cut: DataFrame, tenant_type: str, fan: int) -> DataFrame:
     found = _in_order(cut.filter("_bucket > 0")).mapInPandas(effects, f"tenant {tenant_type}, node int, fx binary")
     found = materialise(found, "effects")
     pieces = found.agg(F.max("node").alias("n")).first()["n"]
-    return _states_before(found, states, pieces, fan).withColumnRenamed("node", "_bucket").drop("at")
-
+    return _states_before(found, states, steps, pieces, fan).withColumnRenamed("node", "_bucket").drop("at")
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), dtype=np.int32)
 
-
-def _states_before(level: DataFrame, states: list[tuple], size: int, fan: int) -> DataFrame:
+def _states_before(level: DataFrame, states: list[tuple], steps: np.ndarray, size: int, fan: int) -> DataFrame:
     """The state before every node, where each node's effect is known.
 
     Up to ``fan`` neighbours are composed into one node of the level above, until one group
@@ -245,21 +298,23 @@ def _states_before(level: DataFrame, states: list[tuple], size: int, fan: int) -
     ``fan`` effects, whatever the length of a history.
     """
     tenant = level.schema["tenant"].dataType.simpleString()
+    rows = steps.tolist()
+    # the work goes by groups and not by bytes, which are few: tasks are not merged
+    tasks = 4 * level.sparkSession.sparkContext.defaultParallelism
 
     def composed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        image = _unpacked(pdf["fx"].iloc[0])
-        for packed in pdf["fx"].iloc[1:]:
-            image = _unpacked(packed)[image]
-        fx = zlib.compress(np.ascontiguousarray(image).tobytes(), 1)
-        return pdf[["tenant"]].head(1).assign(node=int(pdf["node"].iloc[0]) // fan, fx=fx)
+        run = _Run(steps)
+        for packed in pdf["fx"]:
+            run.then(packed)
+        return pdf[["tenant"]].head(1).assign(node=int(pdf["node"].iloc[0]) // fan, fx=run.packed())
 
     def walked(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         at, seen = int(pdf["at"].iloc[0]), []
         for packed in pdf["fx"]:
             seen.append(at)
-            at = int(_unpacked(packed)[at])
+            at = _state_after(packed, at, rows)
         weights = pd.DataFrame([states[i] for i in seen], columns=list(NAMES), index=pdf.index)
         return pd.concat([pdf[["tenant", "node"]].assign(at=seen), weights], axis=1)
 
@@ -267,13 +322,14 @@ def _states_before(level: DataFrame, states: list[tuple], size: int, fan: int) -
     if size < fan:
         begun = level.withColumn("at", F.lit(0))
     else:
-        upper = level.groupBy("tenant", above.alias("_above")).applyInPandas(composed, f"tenant {tenant}, node int, fx binary")
-        known = _states_before(materialise(upper, "effects"), states, size // fan, fan)
+        grouped = level.withColumn("_above", above).repartition(tasks, "tenant", "_above").groupBy("tenant", "_above")
+        upper = grouped.applyInPandas(composed, f"tenant {tenant}, node int, fx binary")
+        known = _states_before(materialise(upper, "effects"), states, steps, size // fan, fan)
         # one row per group of nodes: fewer than the pieces, whose number the caller bounds
         known = known.select("tenant", F.col("node").alias("_above"), "at")
         begun = join_null_safe(level.withColumn("_above", above), known, ["tenant", "_above"], "inner")
     schema = f"tenant {tenant}, node int, at int, " + ", ".join(f"{n} double" for n in NAMES)
-    return begun.groupBy("tenant", above.alias("_above")).applyInPandas(walked, schema)
+    return begun.withColumn("_above", above).repartition(tasks, "tenant", "_above").groupBy("tenant", "_above").applyInPandas(walked, schema)
 
 
 def fold_weights(
