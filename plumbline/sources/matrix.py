@@ -11,9 +11,10 @@ from plumbline import schemas
 def parse(df: DataFrame, column: str) -> DataFrame:
     """Add ``matrix`` and ``problem``. Text that is not JSON at all is text mode, not an error."""
     stripped = F.trim(F.col(column))
-    looks_json = stripped.rlike(r"^[\[{]")
-    parsed = F.from_json(stripped, schemas.MATRIX)
-    valid_json = F.try_parse_json(stripped).isNotNull()
+    parsed = F.struct(
+        stripped.rlike(r"^[\[{]").alias("looks_json"), F.try_parse_json(stripped).isNotNull().alias("valid_json"),
+        F.from_json(stripped, schemas.MATRIX).alias("matrix"), (stripped == "").alias("empty"),
+    )
     m = F.col("matrix")
     width = F.size(F.element_at(m["features"], 1))
     names_given = m["feature_names"].isNotNull()
@@ -21,7 +22,7 @@ def parse(df: DataFrame, column: str) -> DataFrame:
     ragged = F.exists(m["features"], lambda row: F.size(row) != width)
     gaps = F.exists(m["features"], lambda row: F.exists(row, lambda x: x.isNull()))
     problem = (
-        F.when(stripped == "", "empty input")
+        F.when(F.col("empty"), "empty input")
         .when(~F.col("looks_json"), F.lit(None).cast("string"))
         .when(~F.col("valid_json"), "invalid JSON")
         .when(m["features"].isNull() | m["labels"].isNull(), "features and labels are required")
@@ -32,13 +33,12 @@ def parse(df: DataFrame, column: str) -> DataFrame:
         .when(names_given & (F.size(m["feature_names"]) != width), "feature_names do not match the columns")
         .when((place < 0) | (place >= width), "protected_index is out of range")
     )
+    # from a generated row, or a filter on the problem would parse the text anew for each part of the check
     return (
-        df.withColumn("looks_json", looks_json)
-        .withColumn("valid_json", valid_json)
-        .withColumn("matrix", parsed)
+        df.select("*", F.inline(F.array(parsed)))
         .withColumn("problem", problem)
         .withColumn("mode", F.when(F.col("looks_json"), "dataset").otherwise("text"))
-        .drop("looks_json", "valid_json")
+        .drop("looks_json", "valid_json", "empty")
     )
 
 
