@@ -20,6 +20,8 @@ from plumbline.operators import encode, fairness, grouped, sampling
 from plumbline.session import materialise
 
 BLOCK_ROWS = 50_000
+# Rows that a task of a fit reads in each scan.
+SPREAD_ROWS = 500_000
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -29,11 +31,14 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where they sit in fewer partitions; for inputs that a fit will
-    scan many times. Large tables already fill the cluster and pass through."""
+    """Rows over all cores where they sit in fewer partitions or in ones of more than
+    ``SPREAD_ROWS``; for inputs that a fit will scan many times. Others pass through."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
-    return df.repartition(cores) if filled < cores else df
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.count(F.lit(1)).alias("filled"), F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    if found["filled"] >= cores and found["most"] <= 2 * SPREAD_ROWS:
+        return df
+    return df.repartition(max(cores, math.ceil((found["n"] or 0) / SPREAD_ROWS)))
 
 
 def fit_linear(df: DataFrame, label: str, features: str = "features") -> LogisticRegressionModel:
