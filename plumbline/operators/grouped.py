@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 
 from plumbline.operators import fairness
 from plumbline.operators.encode import finite
-from plumbline.operators.skew import join_to_unique
+from plumbline.operators.skew import join_to_unique, small_enough
 from plumbline.session import materialise
 
 STEPS = 40
 # A group is done once no coefficient moves by more than this share.
 TOLERANCE = 1e-10
+# A group of up to this many rows is fitted in one task, with many others at once.
+SMALL_ROWS = 256
 
 
 def _steps(size: int, penalty: float):
@@ -57,12 +59,55 @@ def _steps(size: int, penalty: float):
     return names, run
 
 
+def _fit_small(rows: DataFrame, names: Sequence[str], columns: Sequence[str], run, schema: T.StructType, steps: int) -> DataFrame:
+    """The last state of every group with both labels; each group's rows meet once, in one cell of bounded size."""
+    packed = rows.groupBy("_key").agg(F.collect_list(F.struct("y", *names)).alias("rows"))
+    size = len(names) + 1
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, flat = batch.column(1), batch.column(1).flatten()
+            y = flat.field(0).to_numpy()
+            x = np.stack([np.ones(len(y)), *(flat.field(i).to_numpy() for i in range(1, size))], axis=1)
+            counts = lists.value_lengths().to_numpy()
+            starts = np.cumsum(counts) - counts
+            if not len(counts):
+                continue
+            open_ = np.minimum.reduceat(y, starts) < np.maximum.reduceat(y, starts)
+            zeros = np.zeros((batch.num_rows, size))
+            parts = [batch.column(0), *zeros.T, *zeros.T, *zeros.T, np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, bool)]
+            state = pa.RecordBatch.from_arrays([pa.array(c) for c in parts], schema.names)
+            for step in range(steps + 1):
+                if step and not open_.all():
+                    yield state.filter(pa.array(~open_))
+                state, wanted = state.filter(pa.array(open_)), np.repeat(open_, counts)
+                y, x, counts = y[wanted], x[wanted], counts[open_]
+                if not state.num_rows or step == steps:
+                    break
+                starts = np.cumsum(counts) - counts
+                tried = np.stack([state.column(1 + i).to_numpy() for i in range(size)], axis=1)
+                eta = (np.repeat(tried, counts, axis=0) * x).sum(axis=1)
+                p = 1 / (1 + np.exp(-np.clip(eta, -700.0, None)))
+                loss = np.log1p(np.exp(-np.abs(eta))) + np.maximum(eta, 0.0) - y * eta
+                miss, weight = (p - y)[:, None] * x, (p * (1 - p))[:, None] * x
+                sums = {"loss": loss} | {f"g{i}": miss[:, i] for i in range(size)}
+                sums |= {f"h{i}_{j}": weight[:, i] * x[:, j] for i in range(size) for j in range(i + 1)}
+                added = [pa.array(np.add.reduceat(v, starts)) for v in sums.values()]
+                state = next(run(iter([pa.RecordBatch.from_arrays([*state.columns, *added], [*state.schema.names, *sums])])))
+                open_ = ~state.column(size * 3 + 2).to_numpy(zero_copy_only=False)
+            if state.num_rows:
+                yield state  # took all steps
+
+    return packed.mapInArrow(solve, schema)
+
+
 def fit_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str, penalty: float = 1.0, steps: int = STEPS) -> DataFrame:
     """One row per group with both labels: ``by`` and ``coefficients``, the intercept first.
 
     Minimises the summed log loss plus half the squared coefficients times ``penalty``; the intercept is free. Null
-    and non-finite features count as zero, rows without a label are left out. Rows are written once; a step shuffles
-    sums only while the groups' table is small enough to broadcast, and salts hot groups beyond.
+    and non-finite features count as zero, rows without a label are left out. Rows are written once. Groups of up to
+    ``SMALL_ROWS`` rows are then shuffled once and fitted where they meet; for larger ones a step shuffles
+    sums only while their table is small enough to broadcast, and salts hot groups beyond.
     """
     p = len(features) + 1
     names = [f"x{i}" for i in range(1, p)]
@@ -71,14 +116,20 @@ def fit_logistic(df: DataFrame, by: Sequence[str], features: Sequence[str], labe
     )
     rows = materialise(rows, "fit-rows")
     columns, run = _steps(p, penalty)
-    both = rows.groupBy("_key").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).filter("lo < hi")
+    both = rows.groupBy("_key").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
     state = both.select("_key", *(F.lit(0.0).alias(c) for c in columns), F.lit(float("inf")).alias("lowest"), F.lit(False).alias("done"))
     schema = state.schema
+    large = both.filter(F.col("n") > SMALL_ROWS).select("_key")
+    finished = None
+    if small_enough(large):
+        large = F.broadcast(large)
+        finished = materialise(_fit_small(rows.join(large, "_key", "left_anti"), names, columns, run, schema, steps), "fitted-small")
+        rows, state = rows.join(large, "_key", "left_semi"), state.join(large, "_key", "left_semi")
     state = materialise(state, "fit-state")
     x = [F.lit(1.0), *map(F.col, names)]
     tried = [f"t{i}" for i in range(p)]
-    finished = state.filter("done")
-    for _ in range(steps):
+    finished = state.filter("done") if finished is None else finished.unionAll(state.filter("done"))
+    for _ in range(0 if state.isEmpty() else steps):
         open_ = state.select("_key", *tried)
         joined = join_to_unique(rows, open_, "_key", ["_key", "y", *names], "inner")
         eta = sum((F.col(t) * v for t, v in zip(tried, x)), F.lit(0.0))

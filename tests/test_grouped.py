@@ -89,3 +89,21 @@ def test_gaps_of_datasets(spark, rows):
         parity = abs(rate([p for u, _, p in pred if u]) - rate([p for u, _, p in pred if not u]))
         tpr = abs(rate([p for u, y, p in pred if u and y]) - rate([p for u, y, p in pred if not u and y]))
         assert (r.demographic_parity, r.equal_opportunity) == (pytest.approx(parity), pytest.approx(tpr))
+
+
+def test_small_groups_are_fitted_without_steps_over_all_rows(spark, monkeypatch):
+    """Small groups take one task each and give what the steps over large ones give; a group of null is one too."""
+    rng, joined = np.random.default_rng(3), []
+    rows = [(None if g == 0 else g, float(a), float(b), int(rng.random() < 1 / (1 + np.exp(-a)))) for g in range(40) for a, b in rng.normal(size=(6 + g, 2))]
+    rows += [(99, 1.0, 2.0, 1)] * 3 + [(98, None, float("inf"), i % 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y int")
+    join = grouped.join_to_unique
+    monkeypatch.setattr(grouped, "join_to_unique", lambda *a: joined.append(1) or join(*a))
+    fits = []
+    for small in (grouped.SMALL_ROWS, 0, 20):
+        monkeypatch.setattr(grouped, "SMALL_ROWS", small)
+        fits.append({r.g: r.coefficients for r in grouped.fit_logistic(df, ["g"], ["a", "b"], "y").collect()})
+        assert bool(joined) == (small < 256)
+    for other in fits[1:]:
+        assert fits[0].keys() == other.keys() and 99 not in other and 98 in other
+        assert all(np.allclose(fits[0][g], other[g], atol=1e-8) for g in other)
