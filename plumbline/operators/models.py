@@ -235,7 +235,8 @@ def mitigate(
     factors: Mapping | None = None,
 ) -> DataFrame:
     """Metrics before and after reweighing the training rows and refitting."""
-    weighed = sampling.reweigh(spread(rows), group, label, protected_value, factors)
+    rows = materialise(spread(rows), "rows")  # read by every scan of both fits; what they come from is computed once
+    weighed = sampling.reweigh(rows, group, label, protected_value, factors)
     split = sampling.hash_split(weighed, key)
     fit_rows, held = split.filter("is_train"), split.filter("NOT is_train")
     out = None
