@@ -1,11 +1,12 @@
 """Language model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is a sequence of words in small letters and one end. A word is coded bit by bit, its bytes from the left and
-a blank after the last; the end is the empty word. Every predictor sees the bytes before the bit under another
-context: the last 1, 2, 3 or 5 bytes of the word, or all of them. What a context has seen is counted over all
-training words, in tables of hashed slots. A mixer adds the predictors' log odds under weights that are picked by a
-gate and learned online; an adaptive map then corrects its output by what came true. Contexts end at the start of a
-word, so each distinct word is coded once, however often it occurs.
+A text is a sequence of words in small letters and one end. Words are coded one after another as they stand, bit by
+bit: a word's bytes from the left and a blank after the last; the end is the empty word. Every predictor sees what
+comes before the bit under another context: the last 2, 3, 4 or 6 bytes of the text, across words; the word so far;
+the word so far and the word before it. It knows how often ones and zeros followed, in a table of hashed slots.
+A mixer adds the predictors' log odds under weights that are picked by a gate; an adaptive map then corrects its output
+by what came true. All three learn online, as a task goes through its texts: bits are predicted from what came before
+them, and counted afterwards, every occurrence of every word. What the tasks have learned is added up.
 
 Within a text the model adapts: a word already seen in it gains in proportion to how often it was seen, at several
 strengths, which are weighed by how well they have predicted the text.
@@ -15,83 +16,127 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
 from plumbline.session import materialise
 
-ORDERS = (2, 3, 4, 6, 0)  # bytes of context; 0 stands for the whole word so far
-TABLE_BITS = (18, 19, 20, 20, 20)
-WHOLE = len(ORDERS) - 1
+ORDERS = (2, 3, 4, 6, 0, -1)  # bytes of context; 0 stands for the word so far, -1 for that and the word before
+TABLE_BITS = (18, 19, 20, 20, 20, 21)
+WHOLE, PAIR = 4, 5
 START = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS])))
 SLOTS = int(START[-1])
 BLOCK = 1 << 14
 FAN_IN = 64
 # Levels of how much the last two predictors have seen, the byte's depth and the bit's place choose the mixer's weights.
-LEVELS = (np.array([1, 4, 32]), np.array([1, 2, 4, 8, 32, 256, 4096]))
+LEVELS = {WHOLE: (1, 2, 4, 8, 32, 256, 4096), PAIR: (1, 4, 32)}
 GATES = 2 * 4 * 8 * 8
-# Rare words enter the context of the whole word for this many bytes only.
-SHALLOW = 5
-# Where all words are counted, the counts of the whole word so far decide alone from this level on; else weights are learned.
-KNOWN = 6
-LEARNS = ((np.arange(GATES) >= GATES // 2) | (np.arange(GATES) // 8 % 8 < KNOWN)).astype(float)
+DEEP = 5  # bytes into a word
+KNOWN = 6  # the level of the word so far from which the mixer starts out with it alone
 STEPS = 33
 PRIOR = 0.02
 RATE = 0.1
 REFINED = 0.25
-BATCH_WORDS = 1024
-SLICE_WORDS = 20_000
+BATCH_BYTES = 1 << 13  # bits predicted before what they teach is added
+PIECE_WORDS = 100_000
 SLICE_ROWS = 500
 FLUSH_WORDS = 250_000
 # The words with at least this share of the training words are at most 1 / share; only short ones are broadcast.
 HOT_SHARE = 1 / 200_000
 HOT_BYTES = 64
 STRENGTHS = (100.0, 1000.0, 10_000.0, 100_000.0)
-LN10 = math.log(10.0)
+_SCATTER = np.uint64(0xD6E8FEB86659FD93)
+_BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(bool)
+# Which of the 15 slots for half a byte stands for its bits so far.
+_NODES = np.stack([(half >> (4 - j)) | (1 << j) for half in (np.arange(256) >> 4, np.arange(256) & 15) for j in range(4)], axis=1).reshape(256, 2, 4)
 
 
 @dataclass
 class Coded:
-    """The bits of a list of words: slots of each predictor, the bit, and the word of each byte."""
+    """The bits of a list of words: the slots of each predictor, the bit, and the word of each byte."""
 
-    slots: np.ndarray  # (orders, bytes, 8), each order in its own stretch of one table
-    bits: np.ndarray  # (bytes, 8)
+    data: np.ndarray
+    slots: np.ndarray  # (orders, bytes, 2): where the slots of each half of a byte begin, each order in its own stretch
     word: np.ndarray  # (bytes,)
     inside: np.ndarray  # (bytes,): how many bytes of the word come before
+    hashes: np.ndarray  # (words,)
 
+    @property
+    def bits(self) -> np.ndarray:  # (bytes, 8)
+        return _BITS[self.data]
 
-def encode(words: list[str]) -> Coded:
-    blob = b"".join(w.encode() + b" " for w in words)
+    def slots_of(self, rows: slice) -> list[np.ndarray]:
+        """The slots of each order, (bytes, 8)."""
+        nodes = _NODES[self.data[rows]]
+        return [(self.slots[i, rows, :, None] + nodes).reshape(-1, 8) for i in range(len(ORDERS))]
+
+
+def encode(words: list, text: np.ndarray | None = None) -> Coded:
+    """Code words in order; contexts reach back over the words of the same ``text``, by default each word is one."""
+    blob = b"".join([w.encode() + b" " for w in words]) if text is None else b" ".join([*words, b""])
     data = np.frombuffer(blob, np.uint8)
     ends = np.flatnonzero(data == 0x20) + 1
     starts = np.concatenate(([0], ends[:-1]))
     word = np.repeat(np.arange(len(words)), ends - starts)
-    inside = np.arange(len(data)) - starts[word]
+    text = np.arange(len(words)) if text is None else text
+    opens = np.ones(len(words), bool)
+    opens[1:] = text[1:] != text[:-1]
+    begin = starts[np.maximum.accumulate(np.where(opens, np.arange(len(words)), 0))]
+    inside, since = np.arange(len(data)) - starts[word], np.arange(len(data)) - begin[word]
     wide = data.astype(np.uint64) + np.uint64(1)
-    past = np.zeros((max(ORDERS) + 1, len(data)), np.uint64)
-    for k in range(1, max(ORDERS) + 1):
-        past[k, k:] = wide[:-k]
-        past[k][inside < k] = 0
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide * W._power("up", len(data)))))
-    node = (data[:, None].astype(np.uint64) | np.uint64(256)) >> np.arange(8, 0, -1).astype(np.uint64)
-    slots = np.empty((len(ORDERS), len(data), 8), np.int32)
+    down = W._power("down", len(data) + 1)
+    whole = (sums[:-1] - sums[starts][word]) * down[starts][word]
+    hashes = W.mix((sums[ends] - sums[starts]) * down[starts], 77)
+    before = np.zeros(len(words), np.uint64)
+    before[1:] = np.where(opens[1:], np.uint64(0), hashes[:-1])
+    half = ((data >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(W.BASE)
+    slots = np.empty((len(ORDERS), len(data), 2), np.int32)
+    past = np.zeros(len(data), np.uint64)
+    reach = 0
     for i, order in enumerate(ORDERS):
-        if order:
-            context = np.zeros(len(data), np.uint64)
-            for k in range(1, order + 1):
-                context = context * np.uint64(257) + past[k]
-        else:
-            context = (sums[np.arange(len(data))] - sums[starts[word]]) * W._power("down", len(data) + 1)[starts[word]]
-        context = W.mix(context, 70 + i)
-        slots[i] = ((context[:, None] + node * np.uint64(W.BASE)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TABLE_BITS[i])
-        slots[i] += START[i]
-    bits = (data[:, None] >> np.arange(7, -1, -1).astype(np.uint8)) & 1
-    return Coded(slots, bits.astype(bool), word, inside)
+        while order > reach:  # one byte further back
+            reach += 1
+            more = np.zeros(len(data), np.uint64)
+            more[reach:] = wide[:-reach]
+            more[since < reach] = 0
+            past = past * np.uint64(257) + more
+        context = past if order > 0 else whole if order == 0 else whole + before[word]
+        for part, x in ((0, context), (1, context + half)):
+            x = x * _SCATTER
+            x = (x ^ (x >> np.uint64(32))) * _SCATTER >> np.uint64(64 - TABLE_BITS[i] + 4)
+            slots[i, :, part] = (x << np.uint64(4)) + np.uint64(START[i])
+    return Coded(data, slots, word, inside, hashes)
+
+
+def pieces(texts: list[list[bytes]]) -> Iterator[tuple[Coded, int]]:
+    """The words of the texts in order, coded in pieces of bounded length, with how many words a piece begins with
+    that were coded before: where a text is cut, the next piece repeats the words that contexts reach back to."""
+    words, text, lead = [], [], 0
+    for i, own in enumerate(texts):
+        at = 0
+        while at < len(own):
+            take = own[at : at + PIECE_WORDS]
+            words += take
+            text.append(np.full(len(take), i))
+            at += len(take)
+            if len(words) - lead >= PIECE_WORDS:
+                yield encode(words, np.concatenate(text)), lead
+                back, size = at, 0
+                while back > 0 and size < max(ORDERS):
+                    back -= 1
+                    size += len(own[back]) + 1
+                words = own[back:at] if at < len(own) else []
+                lead = len(words)
+                text = [np.full(lead, i)]
+    if len(words) > lead:
+        yield encode(words, np.concatenate(text)), lead
 
 
 @dataclass
@@ -104,8 +149,15 @@ class Model:
     steps: np.ndarray
 
 
-def _gate(inside: np.ndarray, fifth: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return (((inside >= SHALLOW)[:, None] * 4 + fifth) * 8 + whole) * 8 + np.arange(8)
+_LEVEL = {i: np.searchsorted(bounds, np.arange(bounds[-1] + 1), "right") for i, bounds in LEVELS.items()}
+
+
+def _level(i: int, seen: np.ndarray) -> np.ndarray:
+    return _LEVEL[i][np.minimum(seen, LEVELS[i][-1]).astype(np.int64)]
+
+
+def _gate(inside: np.ndarray, pair: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return (((inside >= DEEP)[:, None] * 4 + pair) * 8 + whole) * 8 + np.arange(8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,35 +172,51 @@ def _step(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fresh_weights() -> np.ndarray:
-    """Where the whole word so far is well known, it alone counts; else the shorter contexts do."""
+    """Where learning starts: with the word so far where that is well known, else with all contexts alike."""
     weights = np.full((2, 4, 8, 8, len(ORDERS)), 0.3)
     weights[:, :, KNOWN:] = 0.0
     weights[:, :, KNOWN:, :, WHOLE] = 1.0
     return weights.reshape(GATES, len(ORDERS))
 
 
-def score_words(model: Model, words: list[str]) -> np.ndarray:
-    """log10 of each word's probability."""
-    out = np.zeros(len(words))
-    steps = model.steps.reshape(-1)
-    for at in range(0, len(words), SLICE_WORDS):
-        part = words[at : at + SLICE_WORDS]
-        coded = encode(part)
-        gate = _gate(coded.inside, *(model.level[coded.slots[i]].astype(np.int64) for i in (WHOLE - 1, WHOLE)))
-        mixed = np.zeros(gate.shape)
+def _score(model: Model, coded: Coded) -> np.ndarray:
+    """log10 of the probability of each word, after what stands before it."""
+    steps, weights = model.steps.astype(np.float32).reshape(-1), np.ascontiguousarray(model.weights.T, np.float32)
+    sums = np.zeros(len(coded.word))
+    for at in range(0, len(coded.word), BATCH_BYTES):
+        rows = slice(at, at + BATCH_BYTES)
+        slots = coded.slots_of(rows)
+        gate = _gate(coded.inside[rows], *(model.level.take(slots[i], mode="clip").astype(np.int64) for i in (PAIR, WHOLE)))
+        mixed = np.zeros(gate.shape, np.float32)
         for i in range(len(ORDERS)):
-            mixed += model.odds[coded.slots[i]].astype(np.float32) * model.weights[:, i][gate]
+            mixed += model.odds.take(slots[i], mode="clip") * weights[i].take(gate, mode="clip")
         low, share = _step(mixed)
         place = gate * STEPS + low
         refined = steps[place] * (1 - share) + steps[place + 1] * share
-        p = _sigmoid(mixed) * (1 - REFINED) + refined * REFINED
-        p = np.maximum(np.where(coded.bits, p, 1 - p), 1e-7)
-        out[at : at + len(part)] = np.bincount(coded.word, np.log10(p).sum(axis=1), len(part))
-    return out
+        p = np.clip(_sigmoid(mixed) * (1 - REFINED) + refined * REFINED, 1e-6, 1 - 1e-6)
+        sums[rows] = np.log10(np.where(_BITS[coded.data[rows]], p, 1 - p)).sum(axis=1)
+    return np.bincount(coded.word, sums, len(coded.hashes))
+
+
+def score_words(model: Model, words: list[str]) -> np.ndarray:
+    """log10 of each word's probability as the first of a text."""
+    return _score(model, encode(words))
+
 
+def score_sequences(model: Model, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the probability of each word of the texts where it stands, and a hash of each."""
+    found = [(_score(model, coded)[lead:], coded.hashes[lead:]) for coded, lead in pieces(texts)]
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0), np.zeros(0, np.uint64))
 
-def _log_odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    return np.log(ones + PRIOR) - np.log(zeros + PRIOR)
+
+def _unpacked(counts: np.ndarray) -> np.ndarray:
+    """Zeros and ones, along a new last axis."""
+    return counts.view("<u4").reshape(*counts.shape, 2).astype(np.float32)
+
+
+def _log_odds(seen: np.ndarray) -> np.ndarray:
+    logs = np.log(seen + np.float32(PRIOR))
+    return logs[..., 1] - logs[..., 0]
 
 
 def _summed(rows: DataFrame, values: int) -> dict[int, np.ndarray]:
@@ -165,132 +233,98 @@ def _summed(rows: DataFrame, values: int) -> dict[int, np.ndarray]:
     return {r["block"]: np.frombuffer(r["packed"], np.float32) for r in rows.collect()}
 
 
-def _packed(block: int, task: int, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task // FAN_IN], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["block", "part", "packed"])
+class Learner:
+    """What one task learns from its texts, in their order."""
 
+    def __init__(self):
+        self.counts = np.zeros(SLOTS, np.int64)  # what followed each slot: ones in the upper 32 bits, zeros in the lower
+        self.weights = fresh_weights()
+        self.slope = np.zeros_like(self.weights)
+        self.came = np.zeros((2, GATES * STEPS))
+        self.seen = np.zeros(GATES)
 
-def least_count(lexicon: DataFrame) -> int:
-    """The count from which words enter the long context of the whole word, so that their bits fill its table once at most."""
-    sizes = lexicon.filter("c > 0").groupBy(F.floor(F.log2("c") * 4).alias("level")).agg(F.sum(8 * (F.octet_length("word") + 1)).alias("bits"))
-    room = 1 << TABLE_BITS[-1]
-    for r in sizes.orderBy(F.col("level").desc()).collect():  # four rows for each doubling
-        room -= r["bits"]
-        if room < 0:
-            return math.ceil(2 ** ((r["level"] + 1) / 4))
-    return 1
+    def learn(self, texts: list[list[bytes]]) -> None:
+        for coded, lead in pieces(texts):
+            first = int(np.searchsorted(coded.word, lead))
+            for at in range(first, len(coded.word), BATCH_BYTES):
+                self._batch(coded, slice(at, at + BATCH_BYTES))
 
+    def _batch(self, coded: Coded, rows: slice) -> None:
+        """Predict a batch of bits from what was counted before it, move the weights down the gradient, then count it."""
+        bits = _BITS[coded.data[rows]]
+        slots = coded.slots_of(rows)
+        odds, levels = [], {}
+        for i in range(len(ORDERS)):
+            seen = _unpacked(self.counts.take(slots[i], mode="clip"))
+            odds.append(_log_odds(seen))  # 0 where nothing was seen
+            if i in LEVELS:
+                levels[i] = _level(i, seen[..., 0] + seen[..., 1])
+        gate = _gate(coded.inside[rows], levels[PAIR], levels[WHOLE])
+        mixed = np.zeros(gate.shape, np.float32)
+        for i in range(len(ORDERS)):
+            mixed += odds[i] * self.weights[:, i].astype(np.float32).take(gate, mode="clip")
+        low, share = _step(mixed)
+        place, share, right = (gate * STEPS + low).reshape(-1), share.reshape(-1), bits.reshape(-1)
+        for step, part in ((0, 1 - share), (1, share)):
+            self.came[0] += np.bincount(place + step, part, GATES * STEPS)
+            self.came[1] += np.bincount(place + step, part * right, GATES * STEPS)
+        at = gate.reshape(-1)
+        total = np.bincount(at, minlength=GATES)
+        self.seen += total
+        error = bits - _sigmoid(mixed)
+        gradient = np.stack([np.bincount(at, (error * odds[i]).reshape(-1), GATES) for i in range(len(ORDERS))], axis=1)
+        gradient /= np.maximum(total, 1)[:, None]
+        self.slope += gradient**2
+        self.weights += RATE * gradient / (np.sqrt(self.slope) + 1e-6)
+        one = np.where(bits, np.int64(1 << 32), np.int64(1)).reshape(-1)
+        for i in range(len(ORDERS)):
+            np.add.at(self.counts, slots[i].reshape(-1), one)
 
-def count_contexts(lexicon: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ones and zeros that followed each slot, over all training words.
+    def state(self) -> np.ndarray:
+        """All of it in one array; arrays of several tasks add up."""
+        return np.concatenate((_unpacked(self.counts).reshape(-1), (self.weights * self.seen[:, None]).reshape(-1), self.came.reshape(-1), self.seen), dtype=np.float32, casting="same_kind")
 
-    In the short contexts, which are for words not met before, each distinct word counts once; in the context of the
-    whole word so far each occurrence counts, of the words that are frequent enough
-    for the table and of the first bytes of all.
-    """
-
-    def count(batches):
-        table, task = np.zeros(2 * SLOTS, np.float32), 0
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float32)
-            if words:
-                task = batch.column(2)[0].as_py()
-            for at in range(0, len(words), SLICE_WORDS):
-                coded = encode(words[at : at + SLICE_WORDS])
-                of = n[at : at + SLICE_WORDS][coded.word]
-                for i in range(len(ORDERS)):
-                    use = (of >= least) | (coded.inside < SHALLOW) if i == WHOLE else slice(None)
-                    lo, hi = int(START[i]), int(START[i + 1])
-                    weight = np.repeat(of[use], 8) if i == WHOLE else None
-                    spot = (coded.slots[i][use] - lo + coded.bits[use] * np.int32(hi - lo)).reshape(-1)
-                    counted = np.bincount(spot, weight, 2 * (hi - lo))
-                    table[lo:hi] += counted[: hi - lo]
-                    table[SLOTS + lo : SLOTS + hi] += counted[hi - lo :]
-        for b in range(-(-2 * SLOTS // BLOCK)):
-            part = table[b * BLOCK : (b + 1) * BLOCK]
-            if part.any():
-                yield _packed(b, task, np.pad(part, (0, BLOCK - len(part))))
-
-    rows = lexicon.filter("c > 0").select("word", "c", F.spark_partition_id())
-    flat = np.zeros(-(-2 * SLOTS // BLOCK) * BLOCK, np.float32)
-    for b, part in _summed(rows.mapInArrow(count, "block int, part int, packed binary"), BLOCK).items():
-        flat[b * BLOCK : (b + 1) * BLOCK] = part
-    return flat[SLOTS : 2 * SLOTS], flat[:SLOTS]
 
+def as_model(state: np.ndarray) -> Model:
+    """The model that predicts from summed states: weights are averaged by the bits they saw."""
+    at = np.cumsum([2 * SLOTS, GATES * len(ORDERS), 2 * GATES * STEPS, GATES])
+    counts, weights, came, seen = np.split(state[: at[-1]], at[:-1])
+    counts, came, seen = counts.reshape(SLOTS, 2), came.reshape(2, GATES, STEPS).astype(float), seen[:, None].astype(float)
+    weights = np.where(seen > 0, weights.reshape(GATES, -1) / np.maximum(seen, 1e-9), fresh_weights())
+    centre = _sigmoid((np.arange(STEPS) - (STEPS - 1) / 2) / 2)
+    level = np.zeros(SLOTS, np.uint8)
+    for i in LEVELS:
+        own = slice(START[i], START[i + 1])
+        level[own] = _level(i, counts[own].sum(axis=1))
+    return Model(_log_odds(counts).astype(np.float16), level, weights, (came[1] + 2 * centre) / (came[0] + 2))
 
-def learn_mixer(lexicon: DataFrame, ones: np.ndarray, zeros: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mixer weights and adaptive map, learned online over all training words.
 
-    Every task runs through its words in the order of their hashes, predicts each batch with the weights so far and
-    then moves them down the gradient; what one occurrence of the word itself adds to the counts is left out of its
-    prediction. The tasks' weights are averaged by the words they saw, and the map adds up what came true.
-    """
-    shared = lexicon.sparkSession.sparkContext.broadcast((ones, zeros))  # SLOTS counts each
+def train_model(rows: DataFrame) -> Model:
+    """A model of the texts of ``rows`` (text, held) that are not held out. Its size does not depend on the corpus."""
+    size = 2 * SLOTS + GATES * (len(ORDERS) + 2 * STEPS + 1)
+    blocks = -(-size // BLOCK)
 
     def learn(batches):
-        one, zero = shared.value
-        weights, task = fresh_weights(), 0
-        slope = np.zeros_like(weights)
-        came, seen = np.zeros((2, GATES * STEPS)), np.zeros(GATES)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-            if words:
-                task = batch.column(2)[0].as_py()
-            for at in range(0, len(words), BATCH_WORDS):
-                coded = encode(words[at : at + BATCH_WORDS])
-                n_word = n[at : at + BATCH_WORDS][coded.word][:, None]
-                weight, bits = n_word * np.ones(8), coded.bits
-                odds, levels = [], []
-                for i in range(len(ORDERS)):
-                    own = (n_word >= least) | (coded.inside < SHALLOW)[:, None] if i == WHOLE else 1
-                    a = np.maximum(one[coded.slots[i]] - own * bits, 0.0)
-                    b = np.maximum(zero[coded.slots[i]] - own * ~bits, 0.0)
-                    odds.append(np.where(a + b > 0, _log_odds(a, b), 0.0))
-                    if i >= WHOLE - 1:
-                        levels.append(np.searchsorted(LEVELS[i - WHOLE + 1], a + b, "right"))
-                gate = _gate(coded.inside, *levels)
-                mixed = sum(odds[i] * weights[:, i][gate] for i in range(len(ORDERS)))
-                low, share = _step(mixed)
-                place, share = (gate * STEPS + low).reshape(-1), share.reshape(-1)
-                flat, heavy, right = gate.reshape(-1), weight.reshape(-1), (weight * bits).reshape(-1)
-                for step, part in ((0, 1 - share), (1, share)):
-                    came[0] += np.bincount(place + step, heavy * part, GATES * STEPS)
-                    came[1] += np.bincount(place + step, right * part, GATES * STEPS)
-                total = np.bincount(flat, heavy, GATES)
-                seen += total
-                error = ((bits - _sigmoid(mixed)) * weight).reshape(-1)
-                gradient = np.stack([np.bincount(flat, error * odds[i].reshape(-1), GATES) for i in range(len(ORDERS))], axis=1)
-                gradient /= np.maximum(total, 1e-9)[:, None]
-                slope += gradient**2
-                weights += RATE * gradient / (np.sqrt(slope) + 1e-6) * LEARNS[:, None]
-        if seen.any():
-            yield _packed(0, task, np.concatenate(((weights * seen[:, None]).reshape(-1), came.reshape(-1), seen)))
-
-    rows = lexicon.filter("c > 0").select("word", "c").sortWithinPartitions(F.xxhash64("word"), "word")
-    rows = rows.select("word", "c", F.spark_partition_id())
-    n_weights, n_came = GATES * len(ORDERS), 2 * GATES * STEPS
-    got = _summed(rows.mapInArrow(learn, "block int, part int, packed binary"), n_weights + n_came + GATES).get(0)
-    shared.destroy()
-    centre = _sigmoid((np.arange(STEPS) - (STEPS - 1) / 2) / 2)
-    if got is None:
-        return fresh_weights(), np.tile(centre, (GATES, 1))
-    got = got.astype(float)
-    seen = got[n_weights + n_came :][:, None]
-    weights = np.where(seen > 0, got[:n_weights].reshape(GATES, -1) / np.maximum(seen, 1e-9), fresh_weights())
-    came = got[n_weights : n_weights + n_came].reshape(2, GATES, STEPS)
-    return weights, (came[1] + 2 * centre) / (came[0] + 2)
-
-
-def train_model(lexicon: DataFrame) -> Model:
-    """A model of the training words in ``lexicon`` (word, c). Its size does not depend on the corpus."""
-    least = least_count(lexicon)
-    ones, zeros = count_contexts(lexicon, least)
-    weights, steps = learn_mixer(lexicon, ones, zeros, least)
-    odds = np.where(ones + zeros > 0, _log_odds(ones, zeros), np.float32(0)).astype(np.float16)
-    level = np.zeros(SLOTS, np.uint8)
-    for i in (WHOLE - 1, WHOLE):
-        at = slice(START[i], START[i + 1])
-        level[at] = np.searchsorted(LEVELS[i - WHOLE + 1], ones[at] + zeros[at], "right")
-    return Model(odds, level, weights, steps)
+        learner, task = Learner(), None
+        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
+            task = batch.column(1)[0].as_py()
+            learner.learn([[*_tokens(t), b""] for t in batch.column(0)])
+        if task is None:
+            return
+        state = learner.state()
+        for b in range(blocks):
+            part = state[b * BLOCK : (b + 1) * BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b], pa.int32()), pa.array([task // FAN_IN], pa.int32()), pa.array([np.pad(part, (0, BLOCK - len(part))).tobytes()], pa.binary())],
+                    names=["block", "part", "packed"],
+                )
+
+    texts = rows.filter("not held").select("text", F.spark_partition_id())
+    state = np.zeros(blocks * BLOCK, np.float32)
+    for b, part in _summed(texts.mapInArrow(learn, "block int, part int, packed binary"), BLOCK).items():
+        state[b * BLOCK : (b + 1) * BLOCK] = part
+    return as_model(state)
 
 
 def _tokens(text) -> list[bytes]:
@@ -324,26 +358,25 @@ def build_lexicon(rows: DataFrame) -> DataFrame:
     return rows.select("text", "held").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ln_gamma(x: Column) -> Column:
-    """ln Gamma(x) for x > 0, by Stirling's series eight steps up."""
-    y = x + 8.0
-    product = x
-    for i in range(1, 8):
-        product = product * (x + float(i))
-    r = 1.0 / y
-    r2 = r * r
-    series = r * (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 / 1680)))
-    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(product)
+def _by_text(p: np.ndarray, hashes: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability from that of its words: the mean of those as given and of those that adapt,
+    where a word seen r times among the i before it has probability (strength * p + r) / (strength + i)."""
+    text = np.repeat(np.arange(len(n_tokens)), n_tokens)
+    order = np.lexsort((hashes, text))  # stable: equal words stay in their order
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (text[order][1:] != text[order][:-1])
+    met = np.empty(len(order), np.int64)
+    met[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    before = np.arange(len(text)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
+    options = [p] + [np.log10(np.maximum((s * 10.0**p + met) / (s + before), 1e-300)) for s in STRENGTHS]
+    # a word too unlikely for a double keeps its logarithm
+    options[1:] = [np.where(met > 0, x, math.log10(s) + p - np.log10(s + before)) for x, s in zip(options[1:], STRENGTHS)]
+    options = np.stack([np.bincount(text, x, len(n_tokens)) for x in options])
+    best = options.max(axis=0)
+    return best + np.log10((10.0 ** (options - best)).mean(axis=0))
 
 
-def _np_ln_gamma(x: np.ndarray) -> np.ndarray:
-    y = x + 8.0
-    product = np.prod([x + i for i in range(8)], axis=0)
-    r2 = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r2 * (1 / 360 - r2 * (1 / 1260 - r2 / 1680))) / y - np.log(product)
-
-
-STATS = "struct<id:{0}, held:boolean, n_tokens:long, n_bytes:long, n_known:long, base:double, " + ", ".join(f"s{i}:double" for i in range(len(STRENGTHS) + 1)) + ">"
+STATS = "struct<id:{0}, held:boolean, n_tokens:long, n_bytes:long, n_known:long, base:double, score:double>"
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fold: int = 1) -> DataFrame:
@@ -351,10 +384,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
 
     ``held_out`` says whether crc32 of the key as text is ``fold`` modulo 5; those texts are not learned from. The base
     adds log10((c + 0.5) / (N + 0.5 (V + 1))) over a text's tokens. ``score`` is log10 of the model's probability of
-    the tokens, ``bits_per_byte`` the same in bits over the bytes of the words and the blanks after them.
+    the tokens in their order, ``bits_per_byte`` the same in bits over the bytes of the words and the blanks after them.
 
-    Words are counted map-side. Those with a share of ``HOT_SHARE`` or more of all words, a bounded number, are
-    scored where they stand; the others meet their counts and probabilities in a shuffled join, once per text.
+    The model reads the texts twice, to learn and to score, and is all that is broadcast for it. For the base, words
+    are counted map-side. Those with a share of ``HOT_SHARE`` or more of all words, a bounded number, are added
+    where they stand; the others meet their counts in a shuffled join, once per text.
 
     Returns ``key``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``n_bytes`` and
     ``bits_per_byte``, one row per row of ``docs``. Null and empty texts are one end. A null key counts as empty text
@@ -369,35 +403,27 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     total = lexicon.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n_train, v_train = total["n"] or 0, total["v"] or 0
     scale = n_train + 0.5 * (v_train + 1)
-    model = spark.sparkContext.broadcast(vars(train_model(lexicon)))  # of fixed size
-
-    def rate(batches):
-        coder = Model(**model.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score_words(coder, batch.column(0).to_pylist()))], names=["word", "c", "p"])
-
-    lexicon = materialise(lexicon.mapInArrow(rate, "word string, c long, p double"), "word-scores")
     often = lexicon.filter((F.col("c") >= max(1.0, n_train * HOT_SHARE)) & (F.octet_length("word") <= HOT_BYTES))
-    names, counts, probabilities = {}, [], []
+    names, counts = {}, []
     for r in often.collect():  # at most 1 / HOT_SHARE words of HOT_BYTES
         names[r["word"].encode()] = len(names)
         counts.append(r["c"])
-        probabilities.append(r["p"])
-    hot = spark.sparkContext.broadcast((names, np.array(counts, float), np.array(probabilities)))
+    hot = spark.sparkContext.broadcast((names, np.array(counts, float)))
+    model = spark.sparkContext.broadcast(vars(train_model(rows)))  # of fixed size
     stats = STATS.format(kind)
 
     def look_up(batches):
-        names, c, p = hot.value
+        names, c = hot.value
+        coder = Model(**model.value)
+        coder.odds = coder.odds.astype(np.float32)
         for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
             n_rows = batch.num_rows
             row, spot, times = [], [], []
             cold_row, cold_word, cold_times = [], [], []
-            n_tokens, n_bytes = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
-            for i, whole in enumerate(batch.column(1)):
-                words = _tokens(whole)
-                words.append(b"")
-                n_tokens[i] = len(words)
-                n_bytes[i] = sum(map(len, words)) + len(words)
+            texts = [[*_tokens(whole), b""] for whole in batch.column(1)]
+            n_tokens = np.array([len(words) for words in texts], np.int64)
+            n_bytes = np.array([sum(map(len, words)) for words in texts], np.int64) + n_tokens
+            for i, words in enumerate(texts):
                 for word, n in Counter(words).items():
                     at = names.get(word)
                     if at is None:
@@ -412,15 +438,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
             add = lambda x: np.bincount(row, x, n_rows)
             known = add(times * (c[spot] > 0)).astype(np.int64)
             base = add(times * np.log10((c[spot] + 0.5) / scale))
-            sums = [add(times * p[spot])]
-            for strength in STRENGTHS:
-                x = strength * 10.0 ** p[spot]
-                more = np.where(times > 1, _np_ln_gamma(x + times) - _np_ln_gamma(x + 1), 0.0)
-                sums.append(add((math.log(strength) + LN10 * p[spot] + more) / LN10))
+            scores = _by_text(*score_sequences(coder, texts), n_tokens)
             ids = batch.column(3)
             own = pa.StructArray.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n_tokens), pa.array(n_bytes), pa.array(known), pa.array(base), *map(pa.array, sums)],
-                names=["id", "held", "n_tokens", "n_bytes", "n_known", "base", *(f"s{i}" for i in range(len(sums)))],
+                [batch.column(0), batch.column(2), *map(pa.array, (n_tokens, n_bytes, known, base, scores))],
+                names=["id", "held", "n_tokens", "n_bytes", "n_known", "base", "score"],
             )
             none = pa.nulls(len(cold_row), own.type)
             # the row of a text's own sums joins no word; its name keeps such rows apart
@@ -433,29 +455,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
 
     numbered = rows.select("id", "text", "held", F.monotonically_increasing_id())
     asked = numbered.mapInArrow(look_up, f"row long, word string, n int, stats {stats}")
-    joined = asked.join(lexicon, "word", "left").select("row", "n", "c", "p", "stats")
+    joined = asked.join(lexicon, "word", "left").select("row", "n", "c", "stats")
     joined = joined.repartition(F.col("row"))
-    n = F.col("n").cast("double")
-
-    def grown(strength: float) -> Column:
-        x = strength * F.pow(F.lit(10.0), F.col("p"))
-        more = F.when(F.col("n") > 1, _ln_gamma(x + n) - _ln_gamma(x + 1.0)).otherwise(0.0)
-        return F.sum((F.lit(math.log(strength)) + LN10 * F.col("p") + more) / LN10)
-
     summed = joined.groupBy("row").agg(
         F.max("stats").alias("own"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(n * F.log10((F.col("c") + 0.5) / scale)).alias("base"), F.sum(n * F.col("p")).alias("s0"),
-        *(grown(s).alias(f"s{i + 1}") for i, s in enumerate(STRENGTHS)),
+        F.sum(F.col("n").cast("double") * F.log10((F.col("c") + 0.5) / scale)).alias("base"),
     )
-    tokens = F.col("own.n_tokens").cast("double")
-    part = lambda i: F.col(f"own.s{i}") + F.coalesce(f"s{i}", F.lit(0.0))
-    options = [part(0)] + [part(i + 1) - (_ln_gamma(s + tokens) - _ln_gamma(F.lit(s))) / LN10 for i, s in enumerate(STRENGTHS)]
-    summed = summed.withColumn("_options", F.array(*options)).withColumn("_best", F.array_max("_options"))
-    spread = F.aggregate("_options", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("_best")))
-    score = F.col("_best") + F.log10(spread / len(options))
     return summed.select(
         F.col("own.id").alias(key), F.col("own.held").alias("held_out"), "own.n_tokens",
         (F.col("own.n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("own.base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), score.alias("score"), "own.n_bytes",
+        (F.col("own.base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "own.score", "own.n_bytes",
     ).withColumn("bits_per_byte", -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
