@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
@@ -77,20 +77,44 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
 
-def fit(frame: pd.DataFrame) -> np.ndarray:
-    """Weights from one online run over labelled texts, ``EPOCHS`` passes in the order of their hashes; the last is the bias."""
-    frame = frame.sort_values(["order", "text", "label"])
-    rows = []
-    for at, offsets, slots, values in features(pa.array(frame["text"], pa.large_string())):
-        rows += [(slots[a:b], values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+PACKED = "order string, tie int, label int, n int, features binary"
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of labelled texts (text, label, order, tie), each row's compressed by itself."""
+    for batch in batches:
+        n, packed = [], []
+        for _, offsets, slots, values in features(batch.column(0)):
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                # the same slot may stand for two features of a text: its values add up
+                slot, back = np.unique(np.append(slots[a:b], SLOTS), return_inverse=True)
+                x = np.bincount(back, np.append(values[a:b], 1.0))
+                # planes of equally significant bytes, of steps from slot to slot and of values: most are alike
+                planes = [np.diff(slot, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T, x.view(np.uint8).reshape(-1, 8).T]
+                n.append(len(slot))
+                packed.append(pa.compress(b"".join(p.tobytes() for p in planes), codec="zstd", asbytes=True))
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(1), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], names=["order", "tie", "label", "n", "features"])
+
+
+def _unpack(packed: pa.BinaryScalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(pa.decompress(packed.as_buffer(), 12 * n, codec="zstd", asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(data[: 4 * n].reshape(4, n).T).view(np.int32).reshape(-1)
+    return np.cumsum(steps), np.ascontiguousarray(data[4 * n :].reshape(8, n).T).view(np.float64).reshape(-1)
+
+
+def fit(rows: pa.Table) -> np.ndarray:
+    """Weights from one online run over packed labelled texts, ``EPOCHS`` passes in the order of their hashes; the last is the bias.
+
+    One text is unpacked at a time."""
+    rows = rows.select(["order", "tie", "label", "n", "features"])
+    order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("order", "tie", "label")]).to_pylist()
+    labels, sizes, packed = rows.column("label").to_pylist(), rows.column("n").to_pylist(), rows.column("features")
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     for _ in range(EPOCHS):
-        for (slots, values), label in zip(rows, frame["label"]):
-            # the same slot may stand for two features of a text: its values add up
-            slots, back = np.unique(np.append(slots, SLOTS), return_inverse=True)
-            x = np.bincount(back, np.append(values, 1.0))
+        for i in order:
+            slots, x = _unpack(packed[i], sizes[i])
             w = _weights(z[slots], n[slots])
-            g = (_sigmoid(w @ x) - label) * x
+            g = (_sigmoid(w @ x) - labels[i]) * x
             step = (np.sqrt(n[slots] + g * g) - np.sqrt(n[slots])) / ALPHA
             z[slots] += g - step * w
             n[slots] += g * g
@@ -100,20 +124,23 @@ def fit(frame: pd.DataFrame) -> np.ndarray:
 def train(labelled: DataFrame, key: str, text: str, label: str, max_rows: int = MAX_ROWS) -> np.ndarray:
     """Fit on at most about ``max_rows`` labelled rows, chosen by a hash of their key; the bound is a parameter.
 
-    The fit is one task over that bounded sample; only the weights, of fixed size, come to the driver.
+    Features are found where the rows are; the fit is one task over those of that bounded sample, compressed. Only
+    the weights, of fixed size, come to the driver.
     """
     rows = labelled.filter(F.col(label).isin(0, 1)).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("order"), F.lit(0).alias("sample"),
+        F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("order"),
     )
     count = rows.count()
     if count > max_rows:
         rows = rows.filter(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") < int(2**32 * max_rows / count))
+    rows = rows.withColumn("tie", F.dense_rank().over(Window.partitionBy("order").orderBy("text")))
+    packed = rows.select("text", "label", "order", "tie").mapInArrow(pack_rows, PACKED)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"weights": [fit(frame).astype(np.float32).tobytes()]})
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array([fit(table).astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
-    got = rows.groupBy("sample").applyInPandas(run, "weights binary").first()
+    got = packed.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(run, "weights binary").first()
     return np.frombuffer(got["weights"], np.float32) if got else np.zeros(SLOTS + 1, np.float32)
 
 
