@@ -21,18 +21,54 @@ PAIRS_AT_ONCE = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts in 12 bits that rise with them: those below 128 as they are, others by their leading seven bits."""
+    above = np.maximum(np.frexp(np.maximum(counts, 1).astype(np.float64))[1].astype(np.int64) - 7, 0)
+    return np.minimum((above << 6) + (counts >> above), (1 << 12) - 1).astype(np.uint16)
+
+
+def _by_line(place: np.ndarray, count: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order of words by line, rank and hash; equal ones in any order.
+
+    One number holds a word's line, rank, as much of its hash as there is room for, and its number; such values sort
+    faster than an order is found. Words that the number does not tell apart are put in order afterwards.
+    """
+    n = len(hashes)
+    bits = n.bit_length()
+    room = 64 - bits - 12 - (int(place[-1]).bit_length() if n else 0)
+    if room < 8:
+        return np.lexsort((hashes, (place.astype(np.int64) << 12) | count))
+    keys = (((place.astype(np.uint64) << np.uint64(12)) | count) << np.uint64(room)) | (hashes >> np.uint64(64 - room))
+    keys = np.sort((keys << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+    order = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+    keys >>= np.uint64(bits)
+    found = hashes[order]
+    mixed = np.flatnonzero((keys[1:] == keys[:-1]) & (found[1:] != found[:-1]))
+    if len(mixed):
+        again = np.flatnonzero(np.isin(keys, keys[mixed]))
+        order[again] = order[again][np.lexsort((found[again], keys[again]))]
+    return order
+
+
 class Lines:
     """The token sets of the lines of a slice of texts. Lines without words have none and are not listed."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None, wanted: np.ndarray | None = None):
         found = W.split(data, offsets)
         hashes, doc = found.hashes(), found.doc
-        feeds = np.concatenate(([0], np.cumsum(data == 10)))
+        feeds = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(data == 10, out=feeds[1:])
         line = feeds[found.starts] - feeds[offsets[doc]]
         place = feeds[found.starts] + doc  # counts up by line over the slice
-        count = np.zeros(len(hashes), np.int64) if rarity is None else rarity[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+        if wanted is not None:  # only whole lines that hold a token of these slots
+            asked = np.flatnonzero(wanted[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)])
+            lines = np.zeros(int(place[-1]) + 1 if len(place) else 0, bool)
+            lines[place[asked]] = True
+            held = np.flatnonzero(lines[place])
+            hashes, doc, line, place = hashes[held], doc[held], line[held], place[held]
+        count = np.zeros(len(hashes), np.uint16) if rarity is None else rarity[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
         # rare tokens first; any order that is the same everywhere gives the same result
-        order = np.lexsort((hashes, (place.astype(np.int64) << 32) | np.minimum(count, (1 << 32) - 1)))
+        order = _by_line(place, count, hashes)
         place, self.tokens, self.count = place[order], hashes[order], count[order]
         new = np.ones(len(order), bool)
         new[1:] = (place[1:] != place[:-1]) | (self.tokens[1:] != self.tokens[:-1])
@@ -117,7 +153,7 @@ def _prefix_entries(rows: DataFrame, rarity, buckets: int, similarity: Fraction,
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
             for at, _, data, offsets in W.slices(batch.column(1)):
-                lines = Lines(data, offsets, rarity.value)
+                lines = Lines(data, offsets, rarity.value, None if wanted is None else wanted.value)
                 if not len(lines.first):
                     continue
                 bits0, bits1 = lines.bitmaps()
@@ -276,7 +312,7 @@ def similar_lines(rows: DataFrame, similarity: Fraction) -> DataFrame:
     """
     spark = rows.sparkSession
     rarity = token_counts(rows)
-    shared = spark.sparkContext.broadcast(np.minimum(rarity, (1 << 32) - 1).astype(np.uint32))  # SLOTS counts
+    shared = spark.sparkContext.broadcast(ranks(rarity))  # SLOTS ranks
     buckets = 2 * partitions(spark)
     found = _candidates(_prefix_entries(rows, shared, buckets, similarity), similarity)
     nearest = F.min_by(F.struct("id", "line", "name2", "id2", "line2"), F.struct("apart", "id2", "line2", "name2"))
@@ -356,11 +392,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     gone = materialise(gone, "lines-gone").select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_gone")
     on = (F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_row"))
     joined = join_checked(docs, gone, on, "left")
-    parts = F.split(F.col(text), "\n", -1)
-    n_lines = F.coalesce(F.size(parts), F.lit(0))
-    numbers = F.sequence(F.lit(0), F.size(parts) - 1)
-    left = F.transform(F.array_except(numbers, F.col("_gone")), lambda i: F.get(parts, i))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    counted = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long"))
+
+    @F.arrow_udf("string")
+    def left(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for whole, lost in zip(texts, gone):
+            if lost.is_valid:
+                lost = set(lost.as_py())
+                out.append("\n".join([x for i, x in enumerate(whole.as_py().split("\n")) if i not in lost]))
+            else:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    # only texts that lose lines go through Python
+    cut = left(F.when(F.col("_gone").isNotNull(), F.col(text)), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cut)
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+    counted = joined.withColumn("n_lines", F.coalesce(n_lines, F.lit(0)).cast("long"))
     counted = counted.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     return counted.withColumn(text, kept).drop("_id", "_row", "_gone").toDF(*names, "n_lines", "n_removed")

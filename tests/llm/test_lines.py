@@ -69,3 +69,35 @@ def test_odd_rows(spark):
     assert run(df.limit(0)) == []
     twice = spark.createDataFrame([(1, "a b\nc"), (1, "a b\nc"), (1, "c d\na b")], "doc_id long, text string")
     assert [r[3] for r in run(twice)] == ["a b\nc", "a b\nc", "c d"]
+
+
+def test_words_in_order_by_line_rank_and_hash(monkeypatch):
+    rng = np.random.default_rng(8)
+    place = np.sort(rng.integers(0, 50, 4000))
+    count = rng.integers(0, 3, 4000).astype(np.uint16)
+    low = rng.integers(0, 4, 4000).astype(np.uint64)  # hashes that agree in their upper bits
+    for hashes in (low, low << np.uint64(62), rng.integers(0, 1 << 63, 4000).astype(np.uint64)):
+        for far in (0, 1 << 45):  # with and without room for a part of the hash
+            order = lines._by_line(place + far, count, hashes)
+            assert sorted(order) == list(range(4000))
+            found = list(zip(place[order], count[order], hashes[order]))
+            assert found == sorted(found)
+
+
+def test_ranks_rise_with_counts():
+    counts = np.unique(np.concatenate((np.arange(5000), 2 ** np.arange(40), 3 * 2 ** np.arange(40))))
+    ranks = lines.ranks(counts).astype(int)
+    assert (np.diff(ranks) >= 0).all() and ranks.max() < 1 << 12 and list(ranks[:128]) == list(range(128))
+
+
+def test_lines_that_hold_a_wanted_token():
+    text = np.frombuffer(b"a b c\n\nd e\nf a\ng\nh", np.uint8)
+    offsets = np.array([0, 11, len(text)])
+    every = lines.Lines(text, offsets, None)
+    wanted = np.zeros(lines.SLOTS, bool)
+    a = every.tokens[every.first[2] : every.first[2] + every.size[2]]  # those of "f a"
+    wanted[(a & np.uint64(lines.SLOTS - 1)).astype(int)] = True
+    some = lines.Lines(text, offsets, None, wanted)
+    assert list(zip(some.doc, some.line, some.size)) == [(0, 0, 3), (1, 0, 2)]
+    assert list(some.high) == [every.high[0], every.high[2]]
+    assert not len(lines.Lines(text, offsets, None, np.zeros(lines.SLOTS, bool)).doc)
