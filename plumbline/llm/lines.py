@@ -56,10 +56,10 @@ class Lines:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray | None, wanted: np.ndarray | None = None):
         found = W.split(data, offsets)
         hashes, doc = found.hashes(), found.doc
-        feeds = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
-        np.cumsum(data == 10, out=feeds[1:])
-        line = feeds[found.starts] - feeds[offsets[doc]]
-        place = feeds[found.starts] + doc  # counts up by line over the slice
+        feeds = np.flatnonzero(data == 10)
+        before = np.cumsum(np.bincount(np.searchsorted(found.starts, feeds), minlength=len(hashes))[: len(hashes)])
+        line = before - np.searchsorted(feeds, offsets)[doc]
+        place = before + doc  # counts up by line over the slice
         if wanted is not None:  # only whole lines that hold a token of these slots
             asked = np.flatnonzero(wanted[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)])
             lines = np.zeros(int(place[-1]) + 1 if len(place) else 0, bool)
@@ -104,7 +104,7 @@ def token_counts(rows: DataFrame) -> np.ndarray:
                 task = batch.column(1)[0].as_py()
             for _, _, data, offsets in W.slices(batch.column(0)):
                 slot = (W.split(data, offsets).hashes() & np.uint64(SLOTS - 1)).astype(np.int64)
-                total += np.bincount(slot, minlength=SLOTS)
+                np.add.at(total, slot, 1)
         for b in range(0, SLOTS, BLOCK):
             part = total[b : b + BLOCK]
             if part.any():
