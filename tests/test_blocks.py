@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,31 @@ def test_bounds_leave_blocks_unread(spark, monkeypatch):
     assert asked == [150, 0]
 
 
+@pytest.mark.parametrize("group, groups", [(2048, 1), (16, 10)])
+def test_a_text_goes_once_to_a_group_of_blocks(spark, corpus, monkeypatch, group, groups):
+    """However many small blocks bounds leave open, a text and its vector are sent to a task once per group."""
+    asked, probe = [], R._probe
+    monkeypatch.setattr(R, "_probe", lambda index, df, *a, **b: asked.append(df.collect()) or probe(index, df, *a, **b))
+    monkeypatch.setattr(R, "BLOCK_PASSAGES", group)
+    kb, texts = corpus
+    index = R.build_index(spark.createDataFrame(kb, "kb_id long, content string"), "kb_id", "content", stop_words=[], block_passages=4)
+    assert index.postings.select("group").distinct().count() == groups
+    hits = R.sparse_hits(spark.createDataFrame(texts, "i long, t string"), ["i"], "t", index, stop_words=[], local_postings=0).collect()
+    want = brute(kb, texts, 3)
+    assert sorted((r.i, r.kb_id, r["rank"]) for r in hits) == [w[:2] + w[3:] for w in want]
+    sent = [(r.key.i, r.group) for rows in asked for r in rows]
+    assert len(sent) == len(set(sent)) and (len(asked[1]) == 0) == (groups == 1)
+
+
+def test_blocks_below_the_bound_stay_unread():
+    """Of a group's posting lists those are found by term and block, and summed alone."""
+    term, kb_id, block = ["a", "a", "a", "b", "b"], [1, 4, 7, 4, 9], [0, 0, 2, 0, 5]
+    held = R._Group(pa.array(term), pa.array(kb_id), np.arange(1.0, 6.0), np.array(block))
+    lists, of = held.lists(np.array([1, 0]))
+    assert [(int(o), int(held.blocks[held.block[i]]), float(held.most[i])) for i, o in zip(lists, of)] == [(0, 0, 4.0), (0, 5, 5.0), (1, 0, 2.0), (1, 2, 3.0)]
+    assert held.sums(np.array([0, 1]), lists[[0, 3]], np.array([10.0, 100.0]), 2).tolist() == [[0.0, 40.0, 0.0, 0.0], [0.0, 0.0, 300.0, 0.0]]
+
+
 def test_head_and_tail_of_the_dictionary(spark, corpus):
     kb, texts = corpus
     index = R.build_index(spark.createDataFrame(kb, "kb_id long, content string"), "kb_id", "content", stop_words=[])
