@@ -44,6 +44,7 @@ PRIOR = 0.02
 RATE = 0.1
 REFINED = 0.25
 BATCH_BYTES = 1 << 13  # bits predicted before what they teach is added
+SCORED_BYTES = 1 << 10  # scored at once; arrays of this size are reused without asking the system for memory
 PIECE_WORDS = 100_000
 SLICE_ROWS = 500
 FLUSH_WORDS = 250_000
@@ -53,6 +54,7 @@ HOT_BYTES = 64
 STRENGTHS = (100.0, 1000.0, 10_000.0, 100_000.0)
 _SCATTER = np.uint64(0xD6E8FEB86659FD93)
 _BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(bool)
+AT_ONCE = 1 << 13  # bytes whose contexts are hashed at once, in the cache
 # Which of the 15 slots for half a byte stands for its bits so far.
 _NODES = np.stack([(half >> (4 - j)) | (1 << j) for half in (np.arange(256) >> 4, np.arange(256) & 15) for j in range(4)], axis=1).reshape(256, 2, 4)
 
@@ -76,6 +78,11 @@ class Coded:
         nodes = _NODES[self.data[rows]]
         return [(self.slots[i, rows, :, None] + nodes).reshape(-1, 8) for i in range(len(ORDERS))]
 
+    def halves(self, rows: slice) -> np.ndarray:
+        """Both halves of each byte, one after the other."""
+        data = self.data[rows]
+        return np.stack((data >> 4, data & 15), axis=1).reshape(-1).astype(np.int64)
+
 
 def encode(words: list, text: np.ndarray | None = None) -> Coded:
     """Code words in order; contexts reach back over the words of the same ``text``, by default each word is one."""
@@ -83,16 +90,18 @@ def encode(words: list, text: np.ndarray | None = None) -> Coded:
     data = np.frombuffer(blob, np.uint8)
     ends = np.flatnonzero(data == 0x20) + 1
     starts = np.concatenate(([0], ends[:-1]))
-    word = np.repeat(np.arange(len(words)), ends - starts)
+    word = np.repeat(np.arange(len(words), dtype=np.int64), ends - starts)
     text = np.arange(len(words)) if text is None else text
     opens = np.ones(len(words), bool)
     opens[1:] = text[1:] != text[:-1]
     begin = starts[np.maximum.accumulate(np.where(opens, np.arange(len(words)), 0))]
-    inside, since = np.arange(len(data)) - starts[word], np.arange(len(data)) - begin[word]
+    inside, since = np.arange(len(data)) - np.repeat(starts, ends - starts), np.arange(len(data)) - np.repeat(begin, ends - starts)
     wide = data.astype(np.uint64) + np.uint64(1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide * W._power("up", len(data)))))
     down = W._power("down", len(data) + 1)
-    whole = (sums[:-1] - sums[starts][word]) * down[starts][word]
+    size = ends - starts
+    whole = sums[:-1] - np.repeat(sums[starts], size)
+    whole *= np.repeat(down[starts], size)
     hashes = W.mix((sums[ends] - sums[starts]) * down[starts], 77)
     before = np.zeros(len(words), np.uint64)
     before[1:] = np.where(opens[1:], np.uint64(0), hashes[:-1])
@@ -103,15 +112,19 @@ def encode(words: list, text: np.ndarray | None = None) -> Coded:
     for i, order in enumerate(ORDERS):
         while order > reach:  # one byte further back
             reach += 1
-            more = np.zeros(len(data), np.uint64)
-            more[reach:] = wide[:-reach]
-            more[since < reach] = 0
-            past = past * np.uint64(257) + more
-        context = past if order > 0 else whole if order == 0 else whole + before[word]
-        for part, x in ((0, context), (1, context + half)):
-            x = x * _SCATTER
-            x = (x ^ (x >> np.uint64(32))) * _SCATTER >> np.uint64(64 - TABLE_BITS[i] + 4)
-            slots[i, :, part] = (x << np.uint64(4)) + np.uint64(START[i])
+            past *= np.uint64(257)
+            past[reach:] += wide[:-reach] * (since[reach:] >= reach)
+        context = past if order > 0 else whole if order == 0 else whole + np.repeat(before, size)
+        for at in range(0, len(data), AT_ONCE):
+            here = slice(at, at + AT_ONCE)
+            x = np.stack((context[here], context[here] + half[here]))
+            x *= _SCATTER
+            x ^= x >> np.uint64(32)
+            x *= _SCATTER
+            x >>= np.uint64(64 - TABLE_BITS[i] + 4)
+            x <<= np.uint64(4)
+            x += np.uint64(START[i])
+            slots[i, here] = x.T
     return Coded(data, slots, word, inside, hashes)
 
 
@@ -153,11 +166,33 @@ _LEVEL = {i: np.searchsorted(bounds, np.arange(bounds[-1] + 1), "right") for i,
 
 
 def _level(i: int, seen: np.ndarray) -> np.ndarray:
-    return _LEVEL[i][np.minimum(seen, LEVELS[i][-1]).astype(np.int64)]
+    return _LEVEL[i].take(np.minimum(seen, LEVELS[i][-1]).astype(np.int64), mode="clip")
 
 
 def _gate(inside: np.ndarray, pair: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return (((inside >= DEEP)[:, None] * 4 + pair) * 8 + whole) * 8 + np.arange(8)
+    """The gate of each bit, (4, halves): the bits of half a byte lie below each other."""
+    gate = pair * 64
+    gate += whole * 8
+    gate += np.arange(4)[:, None]
+    gate += np.stack(((inside >= DEEP) * 256, (inside >= DEEP) * 256 + 4), axis=1).reshape(-1)
+    return gate
+
+
+def _lines(table: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows of 16 entries, one after the other."""
+    kind = f"V{16 * table.itemsize}"
+    out = out[: 16 * len(at)]
+    return table.reshape(-1).view(kind).take(at, mode="clip", out=out.view(kind)).view(table.dtype)
+
+
+def _bits_of(halves: np.ndarray) -> np.ndarray:
+    """(4, halves)."""
+    return (halves >> np.arange(3, -1, -1)[:, None] & 1).astype(bool)
+
+
+def _nodes(halves: np.ndarray) -> np.ndarray:
+    """Where, among the 16 slots of each of the halves in a row, its bits so far are, (4, halves)."""
+    return np.stack([(halves >> (4 - j)) + (1 << j) for j in range(4)]) + np.arange(0, 16 * len(halves), 16)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -183,18 +218,21 @@ def _score(model: Model, coded: Coded) -> np.ndarray:
     """log10 of the probability of each word, after what stands before it."""
     steps, weights = model.steps.astype(np.float32).reshape(-1), np.ascontiguousarray(model.weights.T, np.float32)
     sums = np.zeros(len(coded.word))
-    for at in range(0, len(coded.word), BATCH_BYTES):
-        rows = slice(at, at + BATCH_BYTES)
-        slots = coded.slots_of(rows)
-        gate = _gate(coded.inside[rows], *(model.level.take(slots[i], mode="clip").astype(np.int64) for i in (PAIR, WHOLE)))
+    room = [np.empty(32 * SCORED_BYTES, table.dtype) for table in (model.odds, model.level)]
+    for at in range(0, len(coded.word), SCORED_BYTES):
+        rows = slice(at, at + SCORED_BYTES)
+        halves = coded.halves(rows)
+        nodes = _nodes(halves)
+        lines = [(coded.slots[i, rows].reshape(-1) >> 4).astype(np.int64) for i in range(len(ORDERS))]
+        gate = _gate(coded.inside[rows], *(_lines(model.level, lines[i], room[1]).take(nodes, mode="clip").astype(np.int64) for i in (PAIR, WHOLE)))
         mixed = np.zeros(gate.shape, np.float32)
         for i in range(len(ORDERS)):
-            mixed += model.odds.take(slots[i], mode="clip") * weights[i].take(gate, mode="clip")
+            mixed += _lines(model.odds, lines[i], room[0]).take(nodes, mode="clip") * weights[i].take(gate, mode="clip")
         low, share = _step(mixed)
         place = gate * STEPS + low
-        refined = steps[place] * (1 - share) + steps[place + 1] * share
+        refined = steps.take(place, mode="clip") * (1 - share) + steps.take(place + 1, mode="clip") * share
         p = np.clip(_sigmoid(mixed) * (1 - REFINED) + refined * REFINED, 1e-6, 1 - 1e-6)
-        sums[rows] = np.log10(np.where(_BITS[coded.data[rows]], p, 1 - p)).sum(axis=1)
+        sums[rows] = np.log10(np.where(_bits_of(halves), p, 1 - p)).sum(axis=0).reshape(-1, 2).sum(axis=1)
     return np.bincount(coded.word, sums, len(coded.hashes))
 
 
@@ -209,9 +247,13 @@ def score_sequences(model: Model, texts: list[list[bytes]]) -> tuple[np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0), np.zeros(0, np.uint64))
 
 
-def _unpacked(counts: np.ndarray) -> np.ndarray:
-    """Zeros and ones, along a new last axis."""
-    return counts.view("<u4").reshape(*counts.shape, 2).astype(np.float32)
+def _node_counts(after: np.ndarray) -> np.ndarray:
+    """Zeros and ones that followed each slot, (contexts, 16, 2), from the halves of a byte that followed its context, (contexts, 16)."""
+    out = np.zeros((len(after), 16, 2), after.dtype)
+    for nodes in (8, 4, 2, 1):
+        out[:, nodes : 2 * nodes] = after.reshape(len(after), nodes, 2)
+        after = after[:, ::2] + after[:, 1::2]
+    return out
 
 
 def _log_odds(seen: np.ndarray) -> np.ndarray:
@@ -237,12 +279,23 @@ class Learner:
     """What one task learns from its texts, in their order."""
 
     def __init__(self):
-        self.counts = np.zeros(SLOTS, np.int64)  # what followed each slot: ones in the upper 32 bits, zeros in the lower
+        self.after = np.zeros((SLOTS // 16, 16), np.int32)  # how often each half of a byte followed a context
+        # written over by each batch, as asking the system for memory each time costs more than the sums
+        self.lines, self.sums = np.empty((2, 32 * BATCH_BYTES), np.int32)
+        self.met, self.missed = np.empty((2, 5, 2 * BATCH_BYTES), np.float32)
+        self.odds = np.empty((len(ORDERS), 4, 2 * BATCH_BYTES), np.float32)
+        self.part, self.product = np.empty(8 * BATCH_BYTES, np.float32), np.empty(8 * BATCH_BYTES)
         self.weights = fresh_weights()
         self.slope = np.zeros_like(self.weights)
         self.came = np.zeros((2, GATES * STEPS))
         self.seen = np.zeros(GATES)
 
+    @property
+    def counts(self) -> np.ndarray:
+        """What followed each slot: ones in the upper 32 bits, zeros in the lower."""
+        zeros, ones = _node_counts(self.after).reshape(-1, 2).T.astype(np.int64)
+        return ones << 32 | zeros
+
     def learn(self, texts: list[list[bytes]]) -> None:
         for coded, lead in pieces(texts):
             first = int(np.searchsorted(coded.word, lead))
@@ -251,45 +304,65 @@ class Learner:
 
     def _batch(self, coded: Coded, rows: slice) -> None:
         """Predict a batch of bits from what was counted before it, move the weights down the gradient, then count it."""
-        bits = _BITS[coded.data[rows]]
-        slots = coded.slots_of(rows)
-        odds, levels = [], {}
+        halves = coded.halves(rows)
+        right = _bits_of(halves)
+        sign = np.where(right, np.float32(1), np.float32(-1))
+        n = len(halves)
+        slots = [coded.slots[i, rows].reshape(-1).astype(np.int64) for i in range(len(ORDERS))]
+        paths = [np.arange(0, n << depth, 1 << depth) + (halves >> (4 - depth)) for depth in range(1, 5)]
+        odds, levels = self.odds[:, :, :n], {}  # log odds of the bit that came
+        met, missed = self.met[:, :n], self.missed[1:, :n]
         for i in range(len(ORDERS)):
-            seen = _unpacked(self.counts.take(slots[i], mode="clip"))
-            odds.append(_log_odds(seen))  # 0 where nothing was seen
+            after, sums = _lines(self.after, slots[i] >> 4, self.lines), self.sums
+            for depth in (4, 3, 2, 1):  # how often the context was met with the first bits of the half, none to all four
+                met[depth] = after.take(paths[depth - 1], mode="clip")
+                after, sums = np.add(after[::2], after[1::2], out=sums[: len(after) // 2]), sums[len(after) // 2 :]
+            met[0] = after
             if i in LEVELS:
-                levels[i] = _level(i, seen[..., 0] + seen[..., 1])
+                levels[i] = _level(i, met[:-1])
+            np.subtract(met[:-1], met[1:], out=missed)
+            for x in (missed, met[1:]):
+                x += np.float32(PRIOR)
+                np.log(x, out=x)
+            np.subtract(met[1:], missed, out=odds[i])  # 0 where nothing was seen
         gate = _gate(coded.inside[rows], levels[PAIR], levels[WHOLE])
+        at, part, product = gate.reshape(-1), self.part[: 4 * n], self.product[: 4 * n]
         mixed = np.zeros(gate.shape, np.float32)
         for i in range(len(ORDERS)):
-            mixed += odds[i] * self.weights[:, i].astype(np.float32).take(gate, mode="clip")
+            self.weights[:, i].astype(np.float32).take(at, mode="clip", out=part)
+            mixed += np.multiply(part.reshape(4, n), odds[i], out=part.reshape(4, n))
+        mixed *= sign
         low, share = _step(mixed)
-        place, share, right = (gate * STEPS + low).reshape(-1), share.reshape(-1), bits.reshape(-1)
-        for step, part in ((0, 1 - share), (1, share)):
-            self.came[0] += np.bincount(place + step, part, GATES * STEPS)
-            self.came[1] += np.bincount(place + step, part * right, GATES * STEPS)
-        at = gate.reshape(-1)
+        place = gate * STEPS + low
+        place = (place + right * (GATES * STEPS)).reshape(-1)
+        upper = np.bincount(place, share.reshape(-1), 2 * GATES * STEPS).reshape(2, -1)
+        came = np.bincount(place, minlength=2 * GATES * STEPS).reshape(2, -1) - upper
+        came[:, 1:] += upper[:, :-1]
+        self.came += came[0] + came[1], came[1]
         total = np.bincount(at, minlength=GATES)
         self.seen += total
-        error = bits - _sigmoid(mixed)
-        gradient = np.stack([np.bincount(at, (error * odds[i]).reshape(-1), GATES) for i in range(len(ORDERS))], axis=1)
+        error = (right - _sigmoid(mixed)) * sign
+        gradient = np.empty((GATES, len(ORDERS)))
+        for i in range(len(ORDERS)):
+            np.multiply(error, odds[i], out=product.reshape(4, n))
+            gradient[:, i] = np.bincount(at, product, GATES)
         gradient /= np.maximum(total, 1)[:, None]
         self.slope += gradient**2
         self.weights += RATE * gradient / (np.sqrt(self.slope) + 1e-6)
-        one = np.where(bits, np.int64(1 << 32), np.int64(1)).reshape(-1)
+        one = np.ones(n, np.int32)
         for i in range(len(ORDERS)):
-            np.add.at(self.counts, slots[i].reshape(-1), one)
+            np.add.at(self.after.reshape(-1), slots[i] + halves, one)
 
     def state(self) -> np.ndarray:
         """All of it in one array; arrays of several tasks add up."""
-        return np.concatenate((_unpacked(self.counts).reshape(-1), (self.weights * self.seen[:, None]).reshape(-1), self.came.reshape(-1), self.seen), dtype=np.float32, casting="same_kind")
+        return np.concatenate((self.after.reshape(-1), (self.weights * self.seen[:, None]).reshape(-1), self.came.reshape(-1), self.seen), dtype=np.float32, casting="unsafe")
 
 
 def as_model(state: np.ndarray) -> Model:
     """The model that predicts from summed states: weights are averaged by the bits they saw."""
-    at = np.cumsum([2 * SLOTS, GATES * len(ORDERS), 2 * GATES * STEPS, GATES])
-    counts, weights, came, seen = np.split(state[: at[-1]], at[:-1])
-    counts, came, seen = counts.reshape(SLOTS, 2), came.reshape(2, GATES, STEPS).astype(float), seen[:, None].astype(float)
+    at = np.cumsum([SLOTS, GATES * len(ORDERS), 2 * GATES * STEPS, GATES])
+    after, weights, came, seen = np.split(state[: at[-1]], at[:-1])
+    counts, came, seen = _node_counts(after.reshape(-1, 16)).reshape(SLOTS, 2), came.reshape(2, GATES, STEPS).astype(float), seen[:, None].astype(float)
     weights = np.where(seen > 0, weights.reshape(GATES, -1) / np.maximum(seen, 1e-9), fresh_weights())
     centre = _sigmoid((np.arange(STEPS) - (STEPS - 1) / 2) / 2)
     level = np.zeros(SLOTS, np.uint8)
@@ -301,7 +374,7 @@ def as_model(state: np.ndarray) -> Model:
 
 def train_model(rows: DataFrame) -> Model:
     """A model of the texts of ``rows`` (text, held) that are not held out. Its size does not depend on the corpus."""
-    size = 2 * SLOTS + GATES * (len(ORDERS) + 2 * STEPS + 1)
+    size = SLOTS + GATES * (len(ORDERS) + 2 * STEPS + 1)
     blocks = -(-size // BLOCK)
 
     def learn(batches):

@@ -78,3 +78,19 @@ def test_adapting_to_a_text_by_brute_force():
             sum(math.log10((s * 10**x + text[:i].count(w)) / (s + i)) for i, (w, x) in enumerate(zip(text, own))) for s in lm.STRENGTHS
         ]
         assert score == pytest.approx(math.log10(sum(10**x for x in options) / len(options)))
+
+
+def test_counts_by_halves_of_a_byte_are_those_of_its_bits():
+    learner = lm.Learner()
+    assert learner.after.nbytes == 4 * lm.SLOTS and len(learner.state()) < lm.SLOTS * 1.1  # one number for each slot
+    rng = np.random.default_rng(8)
+    texts = [[*(bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in rng.integers(1, 5, 700)), b""] for _ in range(8)]
+    learner.learn(texts)
+    zeros, ones = Counter(), Counter()
+    for coded, _ in lm.pieces(texts):
+        for slots in coded.slots_of(slice(None)):
+            ones.update(slots[coded.bits].tolist())
+            zeros.update(slots[~coded.bits].tolist())
+    counts = learner.counts
+    assert {int(k): int(counts[k] >> 32) for k in np.flatnonzero(counts >> 32)} == ones
+    assert {int(k): int(counts[k] & 0xFFFFFFFF) for k in np.flatnonzero(counts & 0xFFFFFFFF)} == zeros
