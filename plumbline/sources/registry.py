@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import constants as K
-from plumbline.session import materialise
+from plumbline.session import scratch_path
 
 # The largest file that fits into one binary cell, and the largest that is hashed as one if it can be cut;
 # the bytes of a file that one task hashes; the longest line.
@@ -19,6 +19,7 @@ LARGEST = 2**31 - 16
 WHOLE = 1 << 27
 PIECE = 1 << 28
 LONGEST_LINE = 1 << 26
+ROW = 1 << 18  # bytes of a file in one row
 PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst)$"  # names of files that Spark unpacks when it reads lines
 MARK = b"\xef\xbb\xbf"  # left out by the reader of lines at the start of a file
 
@@ -61,13 +62,13 @@ def _blocks(lines: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (name[1:] != name[:-1])])
             for a, b in zip(starts, [*starts[1:], len(block)]):
                 here = batch.column(1)[a].as_py(), int(block[a])
-                n = n + 1 if here == last else 0
+                n = n if here == last else 0
                 last = here
                 data = b"\n".join([*batch.column(0).slice(a, b - a).to_pylist(), b""])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([here[0]], pa.string()), pa.array([here[1]], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())],
-                    names=["at", "block", "n", "data"],
-                )
+                for from_ in range(0, len(data), ROW):
+                    row = [here[0]], [here[1]], [n], [data[from_ : from_ + ROW]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["at", "block", "n", "data"])
+                    n += 1
 
     return lines.mapInArrow(join, "at string, block long, n long, data binary")
 
@@ -82,7 +83,9 @@ def hash_in_pieces(spark: SparkSession, folder: str, glob: str, sizes: dict[str,
         .select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_block_start").alias("block"))
         .filter(F.col("at").isin(list(sizes)))
     )
-    blocks = materialise(_blocks(lines), "file-blocks")
+    path = scratch_path(spark, "file-blocks")
+    _blocks(lines).write.option("parquet.block.size", 1 << 24).parquet(path)  # a task holds a group of rows at a time
+    blocks = spark.read.schema("at string, block long, n long, data binary").parquet(path)
     read = dict(blocks.groupBy("at").agg(F.sum(F.octet_length("data"))).collect())
     states = {}  # of each file: the hash, and how many bytes are to come; a handful of bytes for each large file
     for at, size in sizes.items():
