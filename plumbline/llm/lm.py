@@ -15,15 +15,16 @@ strengths, which are weighed by how well they have predicted the text.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import jvm
 from plumbline.llm import words as W
 from plumbline.session import materialise
 
@@ -52,12 +53,15 @@ FLUSH_WORDS = 250_000
 HOT_SHARE = 1 / 200_000
 HOT_BYTES = 64
 STRENGTHS = (100.0, 1000.0, 10_000.0, 100_000.0)
+WORD = 77  # sets the hashes of words apart
 _SCATTER = np.uint64(0xD6E8FEB86659FD93)
 _BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(bool)
 AT_ONCE = 1 << 13  # bytes whose contexts are hashed at once, in the cache
 # Which of the 15 slots for half a byte stands for its bits so far.
 _NODES = np.stack([(half >> (4 - j)) | (1 << j) for half in (np.arange(256) >> 4, np.arange(256) & 15) for j in range(4)], axis=1).reshape(256, 2, 4)
 
+JAVA = Path(__file__).with_name("Bits.java")
+
 
 @dataclass
 class Coded:
@@ -102,7 +106,7 @@ def encode(words: list, text: np.ndarray | None = None) -> Coded:
     size = ends - starts
     whole = sums[:-1] - np.repeat(sums[starts], size)
     whole *= np.repeat(down[starts], size)
-    hashes = W.mix((sums[ends] - sums[starts]) * down[starts], 77)
+    hashes = W.mix((sums[ends] - sums[starts]) * down[starts], WORD)
     before = np.zeros(len(words), np.uint64)
     before[1:] = np.where(opens[1:], np.uint64(0), hashes[:-1])
     half = ((data >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(W.BASE)
@@ -372,63 +376,35 @@ def as_model(state: np.ndarray) -> Model:
     return Model(_log_odds(counts).astype(np.float16), level, weights, (came[1] + 2 * centre) / (came[0] + 2))
 
 
+def _java(spark, name: str):
+    """One of the functions over partitions in Bits.java, with the fixed values of this module."""
+    own = ("ORDERS", "TABLE_BITS", "WHOLE", "PAIR", "SLOTS", "BLOCK", "FAN_IN", "GATES", "DEEP", "KNOWN", "STEPS", "PRIOR", "RATE", "REFINED", "BATCH_BYTES", "PIECE_WORDS", "SLICE_ROWS", "FLUSH_WORDS", "STRENGTHS")
+    constants = {key: globals()[key] for key in own} | {
+        "START": START.tolist(), "WHOLE_BOUNDS": LEVELS[WHOLE], "PAIR_BOUNDS": LEVELS[PAIR],
+        "BASE": W.BASE, "SCATTER": int(_SCATTER), "WORD_SEED": W.seed_value(WORD),
+    }
+    return jvm.create(spark, JAVA, constants, f"plumbline.Bits${name}")
+
+
 def train_model(rows: DataFrame) -> Model:
     """A model of the texts of ``rows`` (text, held) that are not held out. Its size does not depend on the corpus."""
     size = SLOTS + GATES * (len(ORDERS) + 2 * STEPS + 1)
     blocks = -(-size // BLOCK)
 
-    def learn(batches):
-        learner, task = Learner(), None
-        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
-            task = batch.column(1)[0].as_py()
-            learner.learn([[*_tokens(t), b""] for t in batch.column(0)])
-        if task is None:
-            return
-        state = learner.state()
-        for b in range(blocks):
-            part = state[b * BLOCK : (b + 1) * BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([task // FAN_IN], pa.int32()), pa.array([np.pad(part, (0, BLOCK - len(part))).tobytes()], pa.binary())],
-                    names=["block", "part", "packed"],
-                )
-
-    texts = rows.filter("not held").select("text", F.spark_partition_id())
+    texts = rows.filter("not held").select(F.col("text").cast("binary"))
+    learned = jvm.map_partitions(texts, _java(rows.sparkSession, "Learn"), "block int, part int, packed binary")
     state = np.zeros(blocks * BLOCK, np.float32)
-    for b, part in _summed(texts.mapInArrow(learn, "block int, part int, packed binary"), BLOCK).items():
+    for b, part in _summed(learned, BLOCK).items():
         state[b * BLOCK : (b + 1) * BLOCK] = part
     return as_model(state)
 
 
-def _tokens(text) -> list[bytes]:
-    return (text.as_py() or "").encode().lower().split()
-
-
 def build_lexicon(rows: DataFrame) -> DataFrame:
     """Every distinct word of ``rows`` (text, held) with its count among those not held out; the end is the empty word."""
 
-    def count(batches):
-        known: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in known], pa.string()), pa.array(list(known.values()), pa.int64())], names=["word", "c"])
-            known.clear()
-            return out
-
-        for batch in batches:
-            for text, held in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = _tokens(text)
-                words.append(b"")
-                if held:
-                    known.update(dict.fromkeys(words, 0))
-                else:
-                    known.update(words)
-                if len(known) > FLUSH_WORDS:
-                    yield flush()
-        if known:
-            yield flush()
-
-    return rows.select("text", "held").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    texts = rows.select(F.col("text").cast("binary"), "held")
+    counted = jvm.map_partitions(texts, _java(rows.sparkSession, "Count"), "word binary, c long")
+    return counted.groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"))
 
 
 def _by_text(p: np.ndarray, hashes: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
@@ -477,57 +453,18 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     n_train, v_train = total["n"] or 0, total["v"] or 0
     scale = n_train + 0.5 * (v_train + 1)
     often = lexicon.filter((F.col("c") >= max(1.0, n_train * HOT_SHARE)) & (F.octet_length("word") <= HOT_BYTES))
-    names, counts = {}, []
-    for r in often.collect():  # at most 1 / HOT_SHARE words of HOT_BYTES
-        names[r["word"].encode()] = len(names)
-        counts.append(r["c"])
-    hot = spark.sparkContext.broadcast((names, np.array(counts, float)))
-    model = spark.sparkContext.broadcast(vars(train_model(rows)))  # of fixed size
-    stats = STATS.format(kind)
-
-    def look_up(batches):
-        names, c = hot.value
-        coder = Model(**model.value)
-        coder.odds = coder.odds.astype(np.float32)
-        for batch in (whole.slice(at, SLICE_ROWS) for whole in batches for at in range(0, whole.num_rows, SLICE_ROWS)):
-            n_rows = batch.num_rows
-            row, spot, times = [], [], []
-            cold_row, cold_word, cold_times = [], [], []
-            texts = [[*_tokens(whole), b""] for whole in batch.column(1)]
-            n_tokens = np.array([len(words) for words in texts], np.int64)
-            n_bytes = np.array([sum(map(len, words)) for words in texts], np.int64) + n_tokens
-            for i, words in enumerate(texts):
-                for word, n in Counter(words).items():
-                    at = names.get(word)
-                    if at is None:
-                        cold_row.append(i)
-                        cold_word.append(word)
-                        cold_times.append(n)
-                    else:
-                        row.append(i)
-                        spot.append(at)
-                        times.append(n)
-            row, spot, times = np.array(row, np.int64), np.array(spot, np.int64), np.array(times, float)
-            add = lambda x: np.bincount(row, x, n_rows)
-            known = add(times * (c[spot] > 0)).astype(np.int64)
-            base = add(times * np.log10((c[spot] + 0.5) / scale))
-            scores = _by_text(*score_sequences(coder, texts), n_tokens)
-            ids = batch.column(3)
-            own = pa.StructArray.from_arrays(
-                [batch.column(0), batch.column(2), *map(pa.array, (n_tokens, n_bytes, known, base, scores))],
-                names=["id", "held", "n_tokens", "n_bytes", "n_known", "base", "score"],
-            )
-            none = pa.nulls(len(cold_row), own.type)
-            # the row of a text's own sums joins no word; its name keeps such rows apart
-            own_word = pa.array([f" {i}" for i in ids.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, own_word, pa.array(np.zeros(n_rows, np.int32)), own], names=["row", "word", "n", "stats"])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.array(cold_row, np.int64))), pa.array(cold_word, pa.binary()).cast(pa.string()), pa.array(np.array(cold_times, np.int32)), none],
-                names=["row", "word", "n", "stats"],
-            )
-
-    numbered = rows.select("id", "text", "held", F.monotonically_increasing_id())
-    asked = numbered.mapInArrow(look_up, f"row long, word string, n int, stats {stats}")
+    found = often.collect()  # at most 1 / HOT_SHARE words of HOT_BYTES
+    names = b"".join(r["word"].encode() + b" " for r in found)
+    model = train_model(rows)  # of fixed size, and so is what is broadcast of it
+    score = _java(spark, "Score")
+    parts = model.odds, model.level[START[WHOLE] :], model.weights.astype("<f4"), model.steps.astype("<f4"), names, np.array([r["c"] for r in found], "<i8")
+    for i, part in enumerate(parts):
+        part = part if isinstance(part, bytes) else part.tobytes()
+        for at in range(0, len(part), jvm.CHUNK):
+            score.add(i, part[at : at + jvm.CHUNK])
+    score.share(spark.sparkContext._jsc, float(scale))
+    numbered = rows.select("id", F.col("text").cast("binary"), "held", F.monotonically_increasing_id())
+    asked = jvm.map_partitions(numbered, score, f"row long, word binary, n int, stats {STATS.format(kind)}").withColumn("word", F.col("word").cast("string"))
     joined = asked.join(lexicon, "word", "left").select("row", "n", "c", "stats")
     joined = joined.repartition(F.col("row"))
     summed = joined.groupBy("row").agg(

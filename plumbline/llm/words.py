@@ -33,9 +33,13 @@ def _power(direction: str, n: int) -> np.ndarray:
     return _powers[direction][:n]
 
 
+def seed_value(seed: int) -> int:
+    return (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & MASK
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Scramble 64-bit values, so that each bit of the result depends on all bits."""
-    x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & MASK)
+    x = x + np.uint64(seed_value(seed))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
