@@ -6,6 +6,7 @@ the classes once per application, and executors get them as a jar, as they get a
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -34,6 +35,11 @@ def source(path: Path, constants: Mapping[str, object]) -> str:
     return path.read_text().replace("/*CONSTANTS*/", "\n    ".join(f"static final {kind} {name} = {value};" for name, (kind, value) in kinds.items()))
 
 
+def _package(code: str) -> str:
+    """Each version of the code has a package of its own, since executors keep the classes they have."""
+    return f"plumbline.v{hashlib.sha256(code.encode()).hexdigest()[:16]}"
+
+
 def create(spark: SparkSession, path: Path, constants: Mapping[str, object], name: str):
     """A new object of the class ``name`` in the Java file."""
     sc = spark.sparkContext
@@ -43,7 +49,7 @@ def create(spark: SparkSession, path: Path, constants: Mapping[str, object], nam
         jvm = sc._jvm
         compiler = jvm.org.codehaus.janino.SimpleCompiler()
         compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
-        compiler.cook(code)
+        compiler.cook(code.replace("package plumbline;", f"package {_package(code)};", 1))
         made = compiler.getBytecodes()
         handle, jar = tempfile.mkstemp(prefix=f"{path.stem}-", suffix=".jar")
         with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w") as files:
@@ -51,7 +57,7 @@ def create(spark: SparkSession, path: Path, constants: Mapping[str, object], nam
                 files.writestr(each.replace(".", "/") + ".class", bytes(made[each]))
         sc._jsc.addJar(jar)
         loader = _loaders[sc.applicationId, code] = compiler.getClassLoader()
-    return loader.loadClass(name).getDeclaredConstructor(sc._gateway.new_array(sc._jvm.java.lang.Class, 0)).newInstance(sc._gateway.new_array(sc._jvm.java.lang.Object, 0))
+    return loader.loadClass(f"{_package(code)}.{name}").getDeclaredConstructor(sc._gateway.new_array(sc._jvm.java.lang.Class, 0)).newInstance(sc._gateway.new_array(sc._jvm.java.lang.Object, 0))
 
 
 def map_partitions(rows: DataFrame, function, schema: str) -> DataFrame:

@@ -383,7 +383,7 @@ def _java(spark, name: str):
         "START": START.tolist(), "WHOLE_BOUNDS": LEVELS[WHOLE], "PAIR_BOUNDS": LEVELS[PAIR],
         "BASE": W.BASE, "SCATTER": int(_SCATTER), "WORD_SEED": W.seed_value(WORD),
     }
-    return jvm.create(spark, JAVA, constants, f"plumbline.Bits${name}")
+    return jvm.create(spark, JAVA, constants, f"Bits${name}")
 
 
 def train_model(rows: DataFrame) -> Model:
